@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, simhash
 
 QUERIES = {
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op10_benchmark_decontamination": decontaminate.ORACLE,
 }
