@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, simhash
+from . import decontaminate, exact_dedup, sentencepiece_ffbs, simhash, toxicity
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_sentencepiece": sentencepiece_ffbs.op5_sentencepiece,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
