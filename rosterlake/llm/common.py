@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,3 +173,40 @@ def ascii_words(text: str | None) -> list[bytes]:
 def temp_folder() -> str:
     """Where this process may keep its own short-lived files."""
     return os.environ.get("TMPDIR") or tempfile.gettempdir()
+
+
+class WordHashes(dict):
+    """The XXH64 of words, remembered; at most ``limit`` words are held at a time."""
+
+    def __init__(self, limit: int = 1 << 19) -> None:
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def sums_by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, and each column of values summed by key."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return (keys[first], *(np.add.reduceat(v[order], first) if len(keys) else v for v in values))
+
+
+def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to about limit; a larger row is a run of its own."""
+    lo, total = 0, 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= limit:
+            yield lo, i + 1
+            lo, total = i + 1, 0
+    if lo < len(sizes):
+        yield lo, len(sizes)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, sentencepiece_ffbs, simhash, toxicity
+from . import decontaminate, exact_dedup, html_text, kneser_ney, pii, sentencepiece_ffbs, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_sharding": sharding.op2_sharding,
+    "op3_html_extraction": html_text.op3_html_extraction,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_sentencepiece": sentencepiece_ffbs.op5_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_lm_scoring": kneser_ney.op9_lm_scoring,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
