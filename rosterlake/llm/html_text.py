@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,7 +80,7 @@ def parse(page: str) -> Node:
     """The tree of a page, without what is left out. parts: text and elements in page order."""
     root = Node("html", None)
     stack: list[tuple[str, Node | None]] = [("html", root)]  # None: within something left out
-    articles = 0
+    opened: Counter[str] = Counter()
     at, size = 0, len(page)
 
     def text(lo: int, hi: int) -> None:
@@ -87,8 +88,7 @@ def parse(page: str) -> Node:
             stack[-1][1].parts.append(html.unescape(page[lo:hi]))
 
     def close(n: int) -> None:
-        nonlocal articles
-        articles -= sum(t in ("article", "main") for t, _ in stack[n:])
+        opened.subtract(t for t, _ in stack[n:])
         del stack[n:]
 
     while at < size:
@@ -102,7 +102,7 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if m["close"] or m["close2"]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[name] > 0 else ():
                 if stack[i][0] == name:
                     close(i)
                     break
@@ -110,11 +110,11 @@ def parse(page: str) -> Node:
                     break
             continue
         rest = m["rest"] or m["rest2"] or ""
-        if name == "html" or name == "body" and any(t == "body" for t, _ in stack):
+        if name == "html" or name == "body" and opened["body"]:
             continue
         if name == "body":
             close(1)
-        if name in _NO_P:
+        if name in _NO_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
                     close(i)
@@ -123,7 +123,7 @@ def parse(page: str) -> Node:
                     break
         if name in ENDS:
             ends, walls = ENDS[name]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
                 if stack[i][0] in walls:
                     break
                 if stack[i][0] in ends:
@@ -141,12 +141,12 @@ def parse(page: str) -> Node:
                 above.tags += 1
             continue
         node = None
-        if above is not None and not _is_left_out(name, rest, articles > 0):
+        if above is not None and not _is_left_out(name, rest, opened["article"] + opened["main"] > 0):
             node = Node(name, above)
             above.parts.append(node)
-        articles += name in ("article", "main")
         if not rest.endswith("/") or name in BLOCK:
             stack.append((name, node))
+            opened[name] += 1
     return root
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, kneser_ney, pii, sentencepiece_ffbs, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, html_text, kneser_ney, pii, sentencepiece_ffbs, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_extraction": html_text.op3_html_extraction,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_sentencepiece": sentencepiece_ffbs.op5_sentencepiece,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_lm_scoring": kneser_ney.op9_lm_scoring,
