@@ -46,8 +46,9 @@ class Pieces:
     text: list[bytes]
     bytes_id: np.ndarray
     logp: np.ndarray
-    keys: list[np.ndarray]
-    ids: list[np.ndarray]
+    levels: int
+    slot_keys: np.ndarray
+    slot_ids: np.ndarray
 
     @classmethod
     def load(cls, model: str = MODEL, alpha: float = 1.0) -> Pieces:
@@ -74,13 +75,28 @@ class Pieces:
                         prefixes.append({})
                     prefixes[n - 1].setdefault(text[i][:n], -1)
                 prefixes[len(text[i]) - 1][text[i]] = i
-        keys, ids = [], []
-        for level in prefixes:
-            h = np.array([cls._hash(p) for p in level], np.uint64)
-            order = np.argsort(h)
-            keys.append(h[order])
-            ids.append(np.array(list(level.values()), np.int64)[order])
-        return cls(text, bytes_id, logp, keys, ids)
+        # All prefixes of pieces in one open hash table; a prefix that is no piece has id -1, an empty slot -2.
+        known = {cls._hash(p): i for level in prefixes for p, i in level.items()}
+        size = 1 << max(10, (8 * len(known)).bit_length())
+        slot_keys, slot_ids = np.zeros(size, np.uint64), np.full(size, -2, np.int32)
+        for h, i in known.items():
+            at = (h ^ h >> 32) & size - 1
+            while slot_ids[at] != -2:
+                at = at + 1 & size - 1
+            slot_keys[at], slot_ids[at] = h, i
+        return cls(text, bytes_id, logp, len(prefixes), slot_keys, slot_ids)
+
+    def _look_up(self, h: np.ndarray) -> np.ndarray:
+        """The id of each hash, -1 for a mere prefix, -2 for what is neither."""
+        last = len(self.slot_keys) - 1
+        at = ((h ^ h >> np.uint64(32)) & np.uint64(last)).astype(np.int64)
+        found = self.slot_ids[at]
+        other = np.flatnonzero((self.slot_keys[at] != h) & (found != -2))
+        while len(other):
+            at[other] = at[other] + 1 & last
+            found[other] = self.slot_ids[at[other]]
+            other = other[(self.slot_keys[at[other]] != h[other]) & (found[other] != -2)]
+        return found
 
     @staticmethod
     def _hash(piece: bytes) -> int:
@@ -95,16 +111,15 @@ class Pieces:
         """(start, end, piece) of every piece that fits; unit_end: for each byte, where its unit ends."""
         at, h = np.arange(len(data)), np.zeros(len(data), np.uint64)
         found = []
-        for n, (keys, ids) in enumerate(zip(self.keys, self.ids, strict=True), 1):
+        for n in range(1, self.levels + 1):
             inside = at + n <= unit_end[at]
             at, h = at[inside], h[inside]
             if not len(at):
                 break
             h = h * _R + (data[at + n - 1].astype(np.uint64) + _ONE)
-            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            known = keys[k] == h
-            at, h, k = at[known], h[known], k[known]
-            piece = ids[k]
+            piece = self._look_up(h)
+            known = piece > -2
+            at, h, piece = at[known], h[known], piece[known]
             own = piece >= 0
             found.append((at[own], at[own] + n, piece[own]))
         start, end, piece = (np.concatenate([f[i] for f in found]) for i in range(3)) if found else (np.zeros(0, np.int64),) * 3
@@ -153,7 +168,7 @@ class Pieces:
         share = np.exp(ways - forward[end])
         total = np.cumsum(share)
         before = np.concatenate([[0.0], total])[begins]
-        up_to = of_group + np.minimum(total - before[of_group], 1.0)
+        up_to = total - before[of_group]
         last = np.append(begins[1:], len(end)) - 1
         group_at = np.full(len(data) + 1, -1)
         group_at[end[begins]] = np.arange(len(begins))
@@ -165,7 +180,11 @@ class Pieces:
             g = group_at[at[who]]
             draw = mix64(key[who] + (place[who] + at[who] - starts[unit[who]]).astype(np.uint64) * _R)
             u = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            e = np.clip(np.searchsorted(up_to, g + u, "right"), begins[g], last[g])
+            e, stop = begins[g], last[g]
+            more = np.flatnonzero((e < stop) & (up_to[e] <= u))
+            while len(more):  # a place has few pieces that end there
+                e[more] += 1
+                more = more[(e[more] < stop[more]) & (up_to[e[more]] <= u[more])]
             steps.append((who, piece[e].astype(np.int32)))
             at[who] = start[e]
             who = who[start[e] > starts[unit[who]]]
