@@ -43,7 +43,7 @@ def correlation_id(request_id: Column, at: Column) -> Column:
 
 
 def _ascii(quoted: Column) -> Column:
-    r"""A JSON string with every character beyond ASCII written \uxxxx (a pair for those beyond the first plane)."""
+    r"""A JSON string with every character beyond printable ASCII written \uxxxx (a pair for those beyond the first plane)."""
 
     def unit(code: Column) -> Column:
         return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
@@ -52,9 +52,9 @@ def _ascii(quoted: Column) -> Column:
         code = F.ascii(c).cast("long")
         high = unit(F.lit(0xD800) + F.shiftright(code - 0x10000, 10))
         low = unit(F.lit(0xDC00) + (code - 0x10000) % 1024)
-        return F.when(code < 128, c).when(code < 0x10000, unit(code)).otherwise(F.concat(high, low))
+        return F.when(code < 127, c).when(code < 0x10000, unit(code)).otherwise(F.concat(high, low))
 
-    return F.when(quoted.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(quoted, ""), one), "")).otherwise(quoted)
+    return F.when(quoted.rlike(r"[^\x00-\x7e]"), F.array_join(F.transform(F.split(quoted, ""), one), "")).otherwise(quoted)
 
 
 def canonical_json(c: Column, kind: T.DataType) -> Column:

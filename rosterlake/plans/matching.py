@@ -9,7 +9,7 @@ from ..config import DEFAULT, ScoringConfig
 from ..functions.text import canonical_json, correlation_id, payload_hash
 from ..operators import explain, matching, normalize, rank
 from ..operators.quality import REQUISITION_RULES, new_requests, split
-from ..schemas import REQUISITION
+from ..schemas import REQUISITION, REQUISITION_COLUMNS
 from ..sources import documents
 
 
@@ -41,9 +41,9 @@ def register(payloads: DataFrame, requests: DataFrame, received_at) -> tuple[Dat
     """
     valid, rejected = split(payloads, REQUISITION_RULES)
     once = valid.groupBy("request_id").agg(F.min_by(F.struct(*[c for c in valid.columns if c != "request_id"]), canonical_json(F.struct(*valid.columns), valid.schema)).alias("p"))
-    once = once.select("request_id", "p.*").select(*REQUISITION.names)
+    once = once.select("request_id", "p.*").select(*REQUISITION_COLUMNS)
     fresh = new_requests(once, requests)
-    body = canonical_json(F.struct(*REQUISITION.names), REQUISITION)
+    body = canonical_json(F.struct(*REQUISITION_COLUMNS), payloads.sparkSession.createDataFrame([], REQUISITION).schema)
     at = F.lit(received_at).cast("timestamp")
     rows = fresh.withColumn("payload_json", body).select(
         "request_id", F.lit(1).alias("status"), F.coalesce(F.nullif("client_name", F.lit("")), "job_description.client_name").alias("client_name"), correlation_id(F.col("request_id"), at).alias("correlation_id"), at.alias("received_at"), "payload_json", payload_hash(F.col("payload_json")).alias("payload_hash"), "job_description",

@@ -1,15 +1,13 @@
-"""Schemas of the tables and of the nested payloads."""
+"""Schemas of the tables and of the nested payloads, as DDL (which needs no session to be written down)."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 WORK_TYPES = ("wfo", "wfh", "hybrid")
 PRIORITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 MEMBER_STATUSES = ("active", "inactive", "terminated")
 AUTH_TYPES = ("OAUTH", "API_KEY", "SAML")
 
-_DDL = {
+TABLES: dict[str, str] = {
     "auth_clients": "id smallint, client_name string, client_code string, client_secret_hash string, auth_type string, is_active boolean, created_at timestamp",
     "auth_access_tokens": "id int, auth_client_id smallint, access_token string, expires_at timestamp, is_revoked boolean, issued_at timestamp",
     "requisition_status_master": "status_id smallint, status_key string, status_message string",
@@ -23,7 +21,6 @@ _DDL = {
     "skill_certification": "id int, certification_id string, team_member_id string, skill_id string, certificate string, issuer string, issued_date date, valid_till date",
     "checkpoints": "id int, request_id string, node_name string, state_json string, token_count int, created_at timestamp",
 }
-TABLES: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
 
 #: Columns that name a row, and the columns that point to other tables.
 KEYS = {
@@ -41,10 +38,15 @@ STATUS_SEED = [(1, "RECEIVED"), (2, "PROCESSING"), (3, "COMPLETED"), (4, "FAILED
 
 EXPERIENCE = "struct<min_months: int, max_months: int>"
 JOB = f"struct<client_name: string, title: string, role: string, jd_text: string, requisition_duration_month: int, expected_start_date: date, priority: string, location: array<string>, work_mode: array<string>, experience: {EXPERIENCE}, mandatory_skills: array<string>, preferred_skills: array<string>>"
-REQUISITION = T.StructType.fromDDL(f"request_id string, schema_version string, source_system string, client_name string, job_description {JOB}, metadata struct<submitted_by: string, submitted_at: timestamp, department: string>")
+REQUISITION_COLUMNS = ["request_id", "schema_version", "source_system", "client_name", "job_description", "metadata"]
+REQUISITION = (
+    f"request_id string, schema_version string, source_system string, client_name string, job_description {JOB}, metadata struct<submitted_by: string, submitted_at: timestamp, department: string>"
+)
 
 _CERT = "struct<certification_id: string, certificate: string, issuer: string, issued_date: date, valid_till: date>"
 _SKILL = f"struct<skill_id: string, skill_name: string, rating: int, experience_in_months: int, category: string, is_deleted: boolean, certifications: array<{_CERT}>>"
 _ALLOCATION = "struct<project_id: string, allocation_percentage: double, start_date: date, end_date: date, billable: boolean, is_deleted: boolean>"
 MEMBER = f"struct<team_member_id: string, team_member_status: string, experience_in_months: int, full_name: string, designation: string, profile_type: string, base_location: string, work_type: string, profile_url: string, allocations: array<{_ALLOCATION}>, skills: array<{_SKILL}>>"
-BATCH = T.StructType.fromDDL(f"metadata struct<batch_id: string, timestamp: timestamp, total_records: int, batch_number: int, total_batches: int, records_in_batch: int, source_system: string, schema_version: string, status: struct<code: int, key: string, message: string>>, team_members array<{MEMBER}>")
+BATCH = (
+    f"metadata struct<batch_id: string, timestamp: timestamp, total_records: int, batch_number: int, total_batches: int, records_in_batch: int, source_system: string, schema_version: string, status: struct<code: int, key: string, message: string>>, team_members array<{MEMBER}>"
+)
