@@ -178,7 +178,7 @@ def temp_folder() -> str:
 class WordHashes(dict):
     """The XXH64 of words, remembered; at most ``limit`` words are held at a time."""
 
-    def __init__(self, limit: int = 1 << 19) -> None:
+    def __init__(self, limit: int = 1 << 18) -> None:
         super().__init__()
         self.limit = limit
 

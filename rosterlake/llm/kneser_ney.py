@@ -37,7 +37,7 @@ START, END = (np.uint64(xxhash.xxh64_intdigest(b"", seed)) for seed in (1, 2))
 #: What a word's array holds beside its hash: its count, its continuation count (distinct words before it), and as a context its total and its followers seen once, twice, and more often.
 WORD_COLUMNS = ("count", "cont", "total", "n1", "n2", "n3")
 #: Bytes of text for each bucket of bigrams, and for each bucket of words.
-BIGRAM_BUCKET, WORD_BUCKET = 48 << 20, 192 << 20
+BIGRAM_BUCKET, WORD_BUCKET = 24 << 20, 96 << 20
 #: A task sums and sends its bigrams when it holds so many.
 HELD = 4 << 20
 
@@ -66,6 +66,14 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
+def _distinct(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first of each distinct key, in the order of the keys; how often it is there, or its sum of n)."""
+    order = np.argsort(keys, kind="stable")
+    sorted_ = keys[order]
+    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    return order[first], np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n[order], first)
+
+
 def _bits(size: int, each: int) -> int:
     return max(0, (max(1, size) // each).bit_length())
 
@@ -203,20 +211,24 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
         words, held, n = WordHashes(), [], 0
 
         def flush() -> pa.RecordBatch:
-            before, token, k = (np.concatenate([h[i] for h in held]) for i in range(3))
+            before, token = (np.concatenate([h[i] for h in held]) for i in range(2))
             held.clear()
-            key = pair_hash(before, token)
-            order = np.argsort(key, kind="stable")
-            key, before, token, k = key[order], before[order], token[order], k[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            columns = (before[first], token[first], np.add.reduceat(k, first))
-            return _rows([(b, blob, None) for b, blob in _packed(key[first], bits, *columns)])
+            pick, k = _distinct(pair_hash(before, token))
+            before, token = before[pick], token[pick]
+            # By bucket, and within it by the word before: its repeats are close together and compress.
+            pick = np.argsort(before)
+            bucket = _bucket(pair_hash(before[pick], token[pick]), bits).astype(np.uint16 if bits <= 16 else np.int64)
+            by = np.argsort(bucket, kind="stable")
+            pick, bucket = pick[by], bucket[by]
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            columns = (before[pick], token[pick], k[pick])
+            return _rows([(int(bucket[lo]), b"".join(c[lo:hi].tobytes() for c in columns), None) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for lo, hi in slices([len(x or "") for x in texts], 8 << 20):
                 before, token, _ = token_pairs(texts[lo:hi], words)
-                held.append((before, token, np.ones(len(token), np.int64)))
+                held.append((before, token))
                 n += len(token)
                 if n >= HELD:
                     yield flush()
@@ -227,11 +239,10 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, blobs, _ in _by_bucket(batches):
             before, token, k = _unpacked(blobs, (np.uint64, np.uint64, np.int64))
+            blobs.clear()
             key = pair_hash(before, token)
-            order = np.argsort(key, kind="stable")
-            key, before, token, k = key[order], before[order], token[order], k[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            key, before, token, k = key[first], before[first], token[first], np.add.reduceat(k, first)
+            pick, k = _distinct(key, k)
+            key, before, token = key[pick], before[pick], token[pick]
             _save(f"{folder}/bigrams/{b}", "count", k)
             _save(f"{folder}/bigrams/{b}", "hash", key)
             one, none = np.ones_like(k), np.zeros_like(k)
@@ -251,8 +262,8 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
             c, cont = columns[:2]
             yield _rows([(0, None, [1, *_ranks(cont), int(cont.sum()), int(c.sum()), int(np.count_nonzero(c))])])
 
-    sent = df.select(text_col).mapInArrow(pairs, _SCHEMA).repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
-    sent = sent.mapInArrow(bigrams, _SCHEMA).repartition(1 << word_bits, "bucket").sortWithinPartitions("bucket")
+    sent = df.select(text_col).mapInArrow(pairs, _SCHEMA).repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket")
+    sent = sent.mapInArrow(bigrams, _SCHEMA).repartitionById(1 << word_bits, F.col("bucket")).sortWithinPartitions("bucket")
     sums = {1: np.zeros(8, np.int64), 2: np.zeros(5, np.int64)}
     for r in sent.mapInArrow(word_sums, _SCHEMA).select("stats").collect():  # a few sums for each bucket
         sums[r["stats"][0]] += np.array(r["stats"][1:], np.int64)
