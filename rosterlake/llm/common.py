@@ -56,6 +56,18 @@ def temp_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: Rows and bytes of a batch that goes to Python; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded size, so that long texts don't add up in a task's memory."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def spread(key: Column, ways: int) -> Column:
     """A salt from 0 to ways-1 that depends on the row's key alone."""
     return F.pmod(F.xxhash64(key), F.lit(ways)).cast("int")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_words, mix64, ngram_hashes, string_parts, table, token_hashes
+from .common import ascii_words, mapped, mix64, ngram_hashes, string_parts, table, token_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 _SLACK = 1e-9
@@ -138,7 +138,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
                     sizes = np.array([len(block.texts[i]) for i in item], np.int64)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([block.ids[i] for i in item]), pa.array(shared), pa.array(sizes), pa.array(shared / sizes)], names=schema.names)
 
-        part = docs.select(id_col, text_col).mapInArrow(run, schema)
+        part = docs.select(id_col, text_col).transform(mapped, run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -154,7 +154,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                 keep[index.value.search(batch.column(at), width)[0]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.transform(mapped, run, docs.schema)
     return out
 
 

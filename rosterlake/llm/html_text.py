@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import mapped, table
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -260,7 +260,7 @@ def extract(df: DataFrame, html_col: str = "html", out: str = "text") -> DataFra
             texts = [main_text(x.as_py()) for x in batch.column(n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], names=schema.names)
 
-    return df.select(*kept, html_col).mapInArrow(run, schema)
+    return df.select(*kept, html_col).transform(mapped, run, schema)
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, ascii_words, mix64, shared_path, slices, sums_by_key, table
+from .common import WordHashes, ascii_words, mapped, mix64, shared_path, slices, sums_by_key, table
 
 START, END = (np.uint64(xxhash.xxh64_intdigest(b"", seed)) for seed in (1, 2))
 #: What a word's array holds beside its hash: its count, its continuation count (distinct words before it), and as a context its total and its followers seen once, twice, and more often.
@@ -262,10 +262,10 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
             c, cont = columns[:2]
             yield _rows([(0, None, [1, *_ranks(cont), int(cont.sum()), int(c.sum()), int(np.count_nonzero(c))])])
 
-    sent = df.select(text_col).mapInArrow(pairs, _SCHEMA).repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket")
-    sent = sent.mapInArrow(bigrams, _SCHEMA).repartitionById(1 << word_bits, F.col("bucket")).sortWithinPartitions("bucket")
+    sent = df.select(text_col).transform(mapped, pairs, _SCHEMA).repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket")
+    sent = sent.transform(mapped, bigrams, _SCHEMA).repartitionById(1 << word_bits, F.col("bucket")).sortWithinPartitions("bucket")
     sums = {1: np.zeros(8, np.int64), 2: np.zeros(5, np.int64)}
-    for r in sent.mapInArrow(word_sums, _SCHEMA).select("stats").collect():  # a few sums for each bucket
+    for r in sent.transform(mapped, word_sums, _SCHEMA).select("stats").collect():  # a few sums for each bucket
         sums[r["stats"][0]] += np.array(r["stats"][1:], np.int64)
     one, two = (x.tolist() for x in (sums[1], sums[2]))
     model.d2, model.d1 = _discounts(two), _discounts(one)
@@ -288,7 +288,7 @@ def score(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "text
                 found = [count, known, base, log, np.power(10.0, -log / count)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:n]), *map(pa.array, found)], names=schema.names)
 
-    return df.select(*id_cols, text_col).mapInArrow(run, schema)
+    return df.select(*id_cols, text_col).transform(mapped, run, schema)
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, table
+from .common import checkpoint, mapped, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the base spans.
@@ -251,7 +251,7 @@ def find_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out.append([{"kind": k, "start": s, "end": e, "base": b, "pattern": pattern_of(k, b, votes(text, k, s, e, b), e - s)} for k, s, e, b in candidates(text)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind_)], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).transform(mapped, run, schema)
 
 
 def train(found: DataFrame) -> Tagger:
@@ -274,7 +274,7 @@ def tag(found: DataFrame, tagger: Tagger, id_col: str = "doc_id", threshold: flo
             out = [[{"kind": KINDS[c["kind"]], "start": c["start"], "end": c["end"], "base": c["base"], "probability": p[c["pattern"]]} for c in r if c["base"] or p[c["pattern"]] >= threshold] for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind_)], names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return found.transform(mapped, run, schema)
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -304,7 +304,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=schema.names)
 
-    return df.select(id_col, text_col).join(spans, id_col, "left").select(id_col, text_col, "spans").mapInArrow(run, schema)
+    return df.select(id_col, text_col).join(spans, id_col, "left").select(id_col, text_col, "spans").transform(mapped, run, schema)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _W, _W_FAR, mix64, table
+from .common import mapped, mix64, table, _W, _W_FAR
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -249,7 +249,7 @@ def _slices(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, model: str = MODEL, alpha: float = 1.0, out: str = "piece_ids", slice_chars: int = 2 << 20) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, model: str = MODEL, alpha: float = 1.0, out: str = "piece_ids", slice_chars: int = 1 << 20) -> DataFrame:
     """df with an array<int> column out: a sampled segmentation of each whole text.
 
     The draws are keyed by (seed, id), whatever the id's type; rows that repeat
@@ -273,7 +273,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
                 lists = pa.ListArray.from_arrays(offsets, pa.array(pieces), mask=null)
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:n]), lists], names=schema.names)
 
-    return df.select("*", F.xxhash64(F.col(id_col), F.lit(seed))).mapInArrow(run, schema)
+    return df.select("*", F.xxhash64(F.col(id_col), F.lit(seed))).transform(mapped, run, schema)
 
 
 def decode(df: DataFrame, pieces_col: str = "piece_ids", model: str = MODEL, out: str = "decoded") -> DataFrame:
@@ -293,7 +293,7 @@ def decode(df: DataFrame, pieces_col: str = "piece_ids", model: str = MODEL, out
                 texts = [t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.transform(mapped, run, schema)
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_words, checkpoint, spread, table, temp_name
+from .common import ascii_words, checkpoint, mapped, spread, table, temp_name
 
 MAX_DIFFERENCES = 3
 #: Free bits of a node that is never parted: it holds 2^15 fingerprints at most.
@@ -71,7 +71,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fp") -> Data
             found = np.array([fingerprint(ascii_words(x.as_py())) for x in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found.view(np.int64))], names=[*kept, out])
 
-    return df.select(*kept, text_col).mapInArrow(run, schema)
+    return df.select(*kept, text_col).transform(mapped, run, schema)
 
 
 # ----------------------------------------------------------- within a node
@@ -234,7 +234,7 @@ def linked_fingerprints(fps: DataFrame, cap: int = 2048) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.mapInArrow(run, "a long, b long")
+    return out.transform(mapped, run, "a long, b long")
 
 
 # -------------------------------------------------------------- components

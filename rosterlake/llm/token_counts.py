@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, slices, table
+from .common import checkpoint, mapped, slices, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern of the vocabulary.
@@ -198,7 +198,7 @@ def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
                     t.encoded = len(t.text)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(texts[lo:hi], pa.string()), *_columns(trees)], names=schema.names)
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(mapped, run, schema)
 
 
 def _apply(rows: DataFrame, ranks: str) -> DataFrame:
@@ -224,7 +224,7 @@ def _apply(rows: DataFrame, ranks: str) -> DataFrame:
                     trees.append(tree)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.text for t in trees], pa.string()), *_columns(trees), *part.columns[n:-1]], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(mapped, run, schema)
 
 
 def apply_edits(state: DataFrame, edits: DataFrame, ranks: str = RANKS, per_round: int = 1000) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, table
+from .common import checkpoint, mapped, table
 
 #: ASCII punctuation and control characters part words; A-Z are lower-cased.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -110,7 +110,11 @@ def fit_logistic(x: _Rows, y: np.ndarray, penalty: float = 1.0, rounds: int = 60
     w[-1] = math.log(rate / (1 - rate))
     if len(np.unique(y)) < 2:
         return w
+    # A feature that one class hardly has may weigh more: its penalty is divided by its squared log-odds ratio.
+    ones, n = np.bincount(x.col, y[x.row], x.n_cols), np.bincount(x.col, minlength=x.n_cols)
+    odds = np.log((ones + 0.5) / (y.sum() + 1)) - np.log((n - ones + 0.5) / (len(y) - y.sum() + 1))
     free = np.full(len(w), penalty)
+    free[: x.n_cols] /= np.maximum(odds * odds, 0.01)
     free[-1] = 0
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -173,8 +177,8 @@ def _significance(n: np.ndarray, ones: np.ndarray, total: int, total_ones: int)
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("junk", "toxic"), id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, max_features: int = 1024, folds: int = 5) -> ChainModel:
     """A chain over labels' 0/1 columns `categories`, in that order.
 
-    Of the labelled documents the max_labelled with the smallest id hashes are
-    used. A row with a null label is left out; an id labelled more than once
+    Of the labelled ids the max_labelled with the smallest hashes are used; of
+    documents that share an id one is. A row with a null label is left out; an id labelled more than once
     counts as 1 in a category if any of its rows does. max_features are chosen
     for each category. Without labelled rows the model gives 0 throughout, and
     with one class only that class's rate.
@@ -185,29 +189,39 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("ju
         .groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
         .orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     )
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most max_labelled rows
-    rows = checkpoint(text.select(F.xxhash64("id").alias("key"), *[f"y{i}" for i in range(len(names))], "text").orderBy("key").limit(max_labelled))
     n_y = len(names)
+    ys = [f"y{i}" for i in range(n_y)]
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most max_labelled ids
+    # One text for each id, so the bound holds, dealt to many tasks.
+    rows = checkpoint(text.groupBy("id", *ys).agg(F.min("text").alias("text")).select(F.xxhash64("id").alias("key"), *ys, "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [[Counter() for _ in range(n_y + 1)] for _ in STEMS]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for stem, counts in enumerate(seen):
+                words = list(counts[0])
+                yield pa.RecordBatch.from_arrays([pa.array([stem] * len(words), pa.int32()), pa.array(words, pa.binary()), *[pa.array([c[w] for w in words], pa.int64()) for c in counts]], names=["stem", "word", *[f"n{i}" for i in range(n_y + 1)]])
+                for c in counts:
+                    c.clear()
+
         for batch in batches:
-            ys = [batch.column(1 + i).to_pylist() for i in range(n_y)]
+            truth = [batch.column(1 + i).to_pylist() for i in range(n_y)]
             for r, x in enumerate(batch.column(n_y + 1)):
                 for own, counts in zip(features(x.as_py())[0], seen, strict=True):
                     counts[0].update(own)
                     for i in range(n_y):
-                        if ys[i][r]:
+                        if truth[i][r]:
                             counts[i + 1].update(own)
-        for stem, counts in enumerate(seen):
-            words = list(counts[0])
-            yield pa.RecordBatch.from_arrays([pa.array([stem] * len(words), pa.int32()), pa.array(words, pa.binary()), *[pa.array([c[w] for w in words], pa.int64()) for c in counts]], names=["stem", "word", *[f"n{i}" for i in range(n_y + 1)]])
+                if sum(len(counts[0]) for counts in seen) > 200_000:
+                    yield from flush()
+        yield from flush()
 
     model = ChainModel(names)
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(n_y)]).first()
     if not totals["n"]:
         return model
-    counted = rows.mapInArrow(count, "stem int, word binary, " + ", ".join(f"n{i} long" for i in range(n_y + 1))).groupBy("stem", "word").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n_y + 1)]).filter("n0 >= 3")
+    counted = rows.transform(mapped, count, "stem int, word binary, " + ", ".join(f"n{i} long" for i in range(n_y + 1))).groupBy("stem", "word").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n_y + 1)]).filter("n0 >= 3")
     schema = T.StructType([*counted.schema.fields, *[T.StructField(f"s{i}", T.DoubleType()) for i in range(n_y)]])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("ju
             more = [pa.array(_significance(n, batch.column(3 + i).to_numpy(zero_copy_only=False), totals["n"], totals[f"y{i}"])) for i in range(n_y)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
 
-    judged = checkpoint(counted.mapInArrow(judge, schema))
+    judged = checkpoint(counted.transform(mapped, judge, schema))
     chosen = {(r["stem"], bytes(r["word"])) for i in range(n_y) for r in judged.filter(F.col(f"s{i}") > 10).orderBy(F.desc(f"s{i}"), "stem", "word").select("stem", "word").limit(max_features).collect()}
     for at, (stem, word) in enumerate(sorted(chosen)):
         model.names[stem][word] = at
@@ -228,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("ju
             found = [shared.value.present(x.as_py()) for x in batch.column(n_y + 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n_y + 1], pa.array([sorted(a) for a, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64()))], names=["key", *[f"y{i}" for i in range(n_y)], "at", "shares"])
 
-    own = sorted(rows.mapInArrow(present, "key long, " + "".join(f"y{i} int, " for i in range(n_y)) + "at array<int>, shares array<double>").collect(), key=lambda r: (r["key"], r["at"], r["shares"]))  # at most max_labelled rows
+    own = sorted(rows.transform(mapped, present, "key long, " + "".join(f"y{i} int, " for i in range(n_y)) + "at array<int>, shares array<double>").collect(), key=lambda r: (r["key"], r["at"], r["shares"]))  # at most max_labelled rows
     at = [np.array(r["at"], np.int64) for r in own]
     x = _Rows(np.repeat(np.arange(len(own)), [len(a) for a in at]), np.concatenate(at), model.n_names, np.array([r["shares"] for r in own]))
     fold = np.array([r["key"] % folds for r in own])
@@ -250,7 +264,7 @@ def score(docs: DataFrame, model: ChainModel, id_col: str = "doc_id", text_col:
             p = np.array([own.scores(x.as_py()) or [0.0] * len(own.labels) for x in batch.column(1)], float).reshape(-1, len(own.labels))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, i]) for i in range(p.shape[1])]], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).transform(mapped, run, schema)
 
 
 def reject(docs: DataFrame, model: ChainModel, category: str = "toxic", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -264,7 +278,7 @@ def reject(docs: DataFrame, model: ChainModel, category: str = "toxic", text_col
             keep = [not own.weights or own.scores(x.as_py())[which] < threshold for x in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)
 
 
 def categories(labels: DataFrame) -> DataFrame:
