@@ -1 +1 @@
-"""Operators for preparing training text at scale. Nothing outside this subpackage imports it."""
+"""Operators on texts for training data."""
