@@ -95,6 +95,7 @@ def odd_weights(n: int, seed: int) -> np.ndarray:
 
 _W = odd_weights(1024, 1)
 _W_FAR = odd_weights(1024, 2)
+_W_FAR[0] = 1  # the first 1024 places have one weight, whatever else lies in the piece
 _G = odd_weights(16, 3)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True

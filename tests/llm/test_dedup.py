@@ -102,3 +102,26 @@ def test_contamination_like_brute_force(spark):
     left = decontaminate.decontaminate(ddf, idf)
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _ in docs if d not in {w[0] for w in want})
     assert decontaminate.contaminated_pairs(ddf.filter("false"), idf).count() == 0 and decontaminate.decontaminate(ddf, idf.filter("false")).count() == len(docs)
+
+
+def test_contamination_beside_long_words_and_blank_runs(spark):
+    item = " ".join(f"v{i}" for i in range(20))
+    docs = [(0, "x" * 2000), (1, f"clean words {item} and more"), (2, "a" + " " * 2000 + "b"), (3, f"{'y' * 2000} {item}"), (4, "nothing of it here at all"), (5, f"{' ' * 2000}{item}")]
+    ddf = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    for items in ([(9, item)], [(9, item), (10, f"{item} {'z' * 3000}")]):
+        idf = spark.createDataFrame(items, "item_id long, text string")
+        got = {(r.doc_id, r.n_shared) for r in decontaminate.contaminated_pairs(ddf, idf).collect() if r.item_id == 9}
+        assert got == {(i, 16) for i in (1, 3, 5)}
+        assert sorted(r.doc_id for r in decontaminate.decontaminate(ddf, idf).collect()) == [0, 2, 4]
+
+
+def test_token_hashes_are_equal_anywhere():
+    far = "w" * 2500
+    texts = ["one two", far, "one two", "one" + " " * 1500 + "two", "  one two", far + "x " + far]
+
+    def hashes(rows):
+        return decontaminate.token_hashes(*decontaminate.string_parts(decontaminate.pa.array(rows)))[0].tolist()
+
+    assert hashes(texts) == [h for t in texts for h in hashes([t])]
+    one, two, long, *rest = hashes(texts)
+    assert rest == [one, two] * 3 + [rest[6], long] and rest[6] not in (one, two, long)
