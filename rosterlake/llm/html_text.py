@@ -7,8 +7,10 @@ sum is the main text; its siblings on the way to the body belong to it if their
 density reaches the least one on the path from the body to it.
 
 Elements that are never main text (menus, page headers, footers, asides, forms,
-scripts, and those whose class, id or role says advert, notice, comments and the
-like) are left out before anything is counted.
+scripts and what is hidden) are left out before anything is counted. So are
+those with a whole class, id, role or word of their label that says advert,
+notice, comments and the like, unless the page's main text lies in them: an
+article, main or h1, or most of the body's text besides links.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ _TAG = re.compile(
       | <[a-zA-Z][^>]*+\Z""",
     re.S | re.X,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_WORDS = re.compile(r"[a-z0-9]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_NAMED = frozenset("class id role aria-label".split())
 
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,23 +59,59 @@ OF_ARTICLES_OUT = frozenset("comment reply ad advert advertisement sponsored pro
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "chars", "links", "tags", "link_tags", "density", "total", "doubtful")
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.parts = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, doubtful: bool = False) -> None:
+        self.tag, self.parent, self.parts, self.doubtful = tag, parent, [], doubtful
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_left_out(tag: str, rest: str, in_article: bool) -> bool:
+def _standing(tag: str, rest: str, in_article: bool) -> tuple[bool, bool]:
+    """(left out whatever lies in it, left out unless the main text lies in it)."""
     if tag in LEFT_OUT or tag == "header" and not in_article:
-        return True
+        return True, False
     if not rest or tag in ("html", "body", "main"):
-        return False
-    if _HIDDEN.search(rest):
-        return True
-    words = {w for m in _NAMED.finditer(rest) for w in _WORDS.findall(m[1].lower())}
-    return not words.isdisjoint(OF_ARTICLES_OUT if tag == "article" else WORDS_OUT) or "header" in words and not in_article
+        return False, False
+    words: set[str] = set()
+    for name, value in _ATTRIBUTE.findall(rest):
+        name = name.lower()
+        if name in _NAMED:
+            words.update(value.strip("\"'").lower().split())
+        elif name == "hidden" or name == "aria-hidden" and value.strip("\"'").lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True, False
+    said = not words.isdisjoint(OF_ARTICLES_OUT if tag == "article" else WORDS_OUT) or "header" in words and not in_article
+    return False, said and tag != "h1"
+
+
+def _settle(root: Node) -> None:
+    """Takes out the doubtful elements in which the main text does not lie."""
+    nodes = list(_walk(root))
+    last = {id(n): i for i, n in enumerate(nodes)}  # the place of the last node below each
+    plain, marks, texts = ({id(n): 0 for n in nodes} for _ in range(3))  # characters besides links; article, main and h1; article and main
+    for node in reversed(nodes):
+        me = id(node)
+        plain[me] = 0 if node.tag == "a" else plain[me] + sum(len(" ".join(p.split())) for p in node.parts if isinstance(p, str))
+        if node.parent is not None:
+            mine = int(not node.doubtful and plain[me] > 0)
+            plain[id(node.parent)] += plain[me]
+            marks[id(node.parent)] += marks[me] + mine * (node.tag in ("article", "main", "h1"))
+            texts[id(node.parent)] += texts[me] + mine * (node.tag in ("article", "main"))
+            last[id(node.parent)] = max(last[id(node.parent)], last[me])
+    above: dict[int, int] = {id(root): 0}  # article and main elements around a node
+    out: list[Node] = []
+    until = -1
+    for i, node in enumerate(nodes):
+        if node.parent is not None:
+            above[id(node)] = above[id(node.parent)] + int(node.parent.tag in ("article", "main") and not node.parent.doubtful)
+        if node.doubtful and i > until and not marks[id(node)]:
+            elsewhere = texts[id(root)] > above[id(node)]  # the page marks a text that is not around this one
+            if elsewhere or 2 * plain[id(node)] <= plain[id(root)]:
+                out.append(node)
+                until = last[id(node)]
+    gone = {id(n) for n in out}
+    for parent in {id(n.parent): n.parent for n in out}.values():
+        parent.parts = [p for p in parent.parts if id(p) not in gone]
 
 
 def parse(page: str) -> Node:
@@ -81,7 +119,7 @@ def parse(page: str) -> Node:
     root = Node("html", None)
     stack: list[tuple[str, Node | None]] = [("html", root)]  # None: within something left out
     opened: Counter[str] = Counter()
-    at, size = 0, len(page)
+    at, size, any_doubtful = 0, len(page), False
 
     def text(lo: int, hi: int) -> None:
         if hi > lo and stack[-1][1] is not None:
@@ -141,12 +179,17 @@ def parse(page: str) -> Node:
                 above.tags += 1
             continue
         node = None
-        if above is not None and not _is_left_out(name, rest, opened["article"] + opened["main"] > 0):
-            node = Node(name, above)
-            above.parts.append(node)
+        if above is not None:
+            never, doubtful = _standing(name, rest, opened["article"] + opened["main"] > 0)
+            if not never:
+                node = Node(name, above, doubtful)
+                above.parts.append(node)
+                any_doubtful |= doubtful
         if not rest.endswith("/") or name in BLOCK:
             stack.append((name, node))
             opened[name] += 1
+    if any_doubtful:
+        _settle(root)
     return root
 
 

@@ -58,3 +58,19 @@ def test_rows(spark):
     got = html_text.extract(df).orderBy("page_id", "text").collect()
     assert [(r.page_id, r.text, r.Html2) for r in got] == [(None, "x", None), (1, "", "k"), (1, "x", "k")]
     assert html_text.extract(df.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div class='wrap has-sidebar'><article><h1>x</h1>{P}</article></div></body>", f"x\n{T}"),
+        (f"<body><div id=content class='no-sidebar'>{P}{P}</div></body>", f"{T}\n{T}"),
+        (f"<body><div class='post with-comments'>{P}{P}</div><div class='comments'>{P}</div></body>", f"{T}\n{T}"),
+        (f"<body><div class='social'><main>{P}</main></div></body>", T), (f"<body><div class='legal'>{P}{P}</div><div class='related'>{P}</div></body>", f"{T}\n{T}"),
+        (f"<body><div class='x hidden md:block'><article>{P}</article></div></body>", T), (f"<body><div data-x='a display:none'>{P}</div></body>", T),
+        (f"<body><article>{P}</article><div class='comments'>{P}{P}{P}</div></body>", T), (f"<body><div hidden>{P}</div><div STYLE='display : none'>{P}</div><div aria-hidden=true>{P}</div><div>{P}{P}</div></body>", f"{T}\n{T}"),
+        (f"<body><div class='widgets sidebar'><article class='teaser'>{P}</article></div><div class='content'>{P}{P}</div></body>", f"{T}\n{T}"),
+    ],
+)
+def test_words_never_cost_the_main_text(page, want):
+    assert html_text.main_text(page) == want
