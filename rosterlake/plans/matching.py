@@ -34,6 +34,14 @@ def envelope(requests: DataFrame, results: DataFrame) -> DataFrame:
     return joined.select("request_id", F.when(F.col("n").isNull(), "PROCESSING").otherwise("COMPLETED").alias("status"), F.coalesce("n", F.lit(0)).alias("total_matches"), "matches")
 
 
+def envelope_totals(requests: DataFrame, scored: DataFrame) -> DataFrame:
+    """(request_id, status, total_matches, best): the envelope over all candidates without their list, by an aggregation."""
+    first = F.min_by("team_member_id", F.struct(-F.col("final_score"), "team_member_id"))
+    rows = scored.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), first.alias("best"))
+    joined = requests.select("request_id").join(rows, "request_id", "left")
+    return joined.select("request_id", F.when(F.col("n").isNull(), "PROCESSING").otherwise("COMPLETED").alias("status"), F.coalesce("n", F.lit(0)).alias("total_matches"), "best")
+
+
 def register(payloads: DataFrame, requests: DataFrame, received_at) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new request rows with their detail, rejected rows with the rules they break, rows whose id is taken).
 

@@ -81,8 +81,12 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.candidates(_requisitions(spark, sf_dir), src.team_member(spark, sf_dir), src.team_member_skill(spark, sf_dir), src.team_member_allocation(spark, sf_dir))
 
 
+def _explained(rows: DataFrame) -> DataFrame:
+    return explain.lines(explain.summaries(explain.strengths_and_gaps(matching.with_reasons(rows))))
+
+
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explain.lines(explain.summaries(explain.strengths_and_gaps(matching.with_reasons(rank.top_k(_scored(spark, sf_dir), TOP)))))
+    return _explained(rank.top_k(_scored(spark, sf_dir), TOP))
 
 
 # ------------------------------------------------------- members and skills
@@ -217,9 +221,19 @@ def match_batches(spark, sf_dir):
 # ------------------------------------------------------------- explanations
 
 
+def _matched_lists(rows: DataFrame) -> DataFrame:
+    return rows.select("request_id", "team_member_id", F.array_join("skills_matched", ", ").alias("skills_matched"), F.size("mandatory_matched").alias("n_mandatory"), F.size("preferred_matched").alias("n_preferred"))
+
+
 @query(f"SELECT request_id, team_member_id, coalesce(skills_matched, '') AS skills_matched, coalesce(nmm, 0)::INT AS n_mandatory, coalesce(npm, 0)::INT AS n_preferred FROM rk LEFT JOIN ml USING (request_id, team_member_id) WHERE rank <= {TOP}", *SCORES, "ml")
 def matched_skill_lists(spark, sf_dir):
-    return _top(spark, sf_dir).select("request_id", "team_member_id", F.array_join("skills_matched", ", ").alias("skills_matched"), F.size("mandatory_matched").alias("n_mandatory"), F.size("preferred_matched").alias("n_preferred"))
+    return _matched_lists(_top(spark, sf_dir))
+
+
+@query("SELECT request_id, team_member_id, coalesce(skills_matched, '') AS skills_matched, coalesce(nmm, 0)::INT AS n_mandatory, coalesce(npm, 0)::INT AS n_preferred FROM rk LEFT JOIN ml USING (request_id, team_member_id)", *SCORES, "ml")
+def matched_skill_lists_of_all(spark, sf_dir):
+    """The same of every candidate, as the service gives them."""
+    return _matched_lists(_explained(_scored(spark, sf_dir)))
 
 
 @query(
@@ -231,6 +245,10 @@ def strengths_gaps(spark, sf_dir):
     return explain.strengths_and_gaps(_scored(spark, sf_dir)).select("request_id", "team_member_id", F.array_join("strengths", "; ").alias("strengths"), F.array_join("gaps", "; ").alias("gaps"))
 
 
+def _explanations(rows: DataFrame) -> DataFrame:
+    return rows.select("request_id", "team_member_id", F.array_join("explanation", "\n").alias("explanation"), F.col("mandatory_skills_summary").alias("mandatory_summary"), F.col("preferred_skills_summary").alias("preferred_summary"))
+
+
 @query(
     f"""SELECT request_id, team_member_id, printf('Overall match score: %.2f (%s fit)', final_score, fit_level) || chr(10) || CASE WHEN skills_matched <> '' THEN printf('Skills matched: %s (score: %.2f)', skills_matched, skill_score) ELSE printf('Skill match score: %.2f', skill_score) END || chr(10) ||
     printf('Experience match score: %.2f', experience_score) || chr(10) || printf('Availability: %.0f', availability_score * 100) || '% capacity (' || CASE WHEN is_available THEN 'Available' ELSE 'Limited availability' END || ')' AS explanation,
@@ -239,7 +257,19 @@ def strengths_gaps(spark, sf_dir):
     *SCORES, "ml",
 )
 def explanation_lines(spark, sf_dir):
-    return _top(spark, sf_dir).select("request_id", "team_member_id", F.array_join("explanation", "\n").alias("explanation"), F.col("mandatory_skills_summary").alias("mandatory_summary"), F.col("preferred_skills_summary").alias("preferred_summary"))
+    return _explanations(_top(spark, sf_dir))
+
+
+@query(
+    """SELECT request_id, team_member_id, printf('Overall match score: %.2f (%s fit)', final_score, fit_level) || chr(10) || CASE WHEN skills_matched <> '' THEN printf('Skills matched: %s (score: %.2f)', skills_matched, skill_score) ELSE printf('Skill match score: %.2f', skill_score) END || chr(10) ||
+    printf('Experience match score: %.2f', experience_score) || chr(10) || printf('Availability: %.0f', availability_score * 100) || '% capacity (' || CASE WHEN is_available THEN 'Available' ELSE 'Limited availability' END || ')' AS explanation,
+    coalesce(nmm, 0) || ' mandatory skills matched (' || printf('%.0f', mandatory_score * 100) || '% of requirements)' AS mandatory_summary, coalesce(npm, 0) || ' preferred skills matched (' || printf('%.0f', preferred_score * 100) || '% of preferences)' AS preferred_summary
+    FROM rk LEFT JOIN ml USING (request_id, team_member_id)""",
+    *SCORES, "ml",
+)
+def explanation_lines_of_all(spark, sf_dir):
+    """The same of every candidate, as the service gives them."""
+    return _explanations(_explained(_scored(spark, sf_dir)))
 
 
 @query(
@@ -254,6 +284,17 @@ def match_envelope(spark, sf_dir):
     return answered.select("request_id", "status", "total_matches", F.get("matches", F.lit(0))["team_member_id"].alias("best"))
 
 
+@query(
+    "SELECT rq.request_id, CASE WHEN key % 8 = 7 THEN 'PROCESSING' ELSE 'COMPLETED' END AS status, CASE WHEN key % 8 = 7 THEN 0 ELSE count(rank) END AS total_matches, CASE WHEN key % 8 <> 7 THEN min(team_member_id) FILTER (rank = 1) END AS best FROM rq LEFT JOIN rk r USING (request_id) GROUP BY rq.request_id, key",
+    *SCORES,
+)
+def match_envelope_of_all(spark, sf_dir):
+    """The same with every candidate counted."""
+    asked = src.requisition(spark, sf_dir)
+    done = asked.filter("key % 8 <> 7").select("request_id")
+    return plan.envelope_totals(asked, _scored(spark, sf_dir).join(done, "request_id", "left_semi"))
+
+
 # -------------------------------------------------------------------- audit
 
 

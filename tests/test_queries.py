@@ -35,3 +35,19 @@ def test_query(spark, con, sf_dir, name):
     order = [names.index(c) for c in columns]
     assert canon(rows) == canon([tuple(r[i] for i in order) for r in found.fetchall()])
     assert rows or name in ("requisition_rejects",)
+
+
+@pytest.mark.parametrize("name", ["matched_skill_lists", "explanation_lines"])
+def test_of_all_has_a_row_for_each_candidate(spark, sf_dir, name):
+    key = ["request_id", "team_member_id"]
+    every = QUERIES["final_score"](spark, sf_dir).select(*key)
+    got = QUERIES[f"{name}_of_all"](spark, sf_dir)
+    assert got.count() == every.count() and got.select(*key).exceptAll(every).isEmpty()
+    best = QUERIES[name](spark, sf_dir)
+    assert best.count() < got.count() and best.exceptAll(got).isEmpty()
+
+
+def test_envelope_of_all_counts_every_candidate(spark, sf_dir):
+    n = {r.request_id: r["count"] for r in QUERIES["final_score"](spark, sf_dir).groupBy("request_id").count().collect()}
+    done = [r for r in QUERIES["match_envelope_of_all"](spark, sf_dir).collect() if r.status == "COMPLETED"]
+    assert done and all(r.total_matches == n[r.request_id] > 50 for r in done)
