@@ -35,10 +35,12 @@ def overlapping(allocations: DataFrame, windows: DataFrame, most: int = BROADCAS
     if windows.limit(most + 1).count() <= most:
         return live.join(F.broadcast(windows), hit)
     # Both sides by month: a pair meets in each month that it shares, and the first of these counts.
-    spread = lambda a, b: F.explode(F.sequence(_month(F.col(a)), _month(F.col(b))))
-    left = live.filter("start_date <= end_date").withColumn("month_", spread("start_date", "end_date"))
-    right = windows.filter("w_start <= w_end").withColumn("month_", spread("w_start", "w_end"))
-    first = F.greatest(_month(F.col("start_date")), _month(F.col("w_start")))
+    # Dates the wrong way round are spread like others; what overlaps is for hit alone to say.
+    from_ = lambda a, b: _month(F.least(F.col(a), F.col(b)))
+    spread = lambda a, b: F.explode(F.sequence(from_(a, b), _month(F.greatest(F.col(a), F.col(b)))))
+    left = live.withColumn("month_", spread("start_date", "end_date"))
+    right = windows.withColumn("month_", spread("w_start", "w_end"))
+    first = F.greatest(from_("start_date", "end_date"), from_("w_start", "w_end"))
     return left.join(right, "month_").filter(hit & (F.col("month_") == first)).drop("month_")
 
 

@@ -71,6 +71,17 @@ def test_overlaps(spark, rows, window, total, n, most):
     assert [r.allocated for r in got] == ([] if total is None else [total])
 
 
+def test_both_ways_agree_on_inverted_dates(spark):
+    day = lambda m, d: date(2026, m, d)
+    rows = [(10, day(9, 20), day(7, 5), False), (20, day(8, 9), day(8, 2), False), (40, day(12, 20), day(10, 1), False), (5, *Y, False), (7, day(9, 1), day(5, 1), False)]
+    windows = spark.createDataFrame([WINDOW, (day(10, 15), day(7, 15)), (day(8, 20), day(8, 3))], "w_start date, w_end date")
+    want = sorted((f"p{i}", a, b) for i, (_, s, e, _) in enumerate(rows) for a, b in [WINDOW, (day(10, 15), day(7, 15)), (day(8, 20), day(8, 3))] if s < b and e > a)
+    assert ("p0", *WINDOW) in want and ("p3", day(10, 15), day(7, 15)) in want
+    for most in (100, 0):
+        got = availability.overlapping(allocation_rows(spark, rows), windows, most).collect()
+        assert sorted((r.project_id, r.w_start, r.w_end) for r in got) == want
+
+
 def test_candidates_end_to_end(spark):
     members = spark.createDataFrame([("m", True, 48), ("low", True, 12), ("off", False, 99), ("null", None, 99)], "team_member_id string, is_active boolean, experience_in_months int")
     skills = spark.createDataFrame([("m", "a", False), ("m", "b", True), ("low", "a", False)], "team_member_id string, skill_id string, is_deleted boolean")
