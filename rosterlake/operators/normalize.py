@@ -57,12 +57,14 @@ def skill_lists(normalized: DataFrame) -> DataFrame:
 
 
 def skills_in_text(texts: DataFrame, skill_master: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, skill_id): dictionary names of up to three words that occur in a text, as whole words."""
+    """(id, skill_id): dictionary names that occur in a text, as whole words; the runs looked up are as long as the names."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}.+#]+"), lambda w: w != "")
 
     def runs(n: int) -> F.Column:
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w_"), F.lit(1))), lambda i: i + (n - 1) <= F.size("w_"))
         return F.transform(starts, lambda i: F.array_join(F.slice("w_", i, n), " "))
 
-    names = texts.select(F.col(id_col), words.alias("w_")).select(id_col, F.explode(F.array_distinct(F.concat(*[runs(n) for n in (1, 2, 3)]))).alias("skill_key"))
-    return names.join(dictionary(skill_master), "skill_key").select(id_col, "skill_id").distinct()
+    known = dictionary(skill_master)
+    lengths = sorted(r[0] for r in known.select(F.size(F.split("skill_key", " "))).distinct().collect()) or [1]  # a few small numbers
+    names = texts.select(F.col(id_col), words.alias("w_")).select(id_col, F.explode(F.array_distinct(F.concat(*[runs(n) for n in lengths]))).alias("skill_key"))
+    return names.join(known, "skill_key").select(id_col, "skill_id").distinct()

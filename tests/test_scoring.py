@@ -114,6 +114,13 @@ def test_normalize(spark):
     assert (near.skill_id, near.how) == ("K", "fuzzy")
 
 
+def test_long_names_in_texts(spark):
+    names = spark.createDataFrame([("Amazon Simple Storage Service", "S3"), ("Go", "GO"), ("one two three four five six", "SIX"), (None, "N")], "skill_name string, skill_id string")
+    texts = spark.createDataFrame([(1, "We use Amazon simple storage service, and go"), (2, "amazon simple storage"), (3, "zero One two three four five six seven"), (4, None)], "id int, text string")
+    assert {tuple(r) for r in normalize.skills_in_text(texts, names, "id", "text").collect()} == {(1, "S3"), (1, "GO"), (3, "SIX")}
+    assert normalize.skills_in_text(texts, names.filter("false"), "id", "text").count() == 0
+
+
 def test_explanations(spark):
     row = ("m", 0.615, 1.005, 0.0, 0.1, True, 1 / 3, 0.5, ["A"], ["B"], ["A", "B"])
     df = spark.createDataFrame([row], "team_member_id string, final_score double, skill_score double, experience_score double, availability_score double, is_available boolean, mandatory_score double, preferred_score double, mandatory_matched array<string>, preferred_matched array<string>, skills_matched array<string>")
