@@ -27,30 +27,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, mapped, table
+from .common import checkpoint, mapped, table, temp_name
 
 KINDS = ("email", "ip", "card", "phone")
-# The patterns of the base spans.
+# The patterns of the base spans, as they are stated.
+STATED = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+)
+# The same matches in linear time: a run of a class is tried once, from its beginning, and never given back.
+# (Which place of a run a match begins at changes nothing of whether there is one; the leftmost is the run's first.)
+_LOCAL, _DOMAIN = r"[A-Za-z0-9._%+-]++", r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 BASE = (
-    re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}{_DOMAIN}"),
+    re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
+#: An e-mail address may begin right where the one before ends, within a run.
+_NEXT_EMAIL = re.compile(_LOCAL + _DOMAIN)
 _AT, _DOT = r"\s?[\[({]\s?at\s?[\])}]\s?", r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
 LOOSE = (
-    re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I),
-    re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Za-z:])"),
+    re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+", re.I),
+    re.compile(r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f]{1,4}:)[0-9A-Fa-f:]++(?![0-9A-Za-z:])"),
     None,
     re.compile(r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[ .-]|\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
 )
 #: What must be in a text for a pattern to be tried; loose[2] are base matches of 13 to 15 digits.
 _HINT = ("@", None, None, "+"), (re.compile(r"[\[({]\s?at\s?[\])}]", re.I), re.compile(r":[0-9A-Fa-f]{0,4}:"), None, re.compile(r"[0-9]{3}[ .-][0-9]{4}"))
-
-# Small gazetteers.
-TOP_LEVEL = frozenset("com org net edu gov int mil info biz io dev app eu uk de fr es it nl be ch at se no dk fi pl pt ie cz ru ua jp cn kr in br mx ar au nz za ca us".split())
-FILE_ENDS = frozenset("png jpg jpeg gif svg webp js css html htm php py txt pdf zip md json xml".split())
-CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 351 352 353 354 355 356 357 358 359 370 371 372 380 385 386 420 421 852 886 966 971 972".split())
+_V6 = re.compile(r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}")
+
+# Gazetteers. Top-level domains of two letters are countries by rule; these are the common others.
+GENERIC = frozenset("com org net edu gov int mil info biz name pro aero coop museum jobs mobi travel tel cat asia post app dev xyz online site shop store tech blog cloud design agency email company group global media news live life world today space website digital solutions services systems network academy center school university health care law finance bank money fund capital africa london berlin paris tokyo nyc".split())
+FILE_ENDS = frozenset("png jpg jpeg gif svg webp bmp ico js ts css html htm php py rb sh md txt pdf doc docx xls xlsx ppt zip gz tar xml json yaml yml csv log exe dll mp3 mp4 avi mov".split())
+# The country codes of the numbering plan. Of one digit, of two, and the first two digits of those of three.
+ONE_DIGIT = frozenset("1 7".split())
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+OF_THREE = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
 ISSUER = re.compile(r"4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|35|6011|64|65|62")
 CONTEXT = (
     re.compile(r"\b(?:e-?mail|mail|contact|write to|reach|address)\b", re.I),
@@ -78,29 +93,52 @@ def digits_of(span: str) -> str:
     return "".join(c for c in span if "0" <= c <= "9")
 
 
+def _octets(span: str) -> list[int]:
+    """The parts of a dotted number, 256 for those above 255; leading zeros count for nothing, whatever their number."""
+    bare = (p.lstrip("0") or "0" for p in span.split("."))
+    return [min(256, int(p)) if len(p) < 4 else 256 for p in bare]
+
+
+def known_code(digits: str) -> bool:
+    """Whether digits begin with a country's calling code."""
+    return digits[:1] in ONE_DIGIT or digits[:2] in TWO_DIGITS or digits[:2] in OF_THREE and len(digits) > 2
+
+
 def valid(kind: int, m: re.Match) -> bool:
     """Whether a match of a base pattern is a base span."""
     if kind == 0:
         return True
     if kind == 1:
-        return all(int(p) <= 255 for p in m[0].split(".")) if len(m[0]) < 4000 else False
-    digits = digits_of(m[0])
-    return 16 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 8 <= len(digits) <= 15
+        return max(_octets(m[0])) <= 255
+    if kind == 2:
+        return 16 <= len(m[0]) - m[0].count(" ") - m[0].count("-") <= 19 and luhn(digits_of(m[0]))
+    return 8 <= sum(map(m[0].count, "0123456789")) <= 15
+
+
+def base_matches(kind: int, text: str) -> Iterator[re.Match]:
+    """The leftmost non-overlapping matches of STATED[kind], valid or not, in time linear in the text."""
+    if kind:
+        yield from BASE[kind].finditer(text)
+        return
+    m = BASE[0].search(text)
+    while m:
+        yield m
+        m = _NEXT_EMAIL.match(text, m.end()) or BASE[0].search(text, m.end())
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, int, bool]]:
     """(kind, start, end, base) in code points, by kind and start; loose ones never overlap base ones of any kind."""
     base: list[tuple[int, int, int]] = []
     loose: list[tuple[int, int, int]] = []
-    for kind, pattern in enumerate(BASE):
+    for kind in range(len(KINDS)):
         if _HINT[0][kind] is None or _HINT[0][kind] in text:
-            for m in pattern.finditer(text):
+            for m in base_matches(kind, text):
                 if valid(kind, m):
                     base.append((kind, *m.span()))
-                elif kind == 2 and 13 <= len(d := digits_of(m[0])) <= 15 and luhn(d):
+                elif kind == 2 and len(m[0]) < 30 and 13 <= len(d := digits_of(m[0])) <= 15 and luhn(d):
                     loose.append((kind, *m.span()))
         if LOOSE[kind] is not None and _HINT[1][kind].search(text):
-            loose += [(kind, *m.span()) for m in LOOSE[kind].finditer(text) if kind != 1 or "::" in m[0] or m[0].count(":") == 7]
+            loose += [(kind, *m.span()) for m in LOOSE[kind].finditer(text) if kind != 1 or _V6.fullmatch(m[0])]
     taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
     reach = np.maximum.accumulate([e for _, e in taken]).tolist() if taken else []
@@ -120,15 +158,16 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> list[int]:
     out = []
     if kind == 0:
         last = re.split(r"[^A-Za-z0-9-]+", span)[-1].lower()
-        out.append(YES if re.search(r"[A-Za-z]{2,}$", span) and ".." not in span else NO)
-        out.append(YES if last in TOP_LEVEL else NO if last in FILE_ENDS else ABSTAIN)
+        out.append(YES if len(last) > 1 and last[-2:].isalpha() and ".." not in span else NO)
+        out.append(NO if last in FILE_ENDS else YES if last in GENERIC or len(last) == 2 and last.isalpha() else ABSTAIN)
         shape = NO if len(span) > 100 or span[0] in ".-%+" else YES
     elif kind == 1:
         v6 = ":" in span
         out.append(YES if (re.search(r"[0-9]", span) if v6 else not re.search(r"(?:^|\.)0[0-9]", span)) else NO)
-        first = 1 if v6 else int(span.split(".")[0])
+        parts = [1] if v6 else _octets(span)
+        first = parts[0]
         out.append(ABSTAIN if v6 else NO if first == 0 or first >= 240 else YES)
-        shape = (YES if len(span) > 10 else ABSTAIN) if v6 else NO if max(map(int, span.split("."))) < 20 else YES
+        shape = (YES if len(span) > 10 else ABSTAIN) if v6 else NO if max(parts) < 20 else YES
     elif kind == 2:
         out.append(YES if re.fullmatch(r"[0-9]+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{3,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}", span) else NO)
         out.append(YES if ISSUER.match(digits) else NO)
@@ -137,7 +176,7 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> list[int]:
         out.append(YES if span[0] == "+" and 10 <= len(digits) <= 13 else ABSTAIN if base or span[0] == "(" else NO)
         code = digits[2:] if span.startswith("00") else digits
         known = span[0] == "+" or span.startswith("00")
-        out.append((YES if any(code[:n] in CALLING for n in (1, 2, 3)) else NO) if known else YES if digits[0] not in "01" and digits[3] not in "01" else NO)
+        out.append((YES if known_code(code) else NO) if known else YES if digits[0] not in "01" and digits[3] not in "01" else NO)
         shape = NO if len(set(digits)) < 3 or span.count("(") != span.count(")") else YES
     near = bool(CONTEXT[kind].search(before))
     against = bool(AGAINST[kind].search(before))
@@ -288,26 +327,52 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return tag(found, train(found), id_col, threshold)
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, text) with each span replaced by its kind in brackets; ids must be unique and not null."""
-    spans = personal_data(df, id_col, text_col, **options)
-    schema = T.StructType([df.schema[id_col], T.StructField(text_col, T.StringType())])
+def _replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """text with each run of overlapping spans replaced by the kind of its longest one, in brackets."""
+    out, at, i = [], 0, 0
+    spans = sorted(spans, key=lambda s: (s[1], -s[2]))
+    while i < len(spans):
+        start, end, longest = spans[i][1], spans[i][2], spans[i]
+        while i < len(spans) and spans[i][1] < end:
+            end = max(end, spans[i][2])
+            longest = max(longest, spans[i], key=lambda s: s[2] - s[1])
+            i += 1
+        out += [text[at:start], f"[{longest[0]}]"]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def redact(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """df with each span of text_col replaced by its kind in brackets; of overlapping spans nothing stays.
+
+    The models are fitted as for personal_data, then each text is read again
+    where it lies: nothing is shuffled, all other columns and repeated rows
+    stay as they are, and a null text stays null.
+    """
+    key = temp_name(df, "row")
+    tagger = train(find_candidates(df.select(F.lit(0).alias(key), text_col), key, text_col))
+    shared = df.sparkSession.sparkContext.broadcast(tagger)
+    at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                last = len(text or "") + 1
-                for s in sorted(own or [], key=lambda s: -s["start"]):
-                    if s["end"] <= last:
-                        text, last = f"{text[: s['start']]}[{s['kind']}]{text[s['end'] :]}", s["start"]
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=schema.names)
+            for x in batch.column(at):
+                text = x.as_py()
+                found = [(k, s, e, b, pattern_of(k, b, votes(text, k, s, e, b), e - s)) for k, s, e, b in candidates(text or "")]
+                p = shared.value.probability(np.array([f[4] for f in found], np.int64)) if found else ()
+                taken = [(KINDS[k], s, e) for (k, s, e, b, _), q in zip(found, p, strict=True) if b or q >= threshold]
+                out.append(_replaced(text, taken) if taken else text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.string()))
 
-    return df.select(id_col, text_col).join(spans, id_col, "left").select(id_col, text_col, "spans").transform(mapped, run, schema)
+    return df.transform(mapped, run, df.schema)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
+    """doc_id, numbers of base spans by kind, their digest, and all spans, of each row of documents.
+
+    A null or empty text has no spans; rows that repeat a doc_id give a row each.
+    """
     spans = personal_data(table(spark, sf_dir, "documents"))
     text = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["base"])

@@ -1,6 +1,10 @@
 import re
+import time
 
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from rosterlake.llm import pii
 
@@ -26,7 +30,7 @@ def brute(text):
 TEXTS = [
     None, "", "nothing here", "mail a.b@c.example.com now", "ä é 4111 1111 1111 1111 and 4111111111111112", "ip 1.2.3.4.5 or 300.1.1.1 256.2.3.4", "+1 (555) 010-2030 and +12",
     "contact joe [at] mail (dot) example (dot) com please", "call (555) 234-5678 today", "order 555-234-5678", "credit card 378282246310005 was charged", "from 2001:db8:85a3:0:0:8a2e:370:7334 came",
-    "1 " * 30000, "@" * 5000, "x@y.z@q.org", "+1 (743) 555-3824" * 3,
+    "1 " * 30000, "@" * 5000, "x@y.z@q.org", "+1 (743) 555-3824" * 3, "a@b.c_d@e.f", "1.1.1." + "0" * 3996, "a" * 3000 + " x@y.org " + "1" * 3000, "+1 2 192.168.10.11",
 ]
 
 
@@ -75,6 +79,32 @@ def test_query_repeats_nulls_none(spark, sf_dir):
     assert pii.personal_data(odd.filter("false")).count() == 0
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab1.2@-_%+ 0():", max_size=40))
+def test_linear_patterns_match_the_stated_ones(text):
+    for kind, stated in enumerate(pii.STATED):
+        assert [m.span() for m in pii.base_matches(kind, text)] == [m.span() for m in re.finditer(stated, text)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a" * 1_000_000 + " @ x@y.org", "1" * 1_000_000 + " @ +", "1." * 500_000 + "+", "1 " * 500_000, "a." * 500_000 + "@", "+" + "1 " * 500_000, "@a" * 500_000, "0:" * 500_000, "ab" * 400_000 + ": [at] ::", "a@" + "b" * 1_000_000 + "1"],
+    ids=range(10),
+)
+def test_long_runs_take_linear_time(text):
+    began = time.perf_counter()
+    for c in pii.candidates(text):
+        pii.votes(text, *c)
+    assert time.perf_counter() - began < 3
+
+
+def test_long_zeros_are_an_address():
+    text = "see 1.1.1." + "0" * 3996 + " and 256.1.1.1"
+    assert [(k, s, e) for k, s, e, b in pii.candidates(text) if b and k == 1] == [(1, 4, 4006)]
+
+
 def test_redact(spark):
-    df = spark.createDataFrame([(1, "to a@b.org and +1 555 010 2030."), (2, None)], "doc_id long, text string")
-    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["to [email] and [phone].", None]
+    df = spark.createDataFrame([(1, "to a@b.org and +1 555 010 2030.", "x"), (2, None, "y"), (1, "at +1 2 192.168.10.11 now", "z"), (None, "", "w")], "doc_id long, text string, spans string")
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    assert {r.spans: r.text for r in got.collect()} == {"x": "to [email] and [phone].", "y": None, "z": "at [phone] now", "w": ""}
