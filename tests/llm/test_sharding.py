@@ -29,6 +29,31 @@ def test_hot_text_is_subdivided_and_small_groups_stay_whole(spark):
     assert sorted(map(str, got[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
 
 
+def test_only_a_group_too_large_for_a_shard_is_cut(spark):
+    rows = [(i, "x") for i in range(30_000)] + [(30_000 + 3 * g + j, f"group {g}") for g in range(30_000) for j in range(3)] + [(200_000 + i, "a large group that fits " * 20) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    total = sum(len(t) + 16 for _, t in rows)
+    got = check(sharding.assign(df, 10), rows, 10, 0.01 * total / 10)
+    shards = got.groupby("text").shard.nunique()
+    assert sum(len(t) + 16 for _, t in rows if t == "x") > total / 10 and shards["x"] > 1
+    assert (shards.drop("x") == 1).all()
+
+
+def test_pack():
+    home, room = sharding.pack([(1, 60), (2, 60), (3, 60), (4, 30), (5, 200)], 4, 400)
+    assert home[5] is None and len({home[k] for k in (1, 2, 3, 4)}) == 4 and sorted(room) == [40, 40, 40, 70]
+    assert sharding.pack([], 3, 0) == ({}, [0, 0, 0])
+
+
+def test_query_bytes_and_groups(spark):
+    got = sharding.op2_sharding(spark, "/root/testdata/sf0.01").toPandas()
+    sizes = got.groupby("shard")["size"].sum().reindex(range(40), fill_value=0)
+    assert (sizes - sizes.mean()).abs().max() <= max(0.01 * sizes.mean(), got["size"].max())
+    groups = got.groupby(["text_crc32", "size"])
+    fits = groups["size"].sum() <= sizes.mean() / 4
+    assert (groups.shard.nunique()[fits] == 1).all()
+
+
 def test_clashing_names_few_rows_and_none(spark):
     df = spark.createDataFrame([(1, "a", "x", 2), (2, None, "y", 3)], "doc_id long, text string, key_ string, shard int")
     got = sharding.assign(df, 40).toPandas()
