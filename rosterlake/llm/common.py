@@ -210,7 +210,7 @@ def sums_by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return (keys[first], *(np.add.reduceat(v[order], first) if len(keys) else v for v in values))
+    return (keys[first], *(np.add.reduceat(v[order], first, dtype=np.int64) if len(keys) else v.astype(np.int64) for v in values))
 
 
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:

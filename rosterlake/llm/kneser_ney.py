@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
@@ -38,8 +38,16 @@ START, END = (np.uint64(xxhash.xxh64_intdigest(b"", seed)) for seed in (1, 2))
 WORD_COLUMNS = ("count", "cont", "total", "n1", "n2", "n3")
 #: Bytes of text for each bucket of bigrams, and for each bucket of words.
 BIGRAM_BUCKET, WORD_BUCKET = 24 << 20, 96 << 20
-#: A task sums and sends its bigrams when it holds so many.
-HELD = 4 << 20
+#: A task sums and sends its bigrams when it holds so many tokens.
+HELD = 2 << 20
+#: Pairs of a bucket that are sorted and summed at a time; a bucket with more is handled in ranges of its hashes.
+PAIRS = 1 << 19
+#: Characters of text that are counted or scored at a time, and bytes of word sums that are held before they are added up.
+SLICE, SUMS = 2 << 20, 16 << 20
+#: Arrays that a worker keeps mapped.
+MAPPED = 4096
+#: Partitions of a shuffle are 2 to this at most; beyond that several buckets lie in one, in order, and are handled one after the other.
+PARTITION_BITS = 14
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -78,25 +86,32 @@ def _bits(size: int, each: int) -> int:
     return max(0, (max(1, size) // each).bit_length())
 
 
-def _packed(keys: np.ndarray, bits: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, 64-bit columns end to end) for sorted keys."""
-    cuts = np.searchsorted(_bucket(keys, bits), np.arange((1 << bits) + 1))
-    for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if hi > lo:
-            yield b, b"".join(c[lo:hi].tobytes() for c in columns)
+def _packed(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, its part of each column end to end), for rows in the order of their buckets."""
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[lo]), b"".join(c[lo:hi].tobytes() for c in columns)
 
 
-def _unpacked(blobs: list[bytes], kinds: tuple) -> list[np.ndarray]:
-    parts = [[np.frombuffer(b, kind, len(b) // (8 * len(kinds)), len(b) // len(kinds) * i) for i, kind in enumerate(kinds)] for b in blobs]
-    return [np.concatenate([p[i] for p in parts]) for i in range(len(kinds))]
+def _unpacked(blob: bytes, kinds: tuple) -> list[np.ndarray]:
+    """What _packed laid end to end; kinds: the columns' types."""
+    n = len(blob) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for kind in kinds:
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
-def _rows(pairs: list[tuple[int, bytes, list[int] | None]]) -> pa.RecordBatch:
-    b, blob, stats = zip(*pairs, strict=True) if pairs else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blob, pa.binary()), pa.array(stats, pa.list_(pa.int64()))], names=["bucket", "blob", "stats"])
+def _rows(rows: list[tuple[int, int, bytes | None, list[int] | None]]) -> pa.RecordBatch:
+    b, side, blob, stats = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(side, pa.int32()), pa.array(blob, pa.binary()), pa.array(stats, pa.list_(pa.int64()))], names=["bucket", "side", "blob", "stats"])
 
 
-_SCHEMA = "bucket int, blob binary, stats array<long>"
+_SCHEMA = "bucket int, side int, blob binary, stats array<long>"
+#: Columns of the blobs: of pairs (word before, token, count), and of what a bucket's pairs add to a word as a token (side 0) and as a word before (side 1).
+_PAIR = (np.uint64, np.uint64, np.uint32)
+_SIDES = ((np.uint64, *[np.int64] * 2), (np.uint64, *[np.int64] * 4))
 
 
 def _save(folder: str, name: str, array: np.ndarray) -> None:
@@ -109,23 +124,70 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(own, f"{folder}/{name}.npy")
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes] | None, list[int] | None]]:
-    """(bucket, its blobs, None) for rows sorted by bucket, and (-1, None, stats) for rows that carry sums."""
-    at, held = -1, []
+def _by_bucket(batches: Iterator[pa.RecordBatch], add: Callable[[list], list] | None = None) -> Iterator[tuple[int, list | None, list[int] | None]]:
+    """(bucket, its (side, blob)s, None) for rows sorted by bucket, and (-1, None, stats) for rows that carry sums.
+
+    add: makes fewer of what is held of a bucket, each time that SUMS bytes have come.
+    """
+    at, held, size = -1, [], 0
     for batch in batches:
-        for b, blob, stats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b, side, blob, stats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if blob is None:
                 yield -1, None, stats
                 continue
             if b != at and held:
                 yield at, held, None
-                held = []
+                held, size = [], 0
             at = b
-            held.append(blob)
+            held.append((side, blob))
+            size += len(blob)
+            if add is not None and size > SUMS:
+                held, size = add(held), 0
     if held:
         yield at, held, None
 
 
+def _pair_ranges(blobs: list[tuple[int, bytes]], bits: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hashes in order, words before, tokens, counts) of a bucket's distinct pairs, in ranges of about PAIRS rows each."""
+    parts = [_unpacked(blob, _PAIR) for _, blob in blobs]
+    hashes = [pair_hash(before, token) for before, token, _ in parts]
+    more = min(_bits(sum(map(len, hashes)), PAIRS), 64 - bits)
+    for r in range(1 << more):
+        if more:
+            place = [(h << np.uint64(bits)) >> np.uint64(64 - more) if bits < 64 else h for h in hashes]
+            own = [np.flatnonzero(p == np.uint64(r)) for p in place]
+            del place
+        else:
+            own = [np.arange(len(h)) for h in hashes]
+        key = np.concatenate([h[o] for h, o in zip(hashes, own, strict=True)])
+        if not len(key):
+            continue
+        before, token, k = (np.concatenate([p[i][o] for p, o in zip(parts, own, strict=True)]) for i in range(3))
+        pick, k = _distinct(key, k.astype(np.int64))
+        yield key[pick], before[pick], token[pick], k
+
+
+def _word_parts(before: np.ndarray, token: np.ndarray, k: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """What distinct pairs with counts k add to their tokens (count, cont) and to their words before (total, n1, n2, n3)."""
+    of_token = sums_by_key(token, k, np.ones(len(k), np.int8))
+    of_before = sums_by_key(before, k, k == 1, k == 2, k >= 3)
+    return of_token, of_before
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return sums_by_key(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
+def _word_sums(held: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """The same sums in one blob for each side."""
+    out = []
+    for i, kinds in enumerate(_SIDES):
+        own = [_unpacked(blob, kinds) for side, blob in held if side == i]
+        if own:
+            out.append((i, b"".join(c.tobytes() for c in _merged(own))))
+    return out
+
+
 def _ranks(n: np.ndarray) -> list[int]:
     """How many are 1, 2, 3, 4, and 3 or more."""
     return [int(np.count_nonzero(n == i)) for i in (1, 2, 3, 4)] + [int(np.count_nonzero(n >= 3))]
@@ -152,32 +214,47 @@ class Model:
     d1: list[float] = field(default_factory=lambda: [0.0] * 4)
     conts: int = 0
     cont_ranks: list[int] = field(default_factory=lambda: [0] * 5)
-
-    def find(self, kind: str, keys: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
-        """The columns of sorted, distinct keys; 0 where a key is not there."""
+    #: How many keys each bucket holds, by kind; a bucket that is not listed is empty.
+    held: dict[str, dict[int, int]] = field(default_factory=lambda: {"bigrams": {}, "words": {}})
+
+    def array(self, kind: str, bucket: int, column: str, mapped: dict) -> np.ndarray:
+        """A bucket's column, mapped into memory. Raises where it is missing or not of the length that training noted."""
+        at = f"{self.folder}/{kind}/{bucket}/{column}.npy"
+        if at not in mapped:
+            if len(mapped) >= MAPPED:
+                mapped.clear()
+            if not os.path.exists(at):
+                raise FileNotFoundError(f"{at} is gone, or spark.checkpoint.dir is not mounted here; without it scores would be wrong")
+            mapped[at] = np.load(at, mmap_mode="r")
+            if len(mapped[at]) != self.held[kind][bucket]:
+                raise ValueError(f"{at} holds {len(mapped[at])} keys in place of {self.held[kind][bucket]}")
+        return mapped[at]
+
+    def find(self, kind: str, keys: np.ndarray, columns: tuple[str, ...], mapped: dict | None = None) -> list[np.ndarray]:
+        """The columns of sorted, distinct keys; 0 where a key is not there. mapped: arrays that are open already."""
         bits = self.bigram_bits if kind == "bigrams" else self.word_bits
+        mapped = {} if mapped is None else mapped
         out = [np.zeros(len(keys), np.int64) for _ in columns]
         of = _bucket(keys, bits)
-        for b in np.unique(of):
-            at = f"{self.folder}/{kind}/{b}"
-            if not os.path.exists(f"{at}/hash.npy"):
+        for b in np.unique(of).tolist():
+            if b not in self.held[kind]:
                 continue
             lo, hi = np.searchsorted(of, [b, b + 1])
-            hashes = np.load(f"{at}/hash.npy", mmap_mode="r")
+            hashes = self.array(kind, b, "hash", mapped)
             place = np.minimum(np.searchsorted(hashes, keys[lo:hi]), len(hashes) - 1)
             there = np.flatnonzero(hashes[place] == keys[lo:hi])
             for o, c in zip(out, columns, strict=True):
-                o[lo + there] = np.load(f"{at}/{c}.npy", mmap_mode="r")[place[there]]
+                o[lo + there] = self.array(kind, b, c, mapped)[place[there]]
         return out
 
-    def score(self, texts: list[str | None], words: WordHashes) -> tuple[np.ndarray, ...]:
+    def score(self, texts: list[str | None], words: WordHashes, mapped: dict | None = None) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
         before, token, count = token_pairs(texts, words)
         distinct, of = np.unique(np.concatenate([token, before]), return_inverse=True)
-        c, cont, total, n1, n2, n3 = self.find("words", distinct, WORD_COLUMNS)
+        c, cont, total, n1, n2, n3 = self.find("words", distinct, WORD_COLUMNS, mapped)
         of, by = of[: len(token)], of[len(token) :]
         pairs, pair_of = np.unique(pair_hash(before, token), return_inverse=True)
-        seen = self.find("bigrams", pairs, ("count",))[0][pair_of]
+        seen = self.find("bigrams", pairs, ("count",), mapped)[0][pair_of]
 
         d1, d2 = np.array(self.d1), np.array(self.d2)
         ranks = self.cont_ranks
@@ -214,19 +291,17 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
             before, token = (np.concatenate([h[i] for h in held]) for i in range(2))
             held.clear()
             pick, k = _distinct(pair_hash(before, token))
-            before, token = before[pick], token[pick]
+            before, token, k = before[pick], token[pick], k.astype(np.uint32)
             # By bucket, and within it by the word before: its repeats are close together and compress.
             pick = np.argsort(before)
-            bucket = _bucket(pair_hash(before[pick], token[pick]), bits).astype(np.uint16 if bits <= 16 else np.int64)
+            before, token, k = before[pick], token[pick], k[pick]
+            bucket = _bucket(pair_hash(before, token), bits).astype(np.uint16 if bits <= 16 else np.int64)
             by = np.argsort(bucket, kind="stable")
-            pick, bucket = pick[by], bucket[by]
-            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            columns = (before[pick], token[pick], k[pick])
-            return _rows([(int(bucket[lo]), b"".join(c[lo:hi].tobytes() for c in columns), None) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
+            return _rows([(b, 0, blob, None) for b, blob in _packed(bucket[by], before[by], token[by], k[by])])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for lo, hi in slices([len(x or "") for x in texts], 8 << 20):
+            for lo, hi in slices([len(x or "") for x in texts], SLICE):
                 before, token, _ = token_pairs(texts[lo:hi], words)
                 held.append((before, token))
                 n += len(token)
@@ -238,35 +313,59 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, blobs, _ in _by_bucket(batches):
-            before, token, k = _unpacked(blobs, (np.uint64, np.uint64, np.int64))
+            keys, counts, sides = [], [], ([], [])
+            for key, before, token, k in _pair_ranges(blobs, bits):
+                keys.append(key)
+                counts.append(k.astype(np.uint32) if k.max() < 1 << 32 else k.astype(np.uint64))
+                for side, part in zip(sides, _word_parts(before, token, k), strict=True):
+                    side.append(part)
             blobs.clear()
-            key = pair_hash(before, token)
-            pick, k = _distinct(key, k)
-            key, before, token = key[pick], before[pick], token[pick]
-            _save(f"{folder}/bigrams/{b}", "count", k)
+            count = np.concatenate(counts)
+            _save(f"{folder}/bigrams/{b}", "count", count)
+            ranks = _ranks(count)
+            del counts, count
+            key = np.concatenate(keys)
             _save(f"{folder}/bigrams/{b}", "hash", key)
-            one, none = np.ones_like(k), np.zeros_like(k)
-            rank = [(k == 1).astype(np.int64), (k == 2).astype(np.int64), (k >= 3).astype(np.int64)]
-            found = sums_by_key(np.concatenate([token, before]), *(np.concatenate(c) for c in ((k, none), (one, none), (none, k), *((none, r) for r in rank))))
-            yield _rows([(w, blob, None) for w, blob in _packed(found[0], word_bits, *found)] + [(0, None, [2, *_ranks(k)])])
+            n = len(key)
+            del keys, key
+            for i, side in enumerate(sides):
+                found = _merged(side)
+                side.clear()
+                yield _rows([(w, i, blob, None) for w, blob in _packed(_bucket(found[0], word_bits), *found)])
+            yield _rows([(0, 0, None, [2, b, n, *ranks])])
 
     def word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, blobs, stats in _by_bucket(batches):
+        for b, blobs, stats in _by_bucket(batches, _word_sums):
             if stats is not None:
-                yield _rows([(0, None, stats)])
+                yield _rows([(0, 0, None, stats)])
                 continue
-            keys, *columns = sums_by_key(*_unpacked(blobs, (np.uint64, *[np.int64] * len(WORD_COLUMNS))))
+            sides = {i: _unpacked(blob, _SIDES[i]) for i, blob in _word_sums(blobs)}
+            blobs.clear()
+            tokens, befores = (sides.get(i, [np.zeros(0, k) for k in _SIDES[i]]) for i in range(2))
+            keys = np.union1d(tokens[0], befores[0])
+            columns = []
+            for own, *sums in (tokens, befores):
+                at = np.searchsorted(keys, own)
+                for c in sums:
+                    columns.append(np.zeros(len(keys), np.int64))
+                    columns[-1][at] = c
             for name, c in zip(WORD_COLUMNS, columns, strict=True):
                 _save(f"{folder}/words/{b}", name, c)
             _save(f"{folder}/words/{b}", "hash", keys)
             c, cont = columns[:2]
-            yield _rows([(0, None, [1, *_ranks(cont), int(cont.sum()), int(c.sum()), int(np.count_nonzero(c))])])
+            yield _rows([(0, 0, None, [1, b, len(keys), *_ranks(cont), int(cont.sum()), int(c.sum()), int(np.count_nonzero(c))])])
+
+    def dealt(rows: DataFrame, bits: int) -> DataFrame:
+        used = min(bits, PARTITION_BITS)
+        return rows.repartitionById(1 << used, F.shiftright("bucket", bits - used)).sortWithinPartitions("bucket")
 
-    sent = df.select(text_col).transform(mapped, pairs, _SCHEMA).repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket")
-    sent = sent.transform(mapped, bigrams, _SCHEMA).repartitionById(1 << word_bits, F.col("bucket")).sortWithinPartitions("bucket")
+    sent = dealt(df.select(text_col).transform(mapped, pairs, _SCHEMA), bits)
+    sent = dealt(sent.transform(mapped, bigrams, _SCHEMA), word_bits)
     sums = {1: np.zeros(8, np.int64), 2: np.zeros(5, np.int64)}
     for r in sent.transform(mapped, word_sums, _SCHEMA).select("stats").collect():  # a few sums for each bucket
-        sums[r["stats"][0]] += np.array(r["stats"][1:], np.int64)
+        order, b, n, *found = r["stats"]
+        sums[order] += np.array(found, np.int64)
+        model.held["words" if order == 1 else "bigrams"][b] = n
     one, two = (x.tolist() for x in (sums[1], sums[2]))
     model.d2, model.d1 = _discounts(two), _discounts(one)
     model.cont_ranks, model.conts, model.tokens, model.vocabulary = one[:5], one[5], one[6], one[7]
@@ -280,11 +379,11 @@ def score(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "text
     n = len(id_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words, arrays = WordHashes(), {}
         for batch in batches:
             texts = batch.column(n).to_pylist()
-            for lo, hi in slices([len(x or "") for x in texts], 8 << 20):
-                count, known, base, log = model.score(texts[lo:hi], words)
+            for lo, hi in slices([len(x or "") for x in texts], SLICE):
+                count, known, base, log = model.score(texts[lo:hi], words, arrays)
                 found = [count, known, base, log, np.power(10.0, -log / count)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:n]), *map(pa.array, found)], names=schema.names)
 

@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter, defaultdict
 
 import pytest
@@ -47,8 +48,9 @@ def brute(train, texts):
     return out
 
 
-@pytest.mark.parametrize("bucket", [1 << 40, 8])
-def test_like_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "partition_bits"), [(1 << 40, 14), (8, 14), (8, 2)])
+def test_like_brute_force(spark, monkeypatch, bucket, partition_bits):
+    monkeypatch.setattr(kn, "PARTITION_BITS", partition_bits)
     monkeypatch.setattr(kn, "BIGRAM_BUCKET", bucket)
     monkeypatch.setattr(kn, "WORD_BUCKET", bucket)
     train = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
@@ -62,6 +64,37 @@ def test_like_brute_force(spark, monkeypatch, bucket):
         assert r.perplexity == pytest.approx(10 ** (-want[3] / want[0]))
 
 
+def test_ranges_of_a_bucket_hold_each_pair_once(monkeypatch):
+    monkeypatch.setattr(kn, "PAIRS", 50)
+    rng = kn.np.random.default_rng(1)
+    want, blobs, bits = Counter(), [], 3
+    for _ in range(5):
+        before, token = rng.integers(0, 30, (2, 400)).astype(kn.np.uint64)
+        inside = kn._bucket(kn.pair_hash(before, token), bits) == 5
+        before, token, k = before[inside], token[inside], rng.integers(1, 9, inside.sum()).astype(kn.np.uint32)
+        for a, b, n in zip(before.tolist(), token.tolist(), k.tolist(), strict=True):
+            want[a, b] += n
+        blobs += [(0, blob) for _, blob in kn._packed(kn.np.full(len(k), 5), before, token, k)]
+    parts = list(kn._pair_ranges(blobs, bits))
+    assert len(parts) > 1
+    key, before, token, k = (kn.np.concatenate(c) for c in zip(*parts, strict=True))
+    assert (kn.np.diff(key.astype(object)) > 0).all()
+    assert dict(zip(zip(before.tolist(), token.tolist(), strict=True), k.tolist(), strict=True)) == want
+
+
+def test_word_sums_are_added_up_as_they_come(monkeypatch):
+    monkeypatch.setattr(kn, "SUMS", 100)
+    one = [kn.np.array([1, 2], kn.np.uint64), *[kn.np.array([3, 4])] * 2]
+    two = [kn.np.array([2, 9], kn.np.uint64), *[kn.np.array([5, 6])] * 4]
+    blob = lambda c: b"".join(x.tobytes() for x in c)
+    rows = [(b, side, blob(c), None) for b in (0, 1) for side, c in ((0, one), (1, two)) * 7]
+    found = [(b, dict(kn._word_sums(held))) for b, held, _ in kn._by_bucket([kn._rows(rows[:9]), kn._rows(rows[9:])], kn._word_sums)]
+    assert [b for b, _ in found] == [0, 1]
+    for _, sides in found:
+        assert [c.tolist() for c in kn._unpacked(sides[0], kn._SIDES[0])] == [[1, 2], [21, 28], [21, 28]]
+        assert [c.tolist() for c in kn._unpacked(sides[1], kn._SIDES[1])] == [[2, 9], *[[35, 42]] * 4]
+
+
 def test_counts_split_over_flushes(spark, monkeypatch):
     monkeypatch.setattr(kn, "HELD", 3)
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1)
@@ -69,6 +102,29 @@ def test_counts_split_over_flushes(spark, monkeypatch):
     assert model.tokens == sum(len((x or "").split()) + 1 for x in TEXTS)
 
 
+@pytest.mark.parametrize(("kind", "column"), [("bigrams", "hash"), ("bigrams", "count"), ("words", "hash"), ("words", "cont")])
+def test_a_lost_bucket_is_an_error(spark, monkeypatch, kind, column):
+    monkeypatch.setattr(kn, "BIGRAM_BUCKET", 64)
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    model = kn.train(docs)
+    words = kn.WordHashes()
+    model.score(TEXTS, words)
+    for bucket in model.held[kind]:
+        os.remove(f"{model.folder}/{kind}/{bucket}/{column}.npy")
+    with pytest.raises(FileNotFoundError):
+        model.score(TEXTS, words)
+    with pytest.raises(Exception, match="is gone"):
+        kn.score(docs, model, ["doc_id"]).collect()
+
+
+def test_a_bucket_cut_short_is_an_error(spark):
+    model = kn.train(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+    at = f"{model.folder}/bigrams/0/hash.npy"
+    kn.np.save(at, kn.np.load(at)[:-1])
+    with pytest.raises(ValueError, match="in place of"):
+        model.score(TEXTS, kn.WordHashes())
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     model = kn.train(none)
