@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -115,6 +116,42 @@ def test_contamination_beside_long_words_and_blank_runs(spark):
         assert sorted(r.doc_id for r in decontaminate.decontaminate(ddf, idf).collect()) == [0, 2, 4]
 
 
+def test_a_phrase_that_many_items_and_a_document_repeat(monkeypatch):
+    phrase = "all rights to this text are reserved by us"
+    items = [(i, f"item {i} asks {phrase} of number {i} and {i + 1}") for i in range(2000)]
+    index = decontaminate.ItemIndex.build(items, 5, 0.8)
+    docs = [f"{phrase}. " * 3000, "nothing here", None, f"{phrase} " * 10 + items[7][1] + f" {phrase}" * 10, items[1999][1].upper()]
+    began = time.perf_counter()
+    found = index.search(decontaminate.pa.array(docs, decontaminate.pa.string()))
+    assert time.perf_counter() - began < 5
+    assert [(int(r), int(i)) for r, i, _ in zip(*found, strict=True)] == [(3, 7), (4, 1999)]
+    monkeypatch.setattr(decontaminate, "_AT_ONCE", 3)
+    again = index.search(decontaminate.pa.array(docs, decontaminate.pa.string()))
+    assert [x.tolist() for x in again] == [x.tolist() for x in found]
+    assert len(index.kept) <= decontaminate._KEPT
+
+
+def test_items_of_all_sizes_beside_long_documents():
+    rng = random.Random(4)
+    make = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [(n, make(n)) for n in (*range(5, 40), 64, 127, 128, 129, 500, 3000)]
+    index = decontaminate.ItemIndex.build(items, 5, 0.8)
+    docs = [make(2000) + " " + x + " " + make(20_000) for _, x in items] + [x for _, x in items] + [" ".join(x.split()[: int(n * 0.75)]) for n, x in items]
+    of_items = [decontaminate.shingles(x) for _, x in items]
+    want = {(d, i) for d, t in enumerate(docs) for own in [decontaminate.shingles(t)] for i, x in enumerate(of_items) if len(own & x) >= 0.8 * len(x) - 1e-9}
+    row, item, _ = index.search(decontaminate.pa.array(docs))
+    assert set(zip(row.tolist(), item.tolist(), strict=True)) == want and len(want) >= 2 * len(items)
+
+
+def test_blocks_are_bounded_and_names_may_clash(spark):
+    items = spark.createDataFrame([(i, "one two three four five six seven " * (i % 3)) for i in range(60)], "ID long, text string").repartition(3)
+    sizes = [sum(len(t or "") + 64 for t in b.value.texts) for b in decontaminate._blocks(items, "ID", "text", 5, 0.8, 500)]
+    assert len(sizes) > 5 and max(sizes) <= 500
+    docs = spark.createDataFrame([(1, "x one two three four five six seven one two y", "z")], "id long, text string, item_id string")
+    got = decontaminate.contaminated_pairs(docs, items, "id", "text", "ID", "text", block_bytes=500)
+    assert got.columns == ["id", "item_ID", "n_shared", "n_shingles", "containment"] and {r.item_ID for r in got.collect()} == {i for i in range(60) if i % 3 == 1}
+
+
 def test_token_hashes_are_equal_anywhere():
     far = "w" * 2500
     texts = ["one two", far, "one two", "one" + " " * 1500 + "two", "  one two", far + "x " + far]
