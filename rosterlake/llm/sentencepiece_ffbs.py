@@ -7,8 +7,11 @@ on the row's key, the seed and the place in the text alone, so a segmentation
 is the same wherever and whenever the row is encoded.
 
 No piece runs from other text into a space, so the lattice falls apart at the
-beginnings of runs of spaces. The forward pass is made once for each distinct
-unit of a slice of rows, the backward pass for all units at once.
+beginnings of runs of spaces. Units that are still long fall apart again wherever
+no piece crosses, as in scripts without spaces. The forward pass is made once for
+each distinct unit of a slice of rows, the backward pass for all units at once.
+A unit that stays long (a run of one character, say) is passed through from
+window to window. What is drawn hangs on the unit alone, never on its neighbours.
 
 A model of the BPE kind holds merge ranks, not probabilities; a piece of rank r
 gets a probability in proportion to 1 / (r + 50) (Zipf's law). Characters
@@ -21,6 +24,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped, mix64, table, _W, _W_FAR
+from .common import mapped, mix64, slices, table, _W, _W_FAR
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _R = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
+#: Bytes: of a unit that is long, of the windows for long ones, and of distinct units that are handled at a time.
+LONG, WINDOW, AT_ONCE = 128, 1 << 16, 1 << 20
 
 
 def _char_starts(data: np.ndarray) -> np.ndarray:
@@ -137,7 +144,7 @@ class Pieces:
         return np.concatenate([start, spelt]), np.concatenate([end, spelt + 1]), np.concatenate([piece, self.bytes_id[data[spelt]].astype(np.int64)])
 
     def sample(self, data: np.ndarray, starts: np.ndarray, unit: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segmentations of occurrences of units.
+        """Segmentations of occurrences of units of at most LONG bytes.
 
         data, starts: the distinct units laid end to end. unit, key, place: for
         each occurrence its unit, its row's key and its place in the row.
@@ -165,10 +172,12 @@ class Pieces:
             a, b = begins[lo], begins[hi] if hi < len(begins) else len(end)
             ways[a:b] = weight[a:b] + np.where(start[a:b] == base[a:b], 0.0, forward[start[a:b]])
             forward[end[begins[lo:hi]]] = np.logaddexp.reduceat(ways[a:b], begins[lo:hi] - a)
-        share = np.exp(ways - forward[end])
-        total = np.cumsum(share)
-        before = np.concatenate([[0.0], total])[begins]
-        up_to = total - before[of_group]
+        # The shares of what ends at a place are summed within the place: no other unit's rounding comes in.
+        up_to = np.exp(ways - forward[end])
+        rank = (np.arange(len(end)) - begins[of_group]).astype(np.uint8)
+        for r in range(1, int(rank.max()) + 1):
+            later = np.flatnonzero(rank == r)
+            up_to[later] += up_to[later - 1]
         last = np.append(begins[1:], len(end)) - 1
         group_at = np.full(len(data) + 1, -1)
         group_at[end[begins]] = np.arange(len(begins))
@@ -178,8 +187,7 @@ class Pieces:
         steps = []
         while len(who):
             g = group_at[at[who]]
-            draw = mix64(key[who] + (place[who] + at[who] - starts[unit[who]]).astype(np.uint64) * _R)
-            u = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            u = self._uniform(key[who], place[who] + at[who] - starts[unit[who]])
             e, stop = begins[g], last[g]
             more = np.flatnonzero((e < stop) & (up_to[e] <= u))
             while len(more):  # a place has few pieces that end there
@@ -197,6 +205,64 @@ class Pieces:
             out[end_of[who] - 1 - i] = p
         return out, count
 
+    # -- long units
+
+    def cuts(self, data: np.ndarray, unit_end: np.ndarray) -> np.ndarray:
+        """The places in units laid end to end that no piece crosses."""
+        out, margin = [], self.levels + 4
+        for lo in range(0, len(data), AT_ONCE):
+            hi = min(len(data), lo + AT_ONCE)
+            a, b = max(0, lo - margin), min(len(data), hi + margin)
+            start, end, _ = self.edges(data[a:b], np.minimum(unit_end[a:b], b) - a)
+            crossing = np.cumsum(np.bincount(start + 1, minlength=b - a + 2) - np.bincount(end, minlength=b - a + 2))
+            out.append(np.flatnonzero(crossing[lo - a : hi - a] == 0) + lo)
+        return np.concatenate(out)
+
+    def _window(self, data: np.ndarray, lo: int, hi: int) -> tuple[list, list, list, list]:
+        """(start, end, piece, log-probability) of the pieces of a unit that end in (lo, hi], by end and length."""
+        margin = self.levels + 4
+        a, b = max(0, lo - margin), min(len(data), hi + margin)
+        start, end, piece = self.edges(data[a:b], np.full(b - a, b - a))
+        start, end = start + a, end + a
+        own = np.flatnonzero((end > lo) & (end <= hi))
+        own = own[np.argsort(end[own] << 6 | end[own] - start[own])]
+        return start[own].tolist(), end[own].tolist(), piece[own].tolist(), self.logp[piece[own]].tolist()
+
+    def forward(self, data: np.ndarray) -> list[float]:
+        """For each place of a long unit the log-sum over all ways to it."""
+        sums = [0.0] * (len(data) + 1)
+        for lo in range(0, len(data), WINDOW):
+            start, end, _, weight = self._window(data, lo, min(len(data), lo + WINDOW))
+            for at, own in groupby(range(len(end)), end.__getitem__):
+                ways = [weight[i] + sums[start[i]] for i in own]
+                top = max(ways)
+                sums[at] = top if len(ways) == 1 else top + log(sum(exp(w - top) for w in ways))
+        return sums
+
+    def backward(self, data: np.ndarray, sums: list[float], key: np.uint64, place: int) -> list[int]:
+        """A long unit's pieces, drawn from its end on."""
+        at, out = len(data), []
+        for lo in range((len(data) - 1) // WINDOW * WINDOW, -1, -WINDOW):
+            hi = min(len(data), lo + WINDOW)
+            start, end, piece, weight = self._window(data, lo, hi)
+            where = dict(zip(reversed(end), range(len(end) - 1, -1, -1), strict=True))  # the first piece that ends at a place
+            draws = self._uniform(np.full(hi - lo, key), place + np.arange(lo + 1, hi + 1)).tolist()
+            while at > lo:
+                i, up_to, u = where[at], 0.0, draws[at - lo - 1]
+                while True:
+                    up_to += exp(weight[i] + sums[start[i]] - sums[at])
+                    if u < up_to or i + 1 == len(end) or end[i + 1] != at:
+                        break
+                    i += 1
+                out.append(piece[i])
+                at = start[i]
+        return out[::-1]
+
+    @staticmethod
+    def _uniform(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """A number from 0 to 1 for each key and place."""
+        return (mix64(key + place.astype(np.uint64) * _R) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
     # -- rows
 
     def encode(self, texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,18 +279,54 @@ class Pieces:
         begins[row_start[sizes > 0]] = True
         starts = np.flatnonzero(begins)
         lengths = np.append(starts[1:], len(data)) - starts
+        if (lengths > LONG).any():
+            at, n = starts[lengths > LONG], lengths[lengths > LONG]
+            take = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            begins[take[self.cuts(data[take], np.repeat(np.cumsum(n), n))]] = True
+            starts = np.flatnonzero(begins)
+            lengths = np.append(starts[1:], len(data)) - starts
         place = np.arange(len(data)) - np.repeat(starts, lengths)
         value = (data.astype(np.uint64) + _ONE) * _W[place & 1023]
         if place.max() > 1023:
             value *= _W_FAR[(place >> 10) & 1023]
         hashes = mix64(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * _R)
+        del place, value
         _, first, unit = np.unique(hashes, return_index=True, return_inverse=True)
-        unit_len = lengths[first]
-        unit_start = np.cumsum(unit_len) - unit_len
-        take = np.repeat(starts[first] - unit_start, unit_len) + np.arange(unit_len.sum())
         row = np.searchsorted(row_start + sizes, starts, "right")
-        pieces, count = self.sample(data[take], unit_start, unit, keys.astype(np.uint64)[row], starts - row_start[row])
-        return pieces, np.bincount(row, count, len(texts)).astype(np.int64)
+        key, place = keys.astype(np.uint64)[row], starts - row_start[row]
+
+        # Distinct units in groups of about AT_ONCE bytes; long ones by themselves.
+        unit_len, unit_at = lengths[first], starts[first]
+        short = np.flatnonzero(unit_len <= LONG)
+        group = np.full(len(first), -1)
+        group[short] = np.cumsum(unit_len[short]) // AT_ONCE
+        count = np.zeros(len(starts), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # occurrences and their pieces end to end
+        for g in range(int(group.max()) + 1):
+            own = np.flatnonzero(group == g)
+            among = np.flatnonzero(group[unit] == g)
+            n = unit_len[own]
+            at = np.cumsum(n) - n
+            take = np.repeat(unit_at[own] - at, n) + np.arange(n.sum())
+            new = np.zeros(len(first), np.int64)
+            new[own] = np.arange(len(own))
+            pieces, count[among] = self.sample(data[take], at, new[unit[among]], key[among], place[among])
+            found.append((among, pieces))
+        for u in np.flatnonzero(group < 0):
+            own = data[unit_at[u] : unit_at[u] + unit_len[u]]
+            sums = self.forward(own)
+            for i in np.flatnonzero(unit == u):
+                pieces = np.array(self.backward(own, sums, key[i], int(place[i])), np.int32)
+                count[i] = len(pieces)
+                found.append((np.array([i]), pieces))
+        if len(found) == 1:
+            out = found[0][1]
+        else:
+            begin, out = np.cumsum(count) - count, np.empty(count.sum(), np.int32)
+            for among, pieces in found:
+                n = count[among]
+                out[np.repeat(begin[among] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = pieces
+        return out, np.bincount(row, count, len(texts)).astype(np.int64)
 
     def decode(self, pieces: np.ndarray, count: np.ndarray) -> list[str]:
         """The texts of pieces laid end to end, count of them each."""
@@ -238,17 +340,6 @@ class Pieces:
         return [data[a + 1 : b].decode("utf-8", "surrogatepass") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _slices(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
-    lo, size = 0, 0
-    for i, x in enumerate(texts):
-        size += len(x or "")
-        if size >= limit:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, model: str = MODEL, alpha: float = 1.0, out: str = "piece_ids", slice_chars: int = 1 << 20) -> DataFrame:
     """df with an array<int> column out: a sampled segmentation of each whole text.
 
@@ -266,7 +357,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             keys = mix64(batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64))
-            for lo, hi in _slices(texts, slice_chars):
+            for lo, hi in slices([len(x or "") for x in texts], slice_chars):
                 pieces, count = shared.value.encode(texts[lo:hi], keys[lo:hi])
                 null = pa.array([x is None for x in texts[lo:hi]])
                 offsets = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))

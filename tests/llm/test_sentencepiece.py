@@ -1,8 +1,10 @@
 import itertools
 import math
+import time
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from rosterlake.llm import sentencepiece_ffbs as sp
 
@@ -32,6 +34,68 @@ def test_draws_follow_the_lattice():
         assert abs(got[z] / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-3
 
 
+def drawn(text, key):
+    """One text's pieces, by the recursion as it is defined, over all of it at once."""
+    data = b" " + text.encode()
+    of = {t: i for i, t in enumerate(P.text) if t and b" " not in t.lstrip(b" ") and i != P.bytes_id[t[0]] and np.isfinite(P.logp[i])}
+    starts = [i for i in range(len(data)) if data[i] & 0xC0 != 0x80] + [len(data)]
+    edges = {e: [] for e in range(1, len(data) + 1)}
+    for a, b in itertools.pairwise(starts):
+        for e in range(a + 1, min(len(data), a + P.levels) + 1):
+            if data[a:e] in of:
+                edges[e].append((a, of[data[a:e]]))
+        if data[a:b] not in of:
+            for i in range(a, b):
+                edges[i + 1].append((i, int(P.bytes_id[data[i]])))
+    total = {0: 0.0}
+    for e in range(1, len(data) + 1):
+        if edges[e]:
+            edges[e].sort(reverse=True)
+            total[e] = np.logaddexp.reduce([P.logp[i] + total[a] for a, i in edges[e]])
+    at, out = len(data), []
+    while at:
+        u = float(P._uniform(np.array([key], np.uint64), np.array([at]))[0])
+        share = np.cumsum([math.exp(P.logp[i] + total[a] - total[at]) for a, i in edges[at]])
+        at, piece = edges[at][min(int(np.searchsorted(share, u, "right")), len(share) - 1)]
+        out.append(piece)
+    return out[::-1]
+
+
+MIXED = ["", "plain words here", "日本語のテキストは空白なしで続きます。" * 20, "w" * 900, "aGVsbG8gd29ybGQ" * 40 + " x", "ab" * 100 + " " * 300 + "ñandú", "😀🎉" * 60, "x" * 129, "don't  stop\n\tnow", "https://example.org/" + "a1b2/" * 60]
+
+
+def encoded(texts, keys):
+    pieces, count = P.encode(texts, np.array(keys, np.uint64))
+    ends = [0, *itertools.accumulate(count.tolist())]
+    return [pieces[a:b].tolist() for a, b in itertools.pairwise(ends)]
+
+
+def test_rows_like_the_recursion_over_the_whole_text():
+    keys = [17 * i + 3 for i in range(len(MIXED))]
+    assert encoded(MIXED, keys) == [drawn(x, k) for x, k in zip(MIXED, keys, strict=True)]
+
+
+def test_pieces_are_the_same_alone_and_among_many(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["the", "cat", "Straße", "日本語", "aaaaaaaa", "12345", "x" * 200, "naïve"]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(10_000)] + MIXED
+    keys = rng.integers(0, 1 << 62, len(texts))
+    many = encoded(texts, keys)
+    for i in [*range(0, 10_000, 97), *range(10_000, len(texts))]:
+        assert encoded(texts[i : i + 1], keys[i : i + 1]) == [many[i]]
+    for name in ("WINDOW", "AT_ONCE"):
+        monkeypatch.setattr(sp, name, 70)
+    assert encoded(texts[-400:], keys[-400:]) == many[-400:]
+
+
+@pytest.mark.parametrize("text", ["日本語のテキスト" * 45_000, "w" * 1_000_000, "".join(f"{i * 7919:x}" for i in range(180_000)), "😀ﷺ☃" * 100_000, "a-b_" * 250_000], ids=range(5))
+def test_a_million_bytes_without_spaces(text):
+    began = time.perf_counter()
+    pieces, count = P.encode([text], np.array([5], np.uint64))
+    assert time.perf_counter() - began < 30
+    assert P.decode(pieces.astype(np.int64), count) == [text]
+
+
 def test_round_trip_and_repeatable(spark):
     texts = [None, "", " ", "a", "  two  spaces ", "tab\tline\nend\r\n", "日本語 テキスト", "😀🎉 ﷽", "\x00\x01", "é" * 3000, "w" * 20000, "same", "same", "▁ marker ▁▁", "x y " * 5000]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(1, "same", "k"), (1, "same", "k"), (None, "null id", "k")], "doc_id long, text string, Decoded string").repartition(3)
