@@ -4,13 +4,18 @@ A page becomes a tree of its elements. Each element has a density: its
 characters per tag, raised or lowered by how much of them are links, compared
 with the whole body. The subtree whose children's densities have the largest
 sum is the main text; its siblings on the way to the body belong to it if their
-density reaches the least one on the path from the body to it.
+density reaches the least one on the path from the body to it. An article or main
+element around that subtree is taken whole, for nothing of an article is to be
+dropped; what lies beside it must reach the threshold like any sibling.
 
 Elements that are never main text (menus, page headers, footers, asides, forms,
 scripts and what is hidden) are left out before anything is counted. So are
-those with a whole class, id, role or word of their label that says advert,
-notice, comments and the like, unless the page's main text lies in them: an
-article, main or h1, or most of the body's text besides links.
+those whose class, id, role or label names one of these, an advert, a notice or
+comments, unless the page's main text lies in them: an article, main or h1, or
+most of the body's text besides links. A class names such a thing if all its
+parts do or stand for a mere place ("ad-slot", "site-footer"), so "has-sidebar"
+and "legal-analysis" name none. Words for what is only found beside an article
+("related", "share") count for nothing within one.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_JOINTS = re.compile(r"[-_]+")
+_HEADER = frozenset(["header"])
 _NAMED = frozenset("class id role aria-label".split())
 
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -51,10 +58,11 @@ _SCOPE = frozenset("body html table td th caption button object".split())
 # Elements and the words in class, id or role that are not main text.
 LEFT_OUT = frozenset("head nav footer aside form button select dialog menu svg canvas object audio video template label fieldset".split())
 WORDS_OUT = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup "
-    "menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond feedback "
-    "footer masthead toolbar pagination pager login search legal copyright disclaimer contentinfo complementary skip tags outbrain taboola".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup "
+    "menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist disqus reply replies respond contentinfo complementary outbrain taboola".split()
 )
+BESIDE_OUT = frozenset("banner notification subscription widget widgets related recommended recommendations share sharing social feedback toolbar pagination pager login search legal copyright disclaimer skip tags".split())
+PLACES = frozenset("site page top bottom left right center main primary secondary global bar box slot unit area block section container wrapper wrap inner outer list item items links panel row col column content body form thread".split())
 OF_ARTICLES_OUT = frozenset("comment reply ad advert advertisement sponsored promo related teaser".split())
 
 
@@ -67,21 +75,32 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _names(word: str, among: frozenset[str]) -> bool:
+    """Whether a class is one of these words, or made of them and of PLACES."""
+    if word in among:
+        return True
+    parts = [p for p in _JOINTS.split(word) if p]
+    return len(parts) > 1 and any(p in among for p in parts) and all(p in among or p in PLACES for p in parts)
+
+
 def _standing(tag: str, rest: str, in_article: bool) -> tuple[bool, bool]:
     """(left out whatever lies in it, left out unless the main text lies in it)."""
     if tag in LEFT_OUT or tag == "header" and not in_article:
         return True, False
     if not rest or tag in ("html", "body", "main"):
         return False, False
-    words: set[str] = set()
+    words: set[str] = set()  # whole classes and the like
     for name, value in _ATTRIBUTE.findall(rest):
         name = name.lower()
         if name in _NAMED:
             words.update(value.strip("\"'").lower().split())
         elif name == "hidden" or name == "aria-hidden" and value.strip("\"'").lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
             return True, False
-    said = not words.isdisjoint(OF_ARTICLES_OUT if tag == "article" else WORDS_OUT) or "header" in words and not in_article
-    return False, said and tag != "h1"
+    if tag == "h1":
+        return False, False
+    if tag == "article":
+        return False, any(_names(w, OF_ARTICLES_OUT) for w in words)
+    return False, any(_names(w, WORDS_OUT) or not in_article and (_names(w, BESIDE_OUT) or _names(w, _HEADER)) for w in words)
 
 
 def _settle(root: Node) -> None:
@@ -232,25 +251,18 @@ def main_nodes(root: Node) -> list[Node]:
     best = max(below, key=lambda n: n.total)
     if not best.total:
         return [body]
-    up: Node | None = best
-    while up is not None:  # an article or main element holds the whole of its text
-        if up.tag in ("article", "main"):
-            best = up
-        up = up.parent
-    if best in (body, root):
-        return [best]
     path, up = [], best
     while up is not None and up is not body:
         path.append(up)
         up = up.parent
     least = min(n.density for n in [*path, body])
-    taken: list[Node] = [best]
-    if not any(n.tag in ("article", "main") for n in path):
-        for node in path:
-            beside = [p for p in node.parent.parts if isinstance(p, Node) and p is not node and p not in taken]
-            taken += [p for p in beside if p.links * 2 <= p.chars and (p.density >= least or p.tag in ("h1", "h2", "h3"))]
-    else:  # further articles of the page, but not those within others
-        taken += [n for n in nodes if n.tag == "article" and n.parent is best.parent and n is not best and n.density >= least]
+    whole = next((n for n in reversed(path) if n.tag in ("article", "main")), best)
+    if whole in (body, root):
+        return [whole]
+    taken: list[Node] = [whole]
+    for node in path[path.index(whole) :]:
+        beside = [p for p in (node.parent.parts if node.parent else ()) if isinstance(p, Node) and p is not node and p.chars and p.links * 2 <= p.chars]
+        taken += [p for p in beside if p.density >= least or whole is best and p.tag in ("h1", "h2", "h3")]
     order = {id(n): i for i, n in enumerate(_walk(root))}
     return sorted(taken, key=lambda n: order[id(n)])
 
@@ -307,5 +319,6 @@ def extract(df: DataFrame, html_col: str = "html", out: str = "text") -> DataFra
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:
+    """Each page's main text and its length in code points; a null page has the empty text."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -1,4 +1,6 @@
 import html
+import math
+import random
 import re
 
 import pytest
@@ -74,3 +76,128 @@ def test_rows(spark):
 )
 def test_words_never_cost_the_main_text(page, want):
     assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("name", ["legal-analysis", "tags", "share", "search", "copyright", "legal", "social", "has-sidebar", "with-comments", "article-header", "related-work", "login", "notice-period"])
+def test_an_article_keeps_what_only_sounds_like_something_else(name):
+    kept = f"<div class='{name}'><p>Of the {name} that belongs to the text.</p></div>"
+    assert html_text.main_text(f"<body><article><h1>x</h1>{P}{kept}{P}</article></body>") == f"x\n{T}\nOf the {name} that belongs to the text.\n{T}"
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "comment-list", "site-footer", "nav-menu", "cookie-box", "sidebar_left", "comments", "newsletter-signup", "notice", "ads  wide"])
+def test_an_article_loses_what_is_none_of_it(name):
+    assert html_text.main_text(f"<body><article><h1>x</h1>{P}<div class='{name}'>{P}</div>{P}</article></body>") == f"x\n{T}\n{T}"
+
+
+# Elements as (tag, children), texts as strings.
+INLINE = ("a", "b")
+
+
+def spell(node):
+    return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(spell, node[1]))}</{node[0]}>"
+
+
+def below(node):
+    return [x for c in node[1] if not isinstance(c, str) for x in (c, *below(c))]
+
+
+def chars(node):
+    return sum(len(" ".join(c.split())) if isinstance(c, str) else chars(c) for c in node[1])
+
+
+def links(node):
+    return chars(node) if node[0] == "a" else sum(links(c) for c in node[1] if not isinstance(c, str))
+
+
+def density(node, body):
+    """By the definition, from the node's own subtree alone."""
+    c, lc, t, lt = chars(node), links(node), len(below(node)), sum(x[0] == "a" for x in below(node))
+    if not c:
+        return 0.0
+    ratio = c / max(1, lc) * max(1, t) / max(1, lt)
+    base = math.log(c / max(1, c - lc) * lc + links(body) / max(1, chars(body)) * c + math.e)
+    return c / max(1, t) * math.log(1 + ratio) / math.log(1 + base)
+
+
+def brute_text(body):
+    """The densest subtree and the siblings that reach the threshold, by recursion."""
+    total = lambda n: sum(density(c, body) for c in n[1] if not isinstance(c, str))
+    level, order = [body], []
+    while level:
+        order += level
+        level = [c for n in level for c in n[1] if not isinstance(c, str)]
+    up = {id(c): n for n in order for c in n[1] if not isinstance(c, str)}
+    best = max(order, key=total)
+    path = [best]
+    while path[-1] is not body:
+        path.append(up[id(path[-1])])
+    least = min(density(n, body) for n in path)
+    taken = {id(best)}
+    for node in path[:-1]:
+        for c in up[id(node)][1]:
+            if not isinstance(c, str) and c is not node and chars(c) and 2 * links(c) <= chars(c) and (density(c, body) >= least or c[0] in ("h1", "h2", "h3")):
+                taken.add(id(c))
+    lines, held = [], []
+
+    def flush():
+        lines.append(" ".join("".join(held).split()))
+        held.clear()
+
+    def walk(node, inside):
+        if isinstance(node, str):
+            if inside:
+                held.append(node)
+            return
+        inside = inside or id(node) in taken
+        if node[0] not in INLINE or id(node) in taken:
+            flush()
+        for c in node[1]:
+            walk(c, inside)
+        if node[0] not in INLINE or id(node) in taken:
+            flush()
+
+    walk(body, id(body) in taken)
+    flush()
+    return "\n".join(x for x in lines if x)
+
+
+def test_pages_without_an_article_like_brute_force():
+    rng = random.Random(11)
+    words = "the of river a stone under long morning was built by people who never saw it again".split()
+    say = lambda lo, hi: " ".join(rng.choice(words) for _ in range(rng.randint(lo, hi)))
+
+    def grown(depth):
+        kind = rng.random()
+        if depth > 4 or kind < 0.35:
+            return ("p", [say(5, 60), *([("b", [say(1, 3)]), " ", say(1, 9)] if rng.random() < 0.4 else [])])
+        if kind < 0.5:
+            return ("ul", [("li", [("a", [say(1, 6)])]) for _ in range(rng.randint(1, 7))])
+        if kind < 0.6:
+            return (rng.choice(["h1", "h2", "h3"]), [say(1, 8)])
+        return (rng.choice(["div", "section"]), [grown(depth + 1) for _ in range(rng.randint(1, 5))])
+
+    seen = 0
+    for _ in range(300):
+        body = ("body", [grown(0) for _ in range(rng.randint(1, 6))])
+        want = brute_text(body)
+        assert html_text.main_text(f"<html>{spell(body)}</html>") == want
+        seen += 0 < len(want) < chars(body) - 50
+    assert seen > 50
+
+
+def test_the_story_of_pages_without_an_article():
+    rng = random.Random(12)
+    for n in range(60):
+        story = [" ".join(f"word{rng.randrange(99)}" for _ in range(rng.randint(25, 90))) + "." for _ in range(rng.randint(3, 12))]
+        paragraphs = "".join(f"<p>{x}</p>" for x in story)
+        menu = "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(rng.randint(3, 20)))
+        inner = f"<div class='{rng.choice(['post', 'entry', 'story x', 'has-sidebar'])}'><h1>Head {n}</h1>{paragraphs}</div>"
+        for _ in range(rng.randrange(4)):
+            inner = f"<div>{inner}</div>"
+        page = f"<html><head><title>t</title></head><body><div class=top><ul>{menu}</ul></div>{inner}<div class='bottom'><ul>{menu}</ul></div><footer>{paragraphs}</footer></body></html>"
+        assert html_text.main_text(page) == "\n".join([f"Head {n}", *story])
+
+
+def test_pages_of_a_million_characters():
+    page = f"<body><div class=menu>{'<a href=/>x</a> ' * 20000}</div><article>{P * 4000}</article></body>"
+    assert html_text.main_text(page) == "\n".join([T] * 4000)
