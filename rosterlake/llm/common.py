@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,13 +61,26 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow with batches of bounded size, so that long texts don't add up in a task's memory."""
+    """df.mapInArrow with batches of bounded size, so that long texts don't add up in a task's memory.
+
+    The bounds are settings of the session, read when the plan runs; they are
+    lowered to BATCH_ROWS and BATCH_BYTES where they are above, and left alone
+    where the session has lower ones.
+    """
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = _bytes(conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", most)
     return df.mapInArrow(run, schema)
 
 
+def _bytes(setting: str) -> int:
+    """A setting in bytes; 0 where it is not a plain number or has a unit that is not known."""
+    found = re.fullmatch(r"(-?[0-9]+)([bkmg]?)b?", setting.strip().lower())
+    return int(found[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found and int(found[1]) > 0 else 0
+
+
 def spread(key: Column, ways: int) -> Column:
     """A salt from 0 to ways-1 that depends on the row's key alone."""
     return F.pmod(F.xxhash64(key), F.lit(ways)).cast("int")
@@ -183,11 +196,6 @@ def ascii_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def temp_folder() -> str:
-    """Where this process may keep its own short-lived files."""
-    return os.environ.get("TMPDIR") or tempfile.gettempdir()
-
-
 class WordHashes(dict):
     """The XXH64 of words, remembered; at most ``limit`` words are held at a time."""
 

@@ -26,6 +26,16 @@ def test_exact_groups_hot_null_repeats_and_names(spark):
     assert exact_dedup.exact_groups(df.filter("false")).count() == 0
     full = exact_dedup.exact_groups(df, max_bits=1 << 16, bits_per_row=1, ways=3)  # a filter that is too small changes nothing
     assert sum(r.kept for r in full.collect()) == len(by)
+    parts = exact_dedup.exact_groups(df, max_bits=1 << 14)  # rows dealt into four parts, a filter for each
+    assert sorted(map(str, parts.drop("kept").collect())) == sorted(map(str, exact_dedup.exact_groups(df).drop("kept").collect()))
+    assert sum(r.kept for r in parts.collect()) == len(by)
+
+
+def test_exact_groups_of_rows_that_are_equal_throughout(spark):
+    df = spark.createDataFrame([(7, "same")] * 50 + [(None, "same")] * 5 + [(None, "other")] * 3 + [(1, "x" * 2_000_000)] * 2, "doc_id long, text string").repartition(7)
+    for options in ({}, {"max_bits": 1 << 15}):
+        kept = exact_dedup.deduplicate(df, **options).collect()
+        assert sorted((str(r.doc_id), r.text[:9]) for r in kept) == [("1", "xxxxxxxxx"), ("7", "same"), ("None", "other")]
 
 
 def brute_fingerprint(text):
