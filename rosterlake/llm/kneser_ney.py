@@ -391,6 +391,10 @@ def score(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "text
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """Each document's scores by a model of those whose crc32(doc_id as text) mod 7 is not 2.
+
+    A null doc_id counts as the empty text there, a null text as an empty one.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2)
     model = train(docs.filter(~F.col("held_out")))

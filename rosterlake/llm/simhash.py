@@ -302,5 +302,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint in hex and the smallest doc_id of its component; a text without words has fingerprint zero."""
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

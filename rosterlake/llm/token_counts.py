@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,19 +231,22 @@ def apply_edits(state: DataFrame, edits: DataFrame, ranks: str = RANKS, per_roun
     """The state after edits (id, seq, start, end, new), applied to each document in the order of seq.
 
     Places are code points of the text as the edits before have left it; they are
-    clipped to it. seq counts from 0 for each id without gaps. At most per_round
+    clipped to it. seq may be any number, such as a time; edits of one id with
+    equal seq are applied in the order of start, end and new. At most per_round
     edits of a document meet in one row; more take further rounds, each cut by a
     checkpoint. A null new text counts as empty. Edits of unknown or null ids do
     nothing; documents without edits stay as they are. encoded_chars counts what
     these edits made encode again. Rows that repeat an id all get its edits.
     """
-    last = edits.agg(F.max("seq")).first()[0]
+    order = Window.partitionBy("id").orderBy("seq", "start", "end", "new")  # sorted, not held; it spills
+    placed = checkpoint(edits.filter(F.col("id").isNotNull()).select("id", (F.row_number().over(order) - 1).alias("seq"), "start", "end", "new"))
+    last = placed.agg(F.max("seq")).first()[0]
     state = state.withColumn("encoded_chars", F.lit(0).cast("long"))
     names = state.columns
     for lo in range(0, 0 if last is None else last + 1, per_round):
         if lo:
             state = checkpoint(state)
-        part = edits.filter((F.col("seq") >= lo) & (F.col("seq") < lo + per_round) & F.col("id").isNotNull())
+        part = placed.filter((F.col("seq") >= lo) & (F.col("seq") < lo + per_round))
         todo = part.groupBy("id").agg(F.collect_list(F.struct("seq", "start", "end", "new")).alias("todo"))
         state = _apply(state.join(todo, "id", "left").select(*names, "todo"), ranks)
     return state

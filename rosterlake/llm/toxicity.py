@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -242,11 +243,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("ju
             found = [shared.value.present(x.as_py()) for x in batch.column(n_y + 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n_y + 1], pa.array([sorted(a) for a, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64()))], names=["key", *[f"y{i}" for i in range(n_y)], "at", "shares"])
 
-    own = sorted(rows.transform(mapped, present, "key long, " + "".join(f"y{i} int, " for i in range(n_y)) + "at array<int>, shares array<double>").collect(), key=lambda r: (r["key"], r["at"], r["shares"]))  # at most max_labelled rows
-    at = [np.array(r["at"], np.int64) for r in own]
-    x = _Rows(np.repeat(np.arange(len(own)), [len(a) for a in at]), np.concatenate(at), model.n_names, np.array([r["shares"] for r in own]))
-    fold = np.array([r["key"] % folds for r in own])
-    model.weights = fit_chain(x, [np.array([float(r[f"y{i}"]) for r in own]) for i in range(n_y)], fold)
+    own = rows.transform(mapped, present, "key long, " + "".join(f"y{i} int, " for i in range(n_y)) + "at array<int>, shares array<double>").toArrow()  # at most max_labelled rows
+    own = own.take(pa.compute.sort_indices(own, [("key", "ascending")])).combine_chunks()  # a key is a hash of an id, which the sample has once
+    lists = own.column("at").chunk(0)
+    x = _Rows(np.repeat(np.arange(len(own)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy().astype(np.int64), model.n_names, own.column("shares").chunk(0).flatten().to_numpy().reshape(len(own), -1))
+    fold = own.column("key").to_numpy() % folds
+    model.weights = fit_chain(x, [own.column(f"y{i}").to_numpy().astype(float) for i in range(n_y)], fold)
     return model
 
 
@@ -287,6 +289,7 @@ def categories(labels: DataFrame) -> DataFrame:
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Each document's probabilities of junk and of toxic, and whether it is toxic (0.5 or more); a null text counts as empty."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, categories(table(spark, sf_dir, "labels")))
     return score(docs, model).select("doc_id", "p_junk", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))

@@ -56,6 +56,14 @@ def test_rows(spark, per_round):
         assert r.text == text and r.n_tokens == E.count(text) == r.tokens[1]
 
 
+def test_edits_numbered_by_time(spark):
+    state = tc.build(spark.createDataFrame([(1, "one two three"), (2, "x")], "doc_id long, text string"))
+    edits = [(1, 1_700_000_000_000_000, 0, 3, "ONE"), (1, 1_800_000_000_000_000, 0, 0, "> "), (1, 1_800_000_000_000_000, 2, 5, "five"), (2, -5, 0, 1, None), (None, 1, 0, 1, "q")]
+    got = tc.apply_edits(state, spark.createDataFrame(edits, "id long, seq long, start long, end long, new string"), per_round=2).collect()
+    assert {r.id: r.text for r in got} == {1: "> five two three", 2: ""}
+    assert tc.apply_edits(state, spark.createDataFrame([], "id long, seq long, start long, end long, new string")).count() == 2
+
+
 def test_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = tc.op6_token_counts(spark, sf_dir).collect()
