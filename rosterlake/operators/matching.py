@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, ScoringConfig
 from . import availability, scoring
 
-#: Requisitions that are broadcast at a time.
-BLOCK = 10_000
+#: Requisitions that are broadcast at a time, and their bytes.
+BLOCK, BLOCK_BYTES = 10_000, 32 << 20
 
 
 def _window_key(start: str, end: str) -> F.Column:
@@ -40,6 +40,15 @@ def member_profiles(members: DataFrame, skills: DataFrame, allocations: DataFram
     return active.join(have, "team_member_id", "left").join(busy, "team_member_id", "left")
 
 
+def with_each(rows: DataFrame, asked: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """rows beside each of asked (request_id, ...), the stated queries, which are broadcast in blocks of bounded number and size."""
+    size = sum((F.octet_length(F.to_json(F.struct(c))) for c in asked.columns), F.lit(64))
+    n, total = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-total // block_bytes))
+    parts = [asked.filter(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [asked]
+    return reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(p)) for p in parts])
+
+
 def candidates(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, config: ScoringConfig = DEFAULT, block: int = BLOCK) -> DataFrame:
     """A row for each requisition and active member, also without any match.
 
@@ -49,9 +58,7 @@ def candidates(requisitions: DataFrame, members: DataFrame, skills: DataFrame, a
     asked = requisition_windows(requisitions, config)
     profiles = member_profiles(members, skills, allocations, asked, config)
     wanted = asked.select("request_id", F.array_distinct("mandatory").alias("mandatory"), F.array_distinct("preferred").alias("preferred"), "min_months", _window_key("w_start", "w_end").alias("key"))
-    blocks = -(-wanted.count() // block)
-    parts = [wanted.filter(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [wanted]
-    pairs = reduce(DataFrame.unionByName, [profiles.crossJoin(F.broadcast(p)) for p in parts])
+    pairs = with_each(profiles, wanted, block)
     none = F.array().cast("array<string>")
     pairs = pairs.withColumn("skill_ids", F.coalesce("skill_ids", none)).withColumn("allocated", F.coalesce(F.col("busy")[F.col("key")], F.lit(0.0)))
     pairs = pairs.withColumn("mandatory_score", scoring.ratio(F.col("skill_ids"), F.col("mandatory"))).withColumn("preferred_score", scoring.ratio(F.col("skill_ids"), F.col("preferred")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -56,6 +56,24 @@ def skill_lists(normalized: DataFrame) -> DataFrame:
     return normalized.groupBy("request_id").agg(ids("mandatory"), ids("preferred"))
 
 
+def with_text_skills(raw: DataFrame, texts: DataFrame, skill_master: DataFrame, kind: str = "mandatory") -> DataFrame:
+    """raw (request_id, kind, pos, raw_skill) united with the dictionary names found in texts (request_id, text).
+
+    A name that the requisition lists already, in whatever case and under either
+    kind, is not put in again; the others follow its list of that kind in the
+    order of their names.
+    """
+    names = skill_master.filter(F.col("skill_name").isNotNull()).groupBy(F.col("skill_id").alias("of_")).agg(F.min("skill_name").alias("name_"))
+    found = skills_in_text(texts.filter(F.col("request_id").isNotNull()), skill_master, "request_id", "text").join(names, F.col("skill_id") == F.col("of_")).select("request_id", "name_")
+    listed = raw.select("request_id", F.lower(strip(F.col("raw_skill"))).alias("key_")).distinct()
+    new = found.withColumn("key_", F.lower("name_")).join(listed, ["request_id", "key_"], "left_anti")
+    last = raw.filter(F.col("kind") == kind).groupBy("request_id").agg(F.max("pos").alias("last_"))
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("key_", "name_"))  # at most the dictionary's names in a text
+    new = new.withColumn("n_", place).join(last, "request_id", "left")
+    more = new.select("request_id", F.lit(kind).alias("kind"), (F.coalesce("last_", F.lit(-1)) + F.col("n_")).cast(raw.schema["pos"].dataType).alias("pos"), F.col("name_").alias("raw_skill"))
+    return raw.select("request_id", "kind", "pos", "raw_skill").unionByName(more)
+
+
 def skills_in_text(texts: DataFrame, skill_master: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, skill_id): dictionary names that occur in a text, as whole words; the runs looked up are as long as the names."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}.+#]+"), lambda w: w != "")

@@ -15,17 +15,24 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(_by_score())).filter(F.col("rank") <= k)
 
 
-def ranked(scored: DataFrame, ways: int = 1) -> DataFrame:
+#: Members of a requisition that one task sorts.
+ROWS_A_TASK = 250_000
+
+
+def ranked(scored: DataFrame, ways: int | None = None, members: DataFrame | None = None) -> DataFrame:
     """All rows with their rank.
 
-    With ways = 1 a requisition's members are sorted in one task (it spills).
-    With more, for very many members, the ids are cut into so many ranges: a row's
-    rank is its number among equals of its score and range, plus the rows of
-    higher scores and of earlier ranges, which are counted first.
+    members: the table of members (team_member_id), from whose number ways is
+    chosen. With ways = 1 a requisition's members are sorted in one task (it
+    spills). With more the ids are cut into so many ranges: a row's rank is its
+    number among equals of its score and range, plus the rows of higher scores
+    and of earlier ranges, which are counted first. The ranks are the same.
     """
+    if ways is None:
+        ways = 1 if members is None else -(-members.count() // ROWS_A_TASK)
     if ways <= 1:
         return scored.withColumn("rank", F.row_number().over(_by_score()))
-    ids = scored.select("team_member_id").distinct().orderBy(F.xxhash64("team_member_id"), "team_member_id").limit(100 * ways)
+    ids = (scored if members is None else members).select("team_member_id").distinct().orderBy(F.xxhash64("team_member_id"), "team_member_id").limit(100 * ways)
     sample = sorted(r[0] for r in ids.collect())  # 100 ids a range
     cuts = sorted({sample[i * len(sample) // ways] for i in range(1, ways)}) if sample else []
     part = sum((F.when(F.col("team_member_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))

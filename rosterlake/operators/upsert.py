@@ -94,6 +94,20 @@ def delete_like(rows: DataFrame, column: str, pattern: str) -> DataFrame:
     return rows.filter(~F.coalesce(F.col(column).like(pattern), F.lit(False)))
 
 
+def guarded_delete(rows: DataFrame, kept: DataFrame, dry_run: bool = True, confirmed: bool = False, limit: int = 100) -> tuple[DataFrame, int]:
+    """(what is left, how many rows go), for kept as delete_like and delete_flagged give it.
+
+    A dry run only counts and leaves everything. More rows than limit go only if
+    that was confirmed.
+    """
+    gone = rows.count() - kept.count()
+    if dry_run:
+        return rows, gone
+    if gone > limit and not confirmed:
+        raise ValueError(f"{gone} rows would go, more than {limit}: confirm it")
+    return kept, gone
+
+
 def delete_flagged(rows: DataFrame, column: str, key: str, value: str) -> DataFrame:
     """rows whose JSON column does not hold the value at the key."""
     return rows.filter(~F.coalesce(F.get_json_object(column, f"$.{key}") == value, F.lit(False)))

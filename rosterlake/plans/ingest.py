@@ -23,15 +23,18 @@ def member_rows(valid: DataFrame) -> DataFrame:
 def bulk_upsert(batch: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The tables team_member, team_member_skill, team_member_allocation, skill_certification, skill_master and category_master after a batch.
 
-    Beside them: rejected (members that break a rule; nothing of them is stored)
-    and summary (one row of counts). Each merged table has a column action.
+    Beside them: rejected (members that break a rule; nothing of them is stored),
+    rejected_skills and rejected_allocations (entries of valid members that
+    break one; the member's other entries are stored) and summary (one row of
+    counts). Each merged table has a column action.
     batch: rows of schemas.BATCH. A list that is missing leaves what is stored.
     """
     valid, rejected = quality.split(documents.members(batch), quality.MEMBER_RULES)
     members = upsert.last_wins(member_rows(valid), ["team_member_id"], ["pos"])
     # Of a member that comes twice all lists count, the later one over the earlier.
-    skills = documents.skills(valid).filter("skill_id IS NOT NULL").withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
-    allocations = documents.allocations(valid).filter("project_id IS NOT NULL")
+    skills, bad_skills = quality.split(documents.skills(valid), quality.SKILL_RULES)
+    skills = skills.withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
+    allocations, bad_allocations = quality.split(documents.allocations(valid), quality.ALLOCATION_RULES)
     names = skills.select("skill_id", "skill_name", F.col("category").alias("category_name"), F.struct("member_pos", "pos", "team_member_id").alias("pos"))
     categories = upsert.with_default_category(tables["category_master"], batch.sparkSession)
     unknown = names.join(tables["skill_master"].select("skill_id"), "skill_id", "left_anti").filter("category_name IS NOT NULL AND category_name <> ''")
@@ -44,9 +47,13 @@ def bulk_upsert(batch: DataFrame, tables: dict[str, DataFrame]) -> dict[str, Dat
         "skill_master": upsert.add_skills(tables["skill_master"], names, categories),
         "category_master": categories,
         "rejected": rejected,
+        "rejected_skills": bad_skills,
+        "rejected_allocations": bad_allocations,
     }
     named = {"members": out["team_member"], "skills": out["team_member_skill"], "allocations": out["team_member_allocation"]}
-    out["summary"] = upsert.summary(named, documents.members(batch)).join(F.broadcast(rejected.agg(F.count(F.lit(1)).alias("failed"))))
+    out["summary"] = upsert.summary(named, documents.members(batch))
+    for name, bad in (("failed", rejected), ("skills_failed", bad_skills), ("allocations_failed", bad_allocations)):
+        out["summary"] = out["summary"].join(F.broadcast(bad.agg(F.count(F.lit(1)).alias(name))))  # one row each
     return out
 
 

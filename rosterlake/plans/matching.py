@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScoringConfig
 from ..functions.text import canonical_json, correlation_id, payload_hash
-from ..operators import explain, matching, normalize, rank
+from ..operators import audit, explain, matching, normalize, rank, upsert
 from ..operators.quality import REQUISITION_RULES, new_requests, split
 from ..schemas import REQUISITION, REQUISITION_COLUMNS
 from ..sources import documents
 
+#: Keys of schemas.STATUS_SEED.
+RECEIVED, COMPLETED, FAILED = 1, 3, 4
+
 
 def normalized_requisitions(requisitions: DataFrame, raw_skills: DataFrame, skill_master: DataFrame) -> DataFrame:
     """requisitions with arrays mandatory and preferred of canonical ids; without skills the lists are empty."""
@@ -23,7 +26,7 @@ def normalized_requisitions(requisitions: DataFrame, raw_skills: DataFrame, skil
 def matches(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, config: ScoringConfig = DEFAULT, k: int | None = None) -> DataFrame:
     """Ranked matches with reasons and explanations; with k only the best k of each requisition."""
     scored = matching.candidates(requisitions, members, skills, allocations, config)
-    best = rank.ranked(scored) if k is None else rank.top_k(scored, k)
+    best = rank.ranked(scored, members=members) if k is None else rank.top_k(scored, k)
     return explain.lines(explain.summaries(explain.strengths_and_gaps(matching.with_reasons(best))), config)
 
 
@@ -59,6 +62,26 @@ def register(payloads: DataFrame, requests: DataFrame, received_at) -> tuple[Dat
     return rows, rejected, once.join(requests.select("request_id"), "request_id", "left_semi")
 
 
+def process_pending(requests: DataFrame, skill_master: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, at, config: ScoringConfig = DEFAULT, k: int | None = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matches, requests with their new status, checkpoints) of all requests that were received and wait.
+
+    requests: rows as register gives them. A request whose payload is readable is
+    matched and COMPLETED, any other FAILED; those of another status are left
+    alone. What was matched belongs into store_results, the requests into their
+    table, and the checkpoints are appended.
+    """
+    parsed = requests.filter(F.col("status") == RECEIVED).select("request_id", F.from_json("payload_json", REQUISITION).alias("p"))
+    readable = F.col("p.job_description").isNotNull()
+    payloads = parsed.filter(readable).select("request_id", *[F.col(f"p.{c}").alias(c) for c in REQUISITION_COLUMNS if c != "request_id"])
+    jobs = documents.jobs(payloads)
+    asked = normalized_requisitions(jobs, documents.job_skills(jobs), skill_master)
+    found = matches(asked, members, skills, allocations, config, k)
+    changes = parsed.select("request_id", F.when(readable, COMPLETED).otherwise(FAILED).alias("new_status"), F.lit(at).cast("timestamp").alias("new_completed_at"))
+    errors = parsed.select("request_id", F.when(~F.coalesce(readable, F.lit(False)), "payload is not readable").alias("error_message"))
+    named = jobs.select("request_id", "normalized_title", "normalized_role")
+    return found, upsert.update_status(requests, changes), audit.pipeline_checkpoints(named, asked, found, found, errors)
+
+
 def run(payloads: DataFrame, skill_master: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, config: ScoringConfig = DEFAULT, k: int | None = 50) -> DataFrame:
     """Requisition payloads to explained matches: parse, normalize, match, rank, explain."""
     jobs = documents.jobs(payloads)

@@ -39,7 +39,10 @@ def certifications(skills_: DataFrame) -> DataFrame:
 
 def allocations(members_: DataFrame) -> DataFrame:
     rows = members_.select("team_member_id", F.col("pos").alias("member_pos"), F.posexplode("allocations").alias("pos", "a")).select("team_member_id", "member_pos", "pos", "a.*")
-    return rows.withColumn("allocation_percentage", F.col("allocation_percentage").cast("decimal(5,2)")).withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
+    # A percentage that no decimal(5,2) can hold is brought to its ends, where the rules still find it.
+    given = F.col("allocation_percentage")
+    percentage = F.when(given.isNotNull(), F.least(F.greatest(given, F.lit(-999.99)), F.lit(999.99)).cast("decimal(5,2)"))
+    return rows.withColumn("allocation_percentage", percentage).withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
 
 
 def jobs(requisitions: DataFrame) -> DataFrame:

@@ -13,32 +13,42 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..operators import quality, upsert
 from ..plans.ingest import MEMBER_ATTRIBUTES, member_rows
+from ..session import written
 from ..sources import documents
 from ..sources.tables import VersionedTable
 
 
+def members_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, "team_member_id")
+
+
 def merge_batch(batch: DataFrame, members: VersionedTable, ledger: VersionedTable) -> None:
     """Puts new batches into members and their ids into the ledger.
 
-    Members are written first: a run that dies in between merges the batch once
-    more, which changes nothing.
+    Of both tables only the buckets with new rows are written. Members are
+    written first: a run that dies in between merges the batch once more, which
+    changes nothing.
     """
     done = ledger.read()
     ids = batch.select(F.col("metadata.batch_id").alias("batch_id")).distinct()
     fresh = batch if done is None else batch.join(done.withColumnRenamed("batch_id", "done_"), F.col("metadata.batch_id") == F.col("done_"), "left_anti")
     valid, _ = quality.split(documents.members(fresh), quality.MEMBER_RULES)
     rows = member_rows(valid.withColumn("pos", F.struct("batch_id", "pos")))
-    new = upsert.last_wins(rows, ["team_member_id"], ["pos"])
-    old = members.read()
-    if old is None:
-        old = new.select("team_member_id", *MEMBER_ATTRIBUTES).limit(0)
-    members.write(upsert.merge(old, new, ["team_member_id"], MEMBER_ATTRIBUTES).drop("action"))
-    ledger.write(ids if done is None else done.unionByName(ids).distinct())
+    new = written(upsert.last_wins(rows, ["team_member_id"], ["pos"]), "members")
+    touched = members.touched(new)
+    if touched:
+        old = members.read(touched)
+        if old is None:
+            old = new.select("team_member_id", *MEMBER_ATTRIBUTES).limit(0)
+        members.write(upsert.merge(old, new, ["team_member_id"], MEMBER_ATTRIBUTES).drop("action"), touched)
+    changed = ledger.touched(ids)
+    before = ledger.read(changed)
+    ledger.write(ids if before is None else before.unionByName(ids).distinct(), changed)
 
 
 def start(spark: SparkSession, source: str, members_path: str, ledger_path: str, checkpoint: str, files_per_batch: int = 100, once: bool = False) -> StreamingQuery:
     """A running query; with once it takes what is there and ends."""
-    members, ledger = VersionedTable(spark, members_path), VersionedTable(spark, ledger_path)
+    members, ledger = members_table(spark, members_path), VersionedTable(spark, ledger_path, "batch_id", buckets=16)
     stream = spark.readStream.schema(schemas.BATCH).option("maxFilesPerTrigger", files_per_batch).json(source)
     writer = stream.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, members, ledger)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

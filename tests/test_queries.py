@@ -37,17 +37,24 @@ def test_query(spark, con, sf_dir, name):
     assert rows or name in ("requisition_rejects",)
 
 
-@pytest.mark.parametrize("name", ["matched_skill_lists", "explanation_lines"])
-def test_of_all_has_a_row_for_each_candidate(spark, sf_dir, name):
+@pytest.mark.parametrize("name", ["matched_skill_lists", "explanation_lines", "strengths_gaps", "match_rank"])
+def test_a_row_for_each_candidate(spark, sf_dir, name):
     key = ["request_id", "team_member_id"]
     every = QUERIES["final_score"](spark, sf_dir).select(*key)
-    got = QUERIES[f"{name}_of_all"](spark, sf_dir)
+    got = QUERIES[name](spark, sf_dir)
     assert got.count() == every.count() and got.select(*key).exceptAll(every).isEmpty()
-    best = QUERIES[name](spark, sf_dir)
-    assert best.count() < got.count() and best.exceptAll(got).isEmpty()
 
 
-def test_envelope_of_all_counts_every_candidate(spark, sf_dir):
+def test_envelope_counts_every_candidate(spark, sf_dir):
     n = {r.request_id: r["count"] for r in QUERIES["final_score"](spark, sf_dir).groupBy("request_id").count().collect()}
-    done = [r for r in QUERIES["match_envelope_of_all"](spark, sf_dir).collect() if r.status == "COMPLETED"]
-    assert done and all(r.total_matches == n[r.request_id] > 50 for r in done)
+    rows = QUERIES["match_envelope"](spark, sf_dir).collect()
+    done = [r for r in rows if r.status == "COMPLETED"]
+    assert 0 < len(done) < len(rows) and all(r.total_matches == n[r.request_id] > 50 for r in done)
+
+
+def test_upserts_leave_no_row_out(spark, sf_dir):
+    members = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    for name, n in (("upsert_members", members), ("upsert_allocations", orders), ("upsert_certifications", orders), ("upsert_skills", QUERIES["json_ingest"](spark, sf_dir).count())):
+        rows = QUERIES[name](spark, sf_dir).groupBy("action").count().collect()
+        assert {r.action for r in rows} == {"kept", "inserted", "updated"} and sum(r["count"] for r in rows) == n

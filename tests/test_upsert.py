@@ -130,3 +130,105 @@ def test_json_lines(spark, tmp_path):
     (tmp_path / "r.json").write_text(payload("r1", mandatory_skills=["x", "y"], title="") + "\nnot json\n")
     jobs = documents.jobs(documents.read_requisitions(spark, f"file://{tmp_path}/r.json").filter("request_id IS NOT NULL"))
     assert (jobs.first().normalized_title, documents.job_skills(jobs).count()) == ("Software Engineer", 2)
+
+
+def test_versions_of_buckets(spark, tmp_path):
+    table = tables.VersionedTable(spark, f"file://{tmp_path}/t", "k", buckets=4, keep=1)
+    assert table.read() is None
+    rows = lambda n, v: spark.createDataFrame([(f"k{i}", v) for i in range(n)], "k string, v int")
+    table.write(rows(40, 0))
+    for v in range(1, 6):
+        new = spark.createDataFrame([("k7", v)], "k string, v int")
+        touched = table.touched(new)
+        assert len(touched) == 1
+        table.write(table.read(touched).filter("k <> 'k7'").unionByName(new), touched)
+    got = {r.k: r.v for r in table.read().collect()}
+    assert len(got) == 40 and got.pop("k7") == 5 and set(got.values()) == {0}
+    assert sorted(n for n in table._names() if n.endswith("0") or n.endswith("5")) == ["v0", "v5"] and len(table._versions()) == 2
+    (other,) = table.touched(spark.createDataFrame([("k8",)], "k string"))
+    table.write(rows(0, 0), [other])
+    assert 0 < table.read().count() < 40 and table.read([other]) is None
+    other_writer = tables.VersionedTable(spark, f"file://{tmp_path}/t", "k", buckets=4)
+    assert table._fs.createNewFile(table._at(f"v{max(table._versions()) + 1}.lock"))  # a writer that is at work
+    other_writer.write(rows(40, 9))
+    assert {r.v for r in table.read().collect()} == {9}
+
+
+def test_results_are_cleared(spark, tmp_path):
+    path = f"file://{tmp_path}/res"
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "request_id string")
+    tables.clear_results(spark, path, ids("r1"))
+    assert tables.read_results(spark, path) is None
+    tables.store_results(spark.createDataFrame([(f"r{i}", 1) for i in range(200)], "request_id string, v int"), path)
+    tables.store_results(spark.createDataFrame([("r5", 2), ("r5", 3)], "request_id string, v int"), path)
+    tables.clear_results(spark, path, ids("r7", "r8", "unknown"))
+    got = [(r.request_id, r.v) for r in tables.read_results(spark, path).collect()]
+    assert sorted(got) == sorted([(f"r{i}", 1) for i in range(200) if i not in (5, 7, 8)] + [("r5", 2), ("r5", 3)])
+    tables.clear_results(spark, path, ids(*(f"r{i}" for i in range(200))))
+    assert tables.read_results(spark, path) is None or tables.read_results(spark, path).count() == 0
+    tables.clear_results(spark, path)
+    assert tables.read_results(spark, path) is None
+
+
+def test_lookup_append_and_jdbc(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "a", 1), (1, "a", 2), (3, "b", 3)], "id int, c string, v int")
+    tables.append(rows, f"file://{tmp_path}/log")
+    tables.append(rows, f"file://{tmp_path}/log")
+    log = spark.read.parquet(f"file://{tmp_path}/log")
+    assert log.count() == 6 and tables.lookup(log, "c", "a").first().v == 2 and tables.lookup(log, "c", "zz").count() == 0
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    try:
+        rows.write.format("jdbc").option("url", url).option("dbtable", "t").save()
+    except Exception as e:
+        pytest.skip(f"no JDBC driver here: {type(e).__name__}")
+    for part in ({}, {"key": "id", "bounds": (1, 3), "parts": 2}):
+        got = tables.read_jdbc(spark, url, "t", **part)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in rows.collect())
+    assert got.rdd.getNumPartitions() == 2
+
+
+def test_guarded_delete(spark):
+    rows = spark.range(300).select(F.concat(F.lit("TEST-"), F.col("id").cast("string")).alias("id"))
+    some, many = upsert.delete_like(rows, "id", "TEST-1_"), upsert.delete_like(rows, "id", "TEST-%")
+    left, n = upsert.guarded_delete(rows, some)
+    assert (left.count(), n) == (300, 10)
+    left, n = upsert.guarded_delete(rows, some, dry_run=False)
+    assert (left.count(), n) == (290, 10)
+    with pytest.raises(ValueError, match="300 rows"):
+        upsert.guarded_delete(rows, many, dry_run=False)
+    assert upsert.guarded_delete(rows, many, dry_run=False, confirmed=True)[0].count() == 0
+
+
+def test_rules_within_members(spark):
+    skills = [{"skill_id": "s1", "skill_name": "n", "rating": 99}, {"skill_id": "s2", "skill_name": "n", "rating": 10}, {"skill_id": None, "skill_name": "n"}, {"skill_id": "s4"}]
+    allocations = [{"project_id": "p1", "allocation_percentage": 100.5}, {"project_id": "p2", "allocation_percentage": 1e9}, {"project_id": "p3"}, {"project_id": "p4", "allocation_percentage": 100}]
+    batch = json.dumps({"metadata": {"batch_id": "B"}, "team_members": [member("a", skills=skills, allocations=allocations), member("b", experience_in_months=-1)]})
+    df = spark.createDataFrame([(batch,)], "value string").select(F.from_json("value", schemas.BATCH).alias("b")).select("b.*")
+    out = ingest.bulk_upsert(df, {name: spark.createDataFrame([], s) for name, s in schemas.TABLES.items()})
+    assert {r.skill_id for r in out["team_member_skill"].collect()} == {"s2"}
+    assert {str(r.skill_id): r.broken for r in out["rejected_skills"].collect()} == {"s1": ["rating"], "None": ["skill_id"], "s4": ["skill_name"]}
+    assert {r.project_id for r in out["team_member_allocation"].collect()} == {"p3", "p4"} and {r.project_id for r in out["rejected_allocations"].collect()} == {"p1", "p2"}
+    total = out["summary"].first()
+    assert (total.members_received, total.failed, total.skills_failed, total.allocations_failed) == (2, 1, 3, 2)
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:10:00", "b", 4.0)]
+    source = tmp_path / "ev"
+    source.mkdir()
+    (source / "1.json").write_text("".join(json.dumps({"ts": t, "event_type": e, "value": v}) + "\n" for t, e, v in rows))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").json(f"file://{source}")
+    query = upserts.windowed_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((str(r.window_start), r.event_type, r.n, r.total) for r in spark.table("windows").collect()) == [("2024-01-01 00:00:00", "a", 2, 3.0), ("2024-01-01 01:00:00", "b", 1, 4.0)]
+
+
+@pytest.mark.parametrize("ranges", [2, 7, 256])
+def test_percentiles_are_exact(spark, ranges):
+    values = [float(i * 37 % 101) for i in range(500)] + [50.0] * 3000
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("c", None), (None, 2.0), (None, 4.0)], "l string, v double")
+    want = {r.l: (r.p, r.q) for r in rows.filter("v IS NOT NULL").groupBy("l").agg(F.percentile("v", 0.95).alias("p"), F.percentile("v", 0.99).alias("q")).collect()}
+    got = {r.l: (r.p95, r.p99) for r in audit.percentiles(rows, "l", "v", ranges=ranges).collect()}
+    assert got.keys() == want.keys()
+    for k, (p, q) in want.items():
+        assert got[k] == (pytest.approx(p), pytest.approx(q))
