@@ -1,10 +1,8 @@
-"""Helpers that the text operators share: tables, the shared folder, and token hashing in numpy."""
+"""Helpers that the text operators share: tables, checkpoints, and token hashing in numpy."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: The characters that part words: space and \t \n \v \f \r.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -21,33 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share.
-
-    Only where the setting is absent and everything runs in one process (tests)
-    is a temporary folder used instead.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="rosterlake-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage through reliable files in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def temp_name(df: DataFrame, stem: str) -> str:
     """A column name that clashes with none of df's (names compare without case)."""
     taken, name = {c.lower() for c in df.columns}, stem

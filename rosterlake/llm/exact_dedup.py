@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, shared_path, spread, table, temp_name
+from ..session import shared_path
+from .common import checkpoint, spread, table, temp_name
 
 #: 64-bit words in one bucket of the filter (a bucket is one broadcast row).
 BUCKET_WORDS = 512

@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, ascii_words, mapped, mix64, shared_path, slices, sums_by_key, table
+from ..session import shared_path
+from .common import WordHashes, ascii_words, mapped, mix64, slices, sums_by_key, table
 
 START, END = (np.uint64(xxhash.xxh64_intdigest(b"", seed)) for seed in (1, 2))
 #: What a word's array holds beside its hash: its count, its continuation count (distinct words before it), and as a context its total and its followers seen once, twice, and more often.
@@ -249,12 +250,19 @@ class Model:
 
     def score(self, texts: list[str | None], words: WordHashes, mapped: dict | None = None) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
-        before, token, count = token_pairs(texts, words)
-        distinct, of = np.unique(np.concatenate([token, before]), return_inverse=True)
+        _, token, count = token_pairs(texts, words)
+        at = np.cumsum(count) - count
+        distinct, of = np.unique(np.append(token, START), return_inverse=True)
+        by = np.append(of[-1], of[:-2])  # the word before each token: its neighbour, or the start
+        by[at] = of[-1]
+        of = of[:-1]
         c, cont, total, n1, n2, n3 = self.find("words", distinct, WORD_COLUMNS, mapped)
-        of, by = of[: len(token)], of[len(token) :]
-        pairs, pair_of = np.unique(pair_hash(before, token), return_inverse=True)
-        seen = self.find("bigrams", pairs, ("count",), mapped)[0][pair_of]
+        pairs, pair_of = np.unique(by * len(distinct) + of, return_inverse=True)
+        keys = pair_hash(distinct[pairs // len(distinct)], distinct[pairs % len(distinct)])
+        order = np.argsort(keys)
+        seen = np.empty(len(pairs), np.int64)
+        seen[order] = self.find("bigrams", keys[order], ("count",), mapped)[0]
+        seen = seen[pair_of]
 
         d1, d2 = np.array(self.d1), np.array(self.d2)
         ranks = self.cont_ranks
@@ -265,7 +273,6 @@ class Model:
         back = (d2[1] * n1 + d2[2] * n2 + d2[3] * n3) / sum_by
         p = np.where(total[by] > 0, (seen - d2[np.minimum(seen, 3)]) / sum_by[by] + back[by] * p1[of], p1[of])
         base = np.log10((c + 1) / (self.tokens + self.vocabulary + 1))[of]
-        at = np.cumsum(count) - count
         add = lambda x: np.add.reduceat(x, at) if len(x) else x
         return count, add((c > 0)[of].astype(np.int64)), add(base), add(np.log10(p))
 

@@ -369,7 +369,7 @@ def redact(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Dat
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
-    """doc_id, numbers of base spans by kind, their digest, and all spans, of each row of documents.
+    """doc_id, numbers of base spans by kind, their digest, all spans and their number, of each row of documents.
 
     A null or empty text has no spans; rows that repeat a doc_id give a row each.
     """
@@ -377,7 +377,7 @@ def op1_pii(spark, sf_dir: str) -> DataFrame:
     text = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["base"])
     count = [F.expr(f"cast(size(filter(spans, x -> x.base and x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
-    return spans.select("doc_id", *count, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *count, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:

@@ -35,7 +35,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_path, table, temp_name
+from ..session import shared_path
+from .common import checkpoint, table, temp_name
 
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 16
