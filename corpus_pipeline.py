@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rosterlake.llm import decontaminate, exact_dedup, sentencepiece_ffbs, simhash, toxicity
-from rosterlake.llm.common import shared_path, table
+from rosterlake.llm.common import table
+from rosterlake.session import shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
