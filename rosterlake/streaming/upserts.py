@@ -29,8 +29,9 @@ def merge_batch(batch: DataFrame, members: VersionedTable, ledger: VersionedTabl
     written first: a run that dies in between merges the batch once more, which
     changes nothing.
     """
-    done = ledger.read()
     ids = batch.select(F.col("metadata.batch_id").alias("batch_id")).distinct()
+    changed = ledger.touched(ids)
+    done = ledger.read(changed)
     fresh = batch if done is None else batch.join(done.withColumnRenamed("batch_id", "done_"), F.col("metadata.batch_id") == F.col("done_"), "left_anti")
     valid, _ = quality.split(documents.members(fresh), quality.MEMBER_RULES)
     rows = member_rows(valid.withColumn("pos", F.struct("batch_id", "pos")))
@@ -41,9 +42,7 @@ def merge_batch(batch: DataFrame, members: VersionedTable, ledger: VersionedTabl
         if old is None:
             old = new.select("team_member_id", *MEMBER_ATTRIBUTES).limit(0)
         members.write(upsert.merge(old, new, ["team_member_id"], MEMBER_ATTRIBUTES).drop("action"), touched)
-    changed = ledger.touched(ids)
-    before = ledger.read(changed)
-    ledger.write(ids if before is None else before.unionByName(ids).distinct(), changed)
+    ledger.write(ids if done is None else done.unionByName(ids).distinct(), changed)
 
 
 def start(spark: SparkSession, source: str, members_path: str, ledger_path: str, checkpoint: str, files_per_batch: int = 100, once: bool = False) -> StreamingQuery:
