@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rosterlake.llm import decontaminate, exact_dedup, sentencepiece_ffbs, simhash, toxicity
 from rosterlake.llm.common import table
-from rosterlake.session import shared_path
+from rosterlake.session import delete, shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what lies between them is written to the shared folder.
+
+    A stage's output is deleted once the next one's is there; the last stays, for
+    the result is read from it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
