@@ -55,7 +55,7 @@ def splitters(rows: DataFrame, key: str, size: str, tie: str, total: int, ranges
     wanted = min(per_range * ranges, SAMPLE)
     chance = F.pmod(F.xxhash64(F.lit(17), key, tie), F.lit(1 << 52)) / float(1 << 52)
     sample = rows.filter(chance < F.col(size) * (wanted / max(1, total))).select(key)
-    keys = np.sort(np.array([r[0] for r in sample.collect()], np.int64))  # about `wanted` of them
+    keys = np.sort(sample.toArrow().column(0).to_numpy())  # about `wanted` of them
     if not len(keys):
         return []
     at = (np.arange(1, ranges) * len(keys)) // ranges

@@ -80,6 +80,16 @@ def test_near_groups_like_brute_force(spark, cap):
     assert simhash.near_groups(df.filter("false")).count() == 0
 
 
+def test_near_groups_of_long_texts_and_clashing_names(spark):
+    long = " ".join(f"w{i * i % 7919}" for i in range(200_000))
+    rows = [(1, long, "a", 1), (2, long + " end", "b", 2), (3, "z" * 3_000_000, "c", 3), (4, " \t " * 100_000, "d", 4), (5, None, "e", 5), (None, long, "f", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, FP string, component_id int").repartition(3)
+    got = {(r.doc_id, r.component_id) for r in simhash.near_groups(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (None, 1)}
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.FP for r in kept.collect()) == ["a", "c", "d", "f"]
+
+
 def test_gray_index_finds_every_link():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)

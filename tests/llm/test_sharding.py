@@ -45,8 +45,8 @@ def test_pack():
     assert sharding.pack([], 3, 0) == ({}, [0, 0, 0])
 
 
-def test_query_bytes_and_groups(spark):
-    got = sharding.op2_sharding(spark, "/root/testdata/sf0.01").toPandas()
+def test_query_bytes_and_groups(spark, sf_dir):
+    got = sharding.op2_sharding(spark, f"{sf_dir}/../sf0.01").toPandas()
     sizes = got.groupby("shard")["size"].sum().reindex(range(40), fill_value=0)
     assert (sizes - sizes.mean()).abs().max() <= max(0.01 * sizes.mean(), got["size"].max())
     groups = got.groupby(["text_crc32", "size"])
@@ -63,10 +63,14 @@ def test_clashing_names_few_rows_and_none(spark):
 
 
 def test_write_shards(spark, tmp_path):
-    df = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id long, text string")
+    df = spark.createDataFrame([(i if i % 5 else None, f"t{i // 2}" if i % 7 else None) for i in range(200)], "doc_id long, text string")
     sharding.write_shards(df, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.select("shard").distinct().count() == 4
+    assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, df.collect()))
+    for shard in range(4):
+        slots = [r.slot for r in back.filter(F.col("shard") == shard).collect()]
+        assert sorted(slots) == list(range(len(slots)))
 
 
 def test_query(spark, sf_dir):

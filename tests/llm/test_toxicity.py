@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from rosterlake.llm import toxicity
 
 
-def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.1"
+def test_held_out_accuracy(spark, sf_dir):
+    sf = f"{sf_dir}/../sf0.1"  # sf0.001 has too few labels
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = toxicity.categories(spark.read.parquet(f"{sf}/labels.parquet"))
     model = toxicity.train(docs, labels.filter("doc_id % 4 <> 1"))
