@@ -26,13 +26,14 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_path
-from .common import WordHashes, ascii_words, mapped, mix64, slices, sums_by_key, table
+from .common import mapped, mix64, slices, string_parts, sums_by_key, table, token_hashes
 
 START, END = (np.uint64(xxhash.xxh64_intdigest(b"", seed)) for seed in (1, 2))
 #: What a word's array holds beside its hash: its count, its continuation count (distinct words before it), and as a context its total and its followers seen once, twice, and more often.
@@ -43,7 +44,7 @@ BIGRAM_BUCKET, WORD_BUCKET = 24 << 20, 96 << 20
 HELD = 2 << 20
 #: Pairs of a bucket that are sorted and summed at a time; a bucket with more is handled in ranges of its hashes.
 PAIRS = 1 << 19
-#: Characters of text that are counted or scored at a time, and bytes of word sums that are held before they are added up.
+#: Bytes of text that are counted or scored at a time, and bytes of word sums that are held before they are added up.
 SLICE, SUMS = 2 << 20, 16 << 20
 #: Arrays that a worker keeps mapped.
 MAPPED = 4096
@@ -55,22 +56,29 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix64(first * np.uint64(0x9E3779B97F4A7C15) + mix64(second))
 
 
-def token_pairs(texts: list[str | None], words: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word before, token, tokens per text): each word of a text, then its end."""
-    parts = [words.of(ascii_words(x)) for x in texts]
-    count = np.array([len(p) + 1 for p in parts], np.int64)
+def token_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, token, tokens per text), as hashes: each word of a text, then its end."""
+    words, row = token_hashes(*string_parts(texts))
+    count = np.bincount(row, minlength=len(texts)) + 1
     ends = np.cumsum(count)
     token = np.empty(count.sum(), np.uint64)
     is_end = np.zeros(len(token), bool)
     is_end[ends - 1] = True
     token[is_end] = END
-    token[~is_end] = np.concatenate(parts) if parts else 0
+    token[~is_end] = words
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[ends - count] = START
     return before, token, count
 
 
+def _text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about SLICE bytes; a longer text is a run of its own."""
+    sizes = pa.compute.binary_length(texts).fill_null(0).to_pylist()
+    for lo, hi in slices(sizes, SLICE):
+        yield texts.slice(lo, hi - lo)
+
+
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
@@ -248,9 +256,9 @@ class Model:
                 o[lo + there] = self.array(kind, b, c, mapped)[place[there]]
         return out
 
-    def score(self, texts: list[str | None], words: WordHashes, mapped: dict | None = None) -> tuple[np.ndarray, ...]:
+    def score(self, texts: pa.Array, mapped: dict | None = None) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
-        _, token, count = token_pairs(texts, words)
+        _, token, count = token_pairs(texts)
         at = np.cumsum(count) - count
         distinct, of = np.unique(np.append(token, START), return_inverse=True)
         by = np.append(of[-1], of[:-2])  # the word before each token: its neighbour, or the start
@@ -292,7 +300,7 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
     bits, word_bits, folder = model.bigram_bits, model.word_bits, model.folder
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = WordHashes(), [], 0
+        held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             before, token = (np.concatenate([h[i] for h in held]) for i in range(2))
@@ -307,9 +315,8 @@ def train(df: DataFrame, text_col: str = "text") -> Model:
             return _rows([(b, 0, blob, None) for b, blob in _packed(bucket[by], before[by], token[by], k[by])])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in slices([len(x or "") for x in texts], SLICE):
-                before, token, _ = token_pairs(texts[lo:hi], words)
+            for texts in _text_slices(batch.column(0)):
+                before, token, _ = token_pairs(texts)
                 held.append((before, token))
                 n += len(token)
                 if n >= HELD:
@@ -386,13 +393,14 @@ def score(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "text
     n = len(id_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, arrays = WordHashes(), {}
+        arrays: dict = {}
         for batch in batches:
-            texts = batch.column(n).to_pylist()
-            for lo, hi in slices([len(x or "") for x in texts], SLICE):
-                count, known, base, log = model.score(texts[lo:hi], words, arrays)
+            lo = 0
+            for texts in _text_slices(batch.column(n)):
+                count, known, base, log = model.score(texts, arrays)
                 found = [count, known, base, log, np.power(10.0, -log / count)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:n]), *map(pa.array, found)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, len(texts)) for c in batch.columns[:n]), *map(pa.array, found)], names=schema.names)
+                lo += len(texts)
 
     return df.select(*id_cols, text_col).transform(mapped, run, schema)
 

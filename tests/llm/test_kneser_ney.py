@@ -107,12 +107,12 @@ def test_a_lost_bucket_is_an_error(spark, monkeypatch, kind, column):
     monkeypatch.setattr(kn, "BIGRAM_BUCKET", 64)
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     model = kn.train(docs)
-    words = kn.WordHashes()
-    model.score(TEXTS, words)
+    texts = kn.pa.array(TEXTS, kn.pa.string())
+    model.score(texts)
     for bucket in model.held[kind]:
         os.remove(f"{model.folder}/{kind}/{bucket}/{column}.npy")
     with pytest.raises(FileNotFoundError):
-        model.score(TEXTS, words)
+        model.score(texts)
     with pytest.raises(Exception, match="is gone"):
         kn.score(docs, model, ["doc_id"]).collect()
 
@@ -122,7 +122,7 @@ def test_a_bucket_cut_short_is_an_error(spark):
     at = f"{model.folder}/bigrams/0/hash.npy"
     kn.np.save(at, kn.np.load(at)[:-1])
     with pytest.raises(ValueError, match="in place of"):
-        model.score(TEXTS, kn.WordHashes())
+        model.score(kn.pa.array(TEXTS, kn.pa.string()))
 
 
 def test_no_rows(spark):
