@@ -715,8 +715,8 @@ def bulk_rejects(spark, sf_dir):
 
 
 @query(
-    """SELECT (SELECT count(*) FROM tm) AS members_received, (SELECT count(*) FROM tm) AS members_inserted, 0 AS members_updated, (SELECT count(*) FROM fs WHERE NOT nameless AND rating BETWEEN 1 AND 10) AS skills_inserted, 0 AS skills_updated, (SELECT count(*) FROM fa WHERE project_id IS NOT NULL AND percentage <= 100) AS allocations_inserted, 0 AS allocations_updated,
-    0 AS failed, (SELECT count(*) FROM fs WHERE nameless OR rating NOT BETWEEN 1 AND 10) AS skills_failed, (SELECT count(*) FROM fa WHERE project_id IS NULL OR percentage > 100) AS allocations_failed""",
+    """SELECT (SELECT count(*) FROM tm) AS members_received, (SELECT count(*) FROM tm) AS members_inserted, 0::BIGINT AS members_updated, (SELECT count(*) FROM fs WHERE NOT nameless AND rating BETWEEN 1 AND 10) AS skills_inserted, 0::BIGINT AS skills_updated, (SELECT count(*) FROM fa WHERE project_id IS NOT NULL AND percentage <= 100) AS allocations_inserted, 0::BIGINT AS allocations_updated,
+    0::BIGINT AS failed, (SELECT count(*) FROM fs WHERE nameless OR rating NOT BETWEEN 1 AND 10) AS skills_failed, (SELECT count(*) FROM fa WHERE project_id IS NULL OR percentage > 100) AS allocations_failed""",
     "tm", "ol", "ms", "al", "faults",
 )
 def bulk_upsert_summary(spark, sf_dir):
