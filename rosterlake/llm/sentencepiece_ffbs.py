@@ -115,7 +115,7 @@ class Pieces:
     # -- the lattice over units laid end to end
 
     def edges(self, data: np.ndarray, unit_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece) of every piece that fits; unit_end: for each byte, where its unit ends."""
+        """(start, end, piece) of every piece that fits, shorter ones first, each length in the order of the text; unit_end: for each byte, where its unit ends."""
         at, h = np.arange(len(data)), np.zeros(len(data), np.uint64)
         found = []
         for n in range(1, self.levels + 1):
@@ -141,7 +141,7 @@ class Pieces:
         c = of[start] if len(start) else start
         covered[c[(begin[c] == start) & (stop[c] == end)]] = True
         spelt = np.flatnonzero(~covered[of]) if len(data) else np.zeros(0, np.int64)
-        return np.concatenate([start, spelt]), np.concatenate([end, spelt + 1]), np.concatenate([piece, self.bytes_id[data[spelt]].astype(np.int64)])
+        return np.concatenate([spelt, start]), np.concatenate([spelt + 1, end]), np.concatenate([self.bytes_id[data[spelt]].astype(np.int64), piece])
 
     def sample(self, data: np.ndarray, starts: np.ndarray, unit: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Segmentations of occurrences of units of at most LONG bytes.
@@ -155,7 +155,9 @@ class Pieces:
         start, end, piece = self.edges(data, ends[of_byte])
         base = starts[of_byte[end - 1]]
         depth = end - base
-        order = np.argsort(depth << 36 | end << 6 | end - start)  # pieces have under 64 bytes
+        # By depth, end and length: runs in the order of end are merged, then a depth (at most LONG) is a small number.
+        order = np.argsort(end, kind="stable")
+        order = order[np.argsort(depth[order].astype(np.uint8), kind="stable")]
         start, end, piece, base, depth = start[order], end[order], piece[order], base[order], depth[order]
         weight = self.logp[piece]
         group = np.concatenate([[True], end[1:] != end[:-1]])
