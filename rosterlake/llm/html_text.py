@@ -4,9 +4,10 @@ A page becomes a tree of its elements. Each element has a density: its
 characters per tag, raised or lowered by how much of them are links, compared
 with the whole body. The subtree whose children's densities have the largest
 sum is the main text; its siblings on the way to the body belong to it if their
-density reaches the least one on the path from the body to it. An article or main
-element around that subtree is taken whole, for nothing of an article is to be
-dropped; what lies beside it must reach the threshold like any sibling.
+density reaches the least one on the path from the body to it. Tags only help:
+an article or main element around that subtree is taken whole, for nothing of an
+article is to be dropped, and of what lies beside it only articles and sections
+are held against the threshold, for any short paragraph would reach it.
 
 Elements that are never main text (menus, page headers, footers, asides, forms,
 scripts and what is hidden) are left out before anything is counted. So are
@@ -262,7 +263,10 @@ def main_nodes(root: Node) -> list[Node]:
     taken: list[Node] = [whole]
     for node in path[path.index(whole) :]:
         beside = [p for p in (node.parent.parts if node.parent else ()) if isinstance(p, Node) and p is not node and p.chars and p.links * 2 <= p.chars]
-        taken += [p for p in beside if p.density >= least or whole is best and p.tag in ("h1", "h2", "h3")]
+        if whole.tag in ("article", "main"):
+            taken += [p for p in beside if p.density >= least and p.tag in ("article", "section")]
+        else:
+            taken += [p for p in beside if p.density >= least or p.tag in ("h1", "h2", "h3")]
     order = {id(n): i for i, n in enumerate(_walk(root))}
     return sorted(taken, key=lambda n: order[id(n)])
 

@@ -198,6 +198,13 @@ def test_the_story_of_pages_without_an_article():
         assert html_text.main_text(page) == "\n".join([f"Head {n}", *story])
 
 
+def test_beside_an_article():
+    other = P.replace("article", "story")
+    promo = f"<div><p>{T} It costs little.</p></div>"
+    page = f"<body>{promo}<article><h1>x</h1>{P}</article>{promo}<section>{other}</section><section><p>no</p><a href=/>more of these links</a> <a href=/>and these</a></section></body>"
+    assert html_text.main_text(page) == f"x\n{T}\n{T.replace('article', 'story')}"
+
+
 def test_pages_of_a_million_characters():
     page = f"<body><div class=menu>{'<a href=/>x</a> ' * 20000}</div><article>{P * 4000}</article></body>"
     assert html_text.main_text(page) == "\n".join([T] * 4000)
