@@ -12,7 +12,7 @@ from .functions import text as fn
 from .operators import audit, availability, explain, matching, normalize, quality, rank, scoring, upsert
 from .plans import ingest
 from .plans import matching as plan
-from .session import shared_path
+from .session import shared_path, written
 from .sources import adapter as src
 from .sources import documents, generate, tables
 from .streaming import upserts
@@ -746,7 +746,7 @@ def dispatched_requests(spark, sf_dir):
     """Requisitions that are registered and then matched in the background: each request's status and how many of the best fifty it has."""
     registered, _, _ = plan.register(_payloads(spark, sf_dir), spark.createDataFrame([("taken",)], "request_id string"), "2024-01-02 03:04:05")
     columns = ["request_id", "status", "payload_json", "completed_at"]
-    requests = registered.withColumn("completed_at", F.lit(None).cast("timestamp")).select(*columns).unionByName(spark.createDataFrame([("UNREADABLE", 1, "{", None), ("RUNNING", 2, "{}", None)], "request_id string, status int, payload_json string, completed_at timestamp"))
+    requests = written(registered, "requests").withColumn("completed_at", F.lit(None).cast("timestamp")).select(*columns).unionByName(spark.createDataFrame([("UNREADABLE", 1, "{", None), ("RUNNING", 2, "{}", None)], "request_id string, status int, payload_json string, completed_at timestamp"))
     members, skills, allocations = src.team_member(spark, sf_dir), src.team_member_skill(spark, sf_dir), src.team_member_allocation(spark, sf_dir)
     found, after, _ = plan.process_pending(requests, src.skill_master(spark, sf_dir), members, skills, allocations, "2024-01-02 03:05:00", k=TOP)
     path = shared_path(spark, "results")
