@@ -7,7 +7,9 @@ sum is the main text; its siblings on the way to the body belong to it if their
 density reaches the least one on the path from the body to it. Tags only help:
 an article or main element around that subtree is taken whole, for nothing of an
 article is to be dropped, and of what lies beside it only articles and sections
-are held against the threshold, for any short paragraph would reach it.
+are held against the threshold, for any short paragraph would reach it. If the
+subtree lies in none but holds some, the largest stands for it, unless that has
+less than a tenth of its text.
 
 Elements that are never main text (menus, page headers, footers, asides, forms,
 scripts and what is hidden) are left out before anything is counted. So are
@@ -64,6 +66,7 @@ WORDS_OUT = frozenset(
 )
 BESIDE_OUT = frozenset("banner notification subscription widget widgets related recommended recommendations share sharing social feedback toolbar pagination pager login search legal copyright disclaimer skip tags".split())
 PLACES = frozenset("site page top bottom left right center main primary secondary global bar box slot unit area block section container wrapper wrap inner outer list item items links panel row col column content body form thread".split())
+MARKED = ("article", "main")
 OF_ARTICLES_OUT = frozenset("comment reply ad advert advertisement sponsored promo related teaser".split())
 
 
@@ -252,18 +255,26 @@ def main_nodes(root: Node) -> list[Node]:
     best = max(below, key=lambda n: n.total)
     if not best.total:
         return [body]
+    within, up = False, best
+    while up is not None:
+        within, up = within or up.tag in MARKED, up.parent
+    if not within:  # the densest subtree may be one that holds an article beside others
+        inside = [n for n in _walk(best) if n.tag in MARKED]
+        top = max(inside, key=lambda n: n.chars - n.links, default=None)
+        if top is not None and 10 * (top.chars - top.links) >= best.chars - best.links:
+            best = top
     path, up = [], best
     while up is not None and up is not body:
         path.append(up)
         up = up.parent
     least = min(n.density for n in [*path, body])
-    whole = next((n for n in reversed(path) if n.tag in ("article", "main")), best)
+    whole = next((n for n in reversed(path) if n.tag in MARKED), best)
     if whole in (body, root):
         return [whole]
     taken: list[Node] = [whole]
     for node in path[path.index(whole) :]:
         beside = [p for p in (node.parent.parts if node.parent else ()) if isinstance(p, Node) and p is not node and p.chars and p.links * 2 <= p.chars]
-        if whole.tag in ("article", "main"):
+        if whole.tag in MARKED:
             taken += [p for p in beside if p.density >= least and p.tag in ("article", "section")]
         else:
             taken += [p for p in beside if p.density >= least or p.tag in ("h1", "h2", "h3")]

@@ -205,6 +205,15 @@ def test_beside_an_article():
     assert html_text.main_text(page) == f"x\n{T}\n{T.replace('article', 'story')}"
 
 
+def test_an_article_among_dense_others():
+    many = "".join(f"<div><p>{T} {i}</p></div>" for i in range(5))
+    assert html_text.main_text(f"<body>{many}<article>{P}</article></body>") == T
+    assert html_text.main_text(f"<body>{many}{many}<article>{P}</article></body>").count("\n") == 10  # less than a tenth of the text
+    assert html_text.main_text(f"<body>{many}<main>{P}{P}</main></body>") == f"{T}\n{T}"
+    long = "".join(f"<p>{T} {i}</p>" for i in range(40))
+    assert html_text.main_text(f"<body><div>{long}</div><article>{P}</article></body>").startswith(f"{T} 0\n{T} 1\n")
+
+
 def test_pages_of_a_million_characters():
     page = f"<body><div class=menu>{'<a href=/>x</a> ' * 20000}</div><article>{P * 4000}</article></body>"
     assert html_text.main_text(page) == "\n".join([T] * 4000)
