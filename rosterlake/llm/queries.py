@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, kneser_ney, pii, sentencepiece_ffbs, sharding, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, filter_audit, grid_join, html_text, kneser_ney, periodic_runs, pii, sentencepiece_ffbs, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_lm_scoring": kneser_ney.op9_lm_scoring,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_embedding_near_dedup": grid_join.op11_embedding_near_dedup,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
