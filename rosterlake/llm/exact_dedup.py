@@ -104,10 +104,11 @@ def _settled(df: DataFrame, id_col: str, text_col: str, k: int, bits: int, ways:
     # A group is counted by (hash, salt), then by hash, and goes back to the salts it has: a group with a third of the rows meets its result in `ways` tasks.
     parts = maybe.groupBy("text_sha256", salt).agg(F.max(F.struct(F.col(id_col).alias("id"), F.col(tie).alias("tie"))).alias(best), F.count(F.lit(1)).alias(n))
     groups = parts.groupBy("text_sha256").agg(F.max(best).alias(best), F.sum(n).alias(n), F.collect_set(salt).alias(salt))
-    back = groups.select(F.col("text_sha256").alias("_sha"), F.explode(salt).alias("_salt"), F.col(best).alias("_best"), F.col(n).alias("_n"))
-    settled = maybe.join(back, (maybe["text_sha256"] == back["_sha"]) & (maybe[salt] == back["_salt"])).select(
+    sha_of, salt_of = temp_name(maybe, "of_sha"), temp_name(maybe, "of_salt")
+    back = groups.select(F.col("text_sha256").alias(sha_of), F.explode(salt).alias(salt_of), best, n)
+    settled = maybe.join(back, (maybe["text_sha256"] == back[sha_of]) & (maybe[salt] == back[salt_of])).select(
         *[maybe[c] for c in df.columns],
-        F.col("_best.id").alias("keep_id"), F.col("_n").alias("group_size"), (F.col("_best.tie") == maybe[tie]).alias("kept"), maybe["text_sha256"],
+        back[best]["id"].alias("keep_id"), back[n].alias("group_size"), (back[best]["tie"] == maybe[tie]).alias("kept"), maybe["text_sha256"],
     )
     return once.unionByName(settled)
 
