@@ -33,6 +33,8 @@ from .common import checkpoint, mapped, slices, table
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern takes it, in a run that is too long for it.
+_BLANK = re.compile(r"[^\S\x1c-\x1f]{10000,}")
 #: A place where a segment may begin: a space between two characters that are not white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a segment before the next cut is taken.
@@ -52,9 +54,23 @@ class Encoder:
         with_lines = raw if raw is not None else open(path, "rb").read()
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, with_lines.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})  # a text is one pre-token
 
     def count(self, text: str) -> int:
-        return len(self.encoding.encode_ordinary(text))
+        """Tokens of a text.
+
+        The pattern steps back through a run of white space, which a long run
+        makes too deep. Such a run is a pre-token of its own but for its last
+        character, which goes on with what follows; so it is encoded by itself,
+        without the pattern.
+        """
+        total = at = 0
+        for run in _BLANK.finditer(text):
+            a, b = run.span()
+            b -= b < len(text)
+            total += len(self.encoding.encode_ordinary(text[at:a])) + len(self.whole.encode_ordinary(text[a:b]))
+            at = b
+        return total + len(self.encoding.encode_ordinary(text[at:] if at else text))
 
 
 def cuts(text: str, size: int = SEGMENT) -> list[int]:

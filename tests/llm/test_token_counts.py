@@ -71,3 +71,23 @@ def test_query(spark, sf_dir):
     assert sum(r.n_reencoded_chars for r in got) < sum(len(x or "") for x in docs.values()) * 2
     none = spark.createDataFrame([], "doc_id long, text string")
     assert tc.build(none).count() == 0
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "　", "\r\n", " \n", "\x85", "\x1c"])
+@pytest.mark.parametrize(("before", "after"), [("", ""), ("a", ""), ("", "b"), ("a ", "1"), ("x", "'s"), ("x", "​")])
+def test_runs_of_white_space_like_the_pattern(blank, before, after):
+    for n in (9_999, 10_000, 10_001, 30_000):
+        text = before + blank * n + after
+        assert E.count(text) == len(E.encoding.encode_ordinary(text))
+
+
+@pytest.mark.parametrize(("blank", "tokens"), [(" ", 1), ("\t", 1), ("\n", 2)])
+def test_five_million_blanks(spark, blank, tokens):
+    n = 5_000_000
+    half = E.count(blank * 100_000)
+    assert E.count(f"a{blank * n}b") == E.count(blank * (n - 1)) + E.count("a") + E.count(f"{blank}b") and abs(E.count(blank * n) - n * half / 100_000) < 2
+    tree = tc.Tree.build(f"one {blank * n}two three", E)
+    tree.edit(n // 2, n // 2 + 3, "x", E)
+    assert tree.total == E.count(tree.text)
+    df = spark.createDataFrame([(1, blank * n), (2, "x")], "doc_id long, text string")
+    assert {r.id: r.n_tokens for r in tc.build(df).selectExpr("id", "tokens[1] AS n_tokens").collect()} == {1: E.count(blank * n), 2: 1}
