@@ -7,9 +7,11 @@ sum is the main text; its siblings on the way to the body belong to it if their
 density reaches the least one on the path from the body to it. Tags only help:
 an article or main element around that subtree is taken whole, for nothing of an
 article is to be dropped, and of what lies beside it only articles and sections
-are held against the threshold, for any short paragraph would reach it. If the
-subtree lies in none but holds some, the largest stands for it, unless that has
-less than a tenth of its text.
+are held against the threshold, for any short paragraph would reach it; beside
+the only article of a page no section is taken that has a name or a heading of
+its own, for such are what readers say. If the subtree lies in none but holds
+some, the largest stands for it, unless that has less than a tenth of its text;
+so does the only one of a page, wherever it lies, unless the subtree has the h1.
 
 Elements that are never main text (menus, page headers, footers, asides, forms,
 scripts and what is hidden) are left out before anything is counted. So are
@@ -38,13 +40,14 @@ from .common import mapped, table
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)
-      | <(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
-      | <(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*+)>
+      | <(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
+      | <(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>
       | <[!?/][^>]*+(?:>|\Z)
       | <[a-zA-Z][^>]*+\Z""",
     re.S | re.X,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+_NAME = re.compile(r"\b(?:id|class)\s*=", re.I)
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _JOINTS = re.compile(r"[-_]+")
 _HEADER = frozenset(["header"])
@@ -67,14 +70,17 @@ WORDS_OUT = frozenset(
 BESIDE_OUT = frozenset("banner notification subscription widget widgets related recommended recommendations share sharing social feedback toolbar pagination pager login search legal copyright disclaimer skip tags".split())
 PLACES = frozenset("site page top bottom left right center main primary secondary global bar box slot unit area block section container wrapper wrap inner outer list item items links panel row col column content body form thread".split())
 MARKED = ("article", "main")
+#: Elements that quote, and words that a quotation within an article may well have.
+QUOTES, QUOTED = frozenset("blockquote q p pre figure figcaption".split()), frozenset("reply replies respond popup notice".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OF_ARTICLES_OUT = frozenset("comment reply ad advert advertisement sponsored promo related teaser".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "links", "tags", "link_tags", "density", "total", "doubtful")
+    __slots__ = ("tag", "parent", "parts", "chars", "links", "tags", "link_tags", "density", "total", "doubtful", "named")
 
-    def __init__(self, tag: str, parent: Node | None, doubtful: bool = False) -> None:
-        self.tag, self.parent, self.parts, self.doubtful = tag, parent, [], doubtful
+    def __init__(self, tag: str, parent: Node | None, doubtful: bool = False, named: bool = False) -> None:
+        self.tag, self.parent, self.parts, self.doubtful, self.named = tag, parent, [], doubtful, named
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -104,6 +110,8 @@ def _standing(tag: str, rest: str, in_article: bool) -> tuple[bool, bool]:
         return False, False
     if tag == "article":
         return False, any(_names(w, OF_ARTICLES_OUT) for w in words)
+    if in_article and tag in QUOTES:
+        words -= QUOTED
     return False, any(_names(w, WORDS_OUT) or not in_article and (_names(w, BESIDE_OUT) or _names(w, _HEADER)) for w in words)
 
 
@@ -205,7 +213,7 @@ def parse(page: str) -> Node:
         if above is not None:
             never, doubtful = _standing(name, rest, opened["article"] + opened["main"] > 0)
             if not never:
-                node = Node(name, above, doubtful)
+                node = Node(name, above, doubtful, name == "section" and _NAME.search(rest) is not None)
                 above.parts.append(node)
                 any_doubtful |= doubtful
         if not rest.endswith("/") or name in BLOCK:
@@ -258,8 +266,11 @@ def main_nodes(root: Node) -> list[Node]:
     within, up = False, best
     while up is not None:
         within, up = within or up.tag in MARKED, up.parent
-    if not within:  # the densest subtree may be one that holds an article beside others
+    marked = _marked(root)
+    if not within:  # the densest subtree may be one that holds an article beside others, or what readers say of the only one
         inside = [n for n in _walk(best) if n.tag in MARKED]
+        if len(marked) == 1 and not any(n.tag == "h1" for n in _walk(best)):
+            inside = marked
         top = max(inside, key=lambda n: n.chars - n.links, default=None)
         if top is not None and 10 * (top.chars - top.links) >= best.chars - best.links:
             best = top
@@ -275,13 +286,26 @@ def main_nodes(root: Node) -> list[Node]:
     for node in path[path.index(whole) :]:
         beside = [p for p in (node.parent.parts if node.parent else ()) if isinstance(p, Node) and p is not node and p.chars and p.links * 2 <= p.chars]
         if whole.tag in MARKED:
-            taken += [p for p in beside if p.density >= least and p.tag in ("article", "section")]
+            beside = [p for p in beside if p.density >= least and p.tag in ("article", "section")]
+            taken += [p for p in beside if p.tag == "article" or len(marked) > 1 or not p.named and not any(n.tag in HEADINGS for n in _walk(p))]
         else:
             taken += [p for p in beside if p.density >= least or p.tag in ("h1", "h2", "h3")]
     order = {id(n): i for i, n in enumerate(_walk(root))}
     return sorted(taken, key=lambda n: order[id(n)])
 
 
+def _marked(root: Node) -> list[Node]:
+    """The article and main elements with text that lie in no other."""
+    out, stack = [], [root]
+    while stack:
+        top = stack.pop()
+        if top.tag in MARKED and top.chars:
+            out.append(top)
+        else:
+            stack += [p for p in top.parts if isinstance(p, Node)]
+    return out
+
+
 def _walk(node: Node) -> Iterator[Node]:
     stack = [node]
     while stack:

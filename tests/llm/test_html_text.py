@@ -2,6 +2,7 @@ import html
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -217,3 +218,39 @@ def test_an_article_among_dense_others():
 def test_pages_of_a_million_characters():
     page = f"<body><div class=menu>{'<a href=/>x</a> ' * 20000}</div><article>{P * 4000}</article></body>"
     assert html_text.main_text(page) == "\n".join([T] * 4000)
+
+
+C = "I do not agree with what is said here at all, and I say so. "
+
+
+@pytest.mark.parametrize("head", ["<h2>What readers say</h2>", "<h4>9 voices</h4>", ""])
+@pytest.mark.parametrize("tag", ["section id='talkback'", "section CLASS=voices", "div id=talkback"])
+@pytest.mark.parametrize(("said", "at_once"), [(2, True), (4, True), (6, True), (9, True), (9, False), (14, False)])
+def test_readers_never_come_out_with_the_only_article(head, tag, said, at_once):
+    story = f"<article><h1>x</h1>{P}</article>"
+    words = f"<p>{C * said}</p>" if at_once else f"<p>{C}</p>" * said
+    talk = f"<{tag}>{head}{words}</{tag.split()[0]}>"
+    assert html_text.main_text(f"<body>{story}{talk}</body>") == f"x\n{T}"
+    assert html_text.main_text(f"<body><div>{story}</div><div class=more>{talk}</div></body>") == f"x\n{T}"
+
+
+@pytest.mark.parametrize("tag", ["blockquote", "p", "q", "figure"])
+@pytest.mark.parametrize("name", ["reply", "replies", "notice", "popup"])
+def test_an_article_keeps_what_it_quotes(tag, name):
+    page = f"<body><article><h1>x</h1>{P}<{tag} class='{name}'>They said so.</{tag}></article></body>"
+    assert html_text.main_text(page) == f"x\n{T}\nThey said so."
+
+
+def test_the_main_text_beside_a_card():
+    card = f"<article><h3>Other</h3><p>{C * 3}</p></article>"
+    assert html_text.main_text(f"<body><div><h1>x</h1>{P}{P}{P}</div><div>{card}</div></body>").startswith(f"x\n{T}\n{T}\n{T}")
+
+
+@pytest.mark.parametrize("text", ["a<" * 500_000, "<p>x</p><" + "b" * 1_000_000, "<p>x</p>" + "<b" * 300_000, "<a " * 300_000, "<a b='" * 200_000, "</" * 500_000, "<A/b" * 200_000, "<!" * 500_000], ids=range(8))
+def test_twice_the_odd_page_takes_twice_the_time(text):
+    def seconds(page):
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    assert min(seconds(text) for _ in range(2)) < 4 * min(seconds(text[: len(text) // 2]) for _ in range(2)) + 0.3
