@@ -1,8 +1,8 @@
 """Every requisition against every active member.
 
 All that is known of a member is brought into one row first: the set of its
-skills and its allocation in each distinct window. That takes one shuffle by
-member. The requisitions, the stated queries, are broadcast in blocks of a set
+skills and the running sums of its allocations, from which the load of any window
+is read. That takes one shuffle by member. The requisitions, the stated queries, are broadcast in blocks of a set
 size, so the pairs are made and scored where the members lie.
 """
 
@@ -30,14 +30,17 @@ def requisition_windows(requisitions: DataFrame, config: ScoringConfig = DEFAULT
 
 
 def member_profiles(members: DataFrame, skills: DataFrame, allocations: DataFrame, windows: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
-    """Active members (a null flag is not active) with skill_ids and a map from window to allocation."""
+    """Active members (a null flag is not active) with skill_ids, load (see availability.loads), and a map busy from windows that end before they start to allocation."""
     if not config.include_deleted_skills:
         skills = skills.filter(~F.coalesce("is_deleted", F.lit(False)))
     have = skills.groupBy("team_member_id").agg(F.collect_set("skill_id").alias("skill_ids"))
-    busy = availability.allocated(allocations, windows).select("team_member_id", F.struct(_window_key("w_start", "w_end").alias("key"), F.col("allocated").alias("value")).alias("e"))
-    busy = busy.groupBy("team_member_id").agg(F.map_from_entries(F.collect_list("e")).alias("busy"))
     active = members.filter("is_active").select("team_member_id", "experience_in_months")
-    return active.join(have, "team_member_id", "left").join(busy, "team_member_id", "left")
+    out = active.join(have, "team_member_id", "left").join(availability.loads(allocations), "team_member_id", "left")
+    crossed = windows.filter("w_start > w_end")
+    if crossed.isEmpty():
+        return out.withColumn("busy", F.lit(None).cast("map<string, double>"))
+    busy = availability.allocated(allocations, crossed).select("team_member_id", F.struct(_window_key("w_start", "w_end").alias("key"), F.col("allocated").alias("value")).alias("e"))
+    return out.join(busy.groupBy("team_member_id").agg(F.map_from_entries(F.collect_list("e")).alias("busy")), "team_member_id", "left")
 
 
 def with_each(rows: DataFrame, asked: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -57,10 +60,10 @@ def candidates(requisitions: DataFrame, members: DataFrame, skills: DataFrame, a
     """
     asked = requisition_windows(requisitions, config)
     profiles = member_profiles(members, skills, allocations, asked, config)
-    wanted = asked.select("request_id", F.array_distinct("mandatory").alias("mandatory"), F.array_distinct("preferred").alias("preferred"), "min_months", _window_key("w_start", "w_end").alias("key"))
+    wanted = asked.select("request_id", F.array_distinct("mandatory").alias("mandatory"), F.array_distinct("preferred").alias("preferred"), "min_months", F.col("w_start").cast("date").alias("w_start"), F.col("w_end").cast("date").alias("w_end"), _window_key("w_start", "w_end").alias("key"))
     pairs = with_each(profiles, wanted, block)
     none = F.array().cast("array<string>")
-    pairs = pairs.withColumn("skill_ids", F.coalesce("skill_ids", none)).withColumn("allocated", F.coalesce(F.col("busy")[F.col("key")], F.lit(0.0)))
+    pairs = pairs.withColumn("skill_ids", F.coalesce("skill_ids", none)).withColumn("allocated", F.coalesce(availability.load_of(F.col("load"), F.col("w_start"), F.col("w_end")), F.col("busy")[F.col("key")], F.lit(0.0)))
     pairs = pairs.withColumn("mandatory_score", scoring.ratio(F.col("skill_ids"), F.col("mandatory"))).withColumn("preferred_score", scoring.ratio(F.col("skill_ids"), F.col("preferred")))
     pairs = pairs.withColumn("skill_score", scoring.skill_score(F.col("mandatory_score"), F.col("preferred_score"), config))
     pairs = pairs.withColumn("experience_score", scoring.experience_score(F.col("experience_in_months"), F.col("min_months")))

@@ -23,10 +23,10 @@ def normalize(raw: DataFrame, skill_master: DataFrame, column: str = "raw_skill"
     """raw with columns skill_id and how ('exact', 'alias', 'fallback', or 'fuzzy').
 
     A name that neither the dictionary nor an alias knows becomes its upper-cased
-    text with underscores for spaces. With fuzzy > 0 names at most so many edits
-    from one dictionary name are looked up first; that compares each unknown name
-    with the dictionary and is off by default. The aliases are a fixed short
-    list; how the dictionary is joined is left to Spark, for it may be large.
+    text with underscores for spaces. With fuzzy > 0 the dictionary's nearest
+    name is looked up first (see nearest), if one is at most so many edits away.
+    The aliases are a fixed short list; how the dictionary is joined is left to
+    Spark, for it may be large.
     """
     known = dictionary(skill_master)
     aliases = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in (pair[0], pair[1].lower())])
@@ -38,14 +38,38 @@ def normalize(raw: DataFrame, skill_master: DataFrame, column: str = "raw_skill"
     found = F.coalesce("exact_", "by_alias_")
     if fuzzy:
         unknown = rows.filter(found.isNull()).select("key_").distinct()
-        near = unknown.join(known, F.levenshtein("key_", "skill_key", fuzzy) >= 0).groupBy("key_").agg(F.min(F.struct(F.levenshtein("key_", "skill_key"), "skill_id")).getField("skill_id").alias("near_"))
-        rows = rows.join(near, "key_", "left")
+        rows = rows.join(nearest(unknown, known, "key_", fuzzy).select("key_", F.col("skill_id").alias("near_")), "key_", "left")
     else:
         rows = rows.withColumn("near_", F.lit(None).cast("string"))
     how = F.when(F.col("exact_").isNotNull(), "exact").when(F.col("by_alias_").isNotNull(), "alias").when(F.col("near_").isNotNull(), "fuzzy").otherwise("fallback")
     return rows.select(*raw.columns, F.coalesce("exact_", "by_alias_", "near_", F.replace(F.upper("name_"), F.lit(" "), F.lit("_"))).alias("skill_id"), how.alias("how"))
 
 
+def _shortened(name: F.Column, edits: int) -> F.Column:
+    """The name and all that is left of it without one character, without two, and so on up to edits."""
+    out = F.array(name)
+    for _ in range(edits):
+        without = lambda v: F.transform(F.sequence(F.lit(1), F.char_length(v)), lambda i, v=v: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(F.filter(out, lambda v: F.char_length(v) > 0), without))))
+    return out
+
+
+def nearest(names: DataFrame, known: DataFrame, column: str, edits: int) -> DataFrame:
+    """(column, skill_id, distance): for each of names the known one (skill_key, skill_id) with the fewest edits, at most `edits`; ties go to the smallest id.
+
+    Two names are at most so many insertions, deletions and substitutions apart
+    only if both become the same text by taking out at most so many characters of
+    each. So the names meet by equality of such shortened texts, and only those
+    that meet are compared; no name is held against the whole dictionary. A
+    name of n characters has about n^edits / edits! of them.
+    """
+    short = lambda df, name: df.withColumn("short_", F.explode(F.transform(_shortened(F.col(name), edits), lambda v: F.xxhash64(v))))
+    met = short(names.select(column).filter(F.col(column).isNotNull()).distinct(), column).join(short(known.select("skill_key", "skill_id"), "skill_key"), "short_").select(column, "skill_key", "skill_id").distinct()
+    near = met.withColumn("distance", F.levenshtein(column, "skill_key")).filter(F.col("distance") <= edits)
+    best = near.groupBy(column).agg(F.min(F.struct("distance", "skill_id")).alias("best_"))
+    return best.select(column, "best_.skill_id", "best_.distance")
+
+
 def skill_lists(normalized: DataFrame) -> DataFrame:
     """(request_id, mandatory, preferred): distinct ids in the order of the requisition's lists (column pos)."""
 

@@ -7,9 +7,11 @@ the key, so a key that repeats very often is reduced before it is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def last_wins(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key: the one with the largest order (nulls first). Column n_in_batch counts the key's rows."""
@@ -18,47 +20,74 @@ def last_wins(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return batch.groupBy(*keys).agg(best.alias("best_"), F.count(F.lit(1)).alias("n_in_batch")).select(*keys, *[F.col(f"best_.{c}").alias(c) for c in rest], "n_in_batch")
 
 
-def merge(old: DataFrame, new: DataFrame, keys: list[str], attributes: list[str], on_insert: list[str] | None = None) -> DataFrame:
-    """old with new put over it: keys, attributes, on_insert columns, and action ('inserted', 'updated', 'kept').
+def merge(old: DataFrame, new: DataFrame, keys: list[str], attributes: list[str], on_insert: list[str] | None = None, stamp: str | None = None) -> DataFrame:
+    """old with new put over it: keys, attributes, on_insert columns, and action ('inserted', 'updated', 'kept', 'late').
 
     An update replaces all attributes, by nulls too; on_insert columns keep their
     old values. new must have each key once (see last_wins). Rows with a null in
-    the key match nothing: old ones stay and new ones are inserted.
+    the key match nothing: old ones stay and new ones are inserted. stamp names a
+    column of new, and perhaps of old, that says when a row was made: a new row
+    whose stamp is below the old one's changes nothing ('late').
     """
     first = on_insert or []
+    if stamp is not None:
+        if stamp not in old.columns:
+            old = old.withColumn(stamp, F.lit(None).cast(new.schema[stamp].dataType))
+        attributes = [*attributes, stamp]
     left = old.select(*keys, *[F.col(c).alias(f"old_{c}") for c in attributes + first], F.lit(True).alias("was_"))
     right = new.select(*keys, *[F.col(c).alias(f"new_{c}") for c in attributes + first], F.lit(True).alias("is_"))
     both = left.join(right, keys, "full")
-    value = [F.when(F.col("is_"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c) for c in attributes]
+    late = F.lit(False) if stamp is None else F.coalesce(F.col(f"new_{stamp}") < F.col(f"old_{stamp}"), F.lit(False))
+    value = [F.when(F.col("is_") & ~late, F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c) for c in attributes]
     value += [F.when(F.col("was_"), F.col(f"old_{c}")).otherwise(F.col(f"new_{c}")).alias(c) for c in first]
-    action = F.when(F.col("was_") & F.col("is_"), "updated").when(F.col("is_"), "inserted").otherwise("kept")
+    action = F.when(late, "late").when(F.col("was_") & F.col("is_"), "updated").when(F.col("is_"), "inserted").otherwise("kept")
     return both.select(*keys, *value, action.alias("action"))
 
 
-def merge_certifications(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_certifications(old: DataFrame, new: DataFrame, stamp: str | None = None) -> DataFrame:
     """Certifications by certification_id, whoever holds them: an update leaves member and skill alone.
 
     Without an id (null or empty) a certification is always inserted. Updated
-    attributes: certificate, issuer, issued_date, valid_till.
+    attributes: certificate, issuer, issued_date, valid_till. stamp: as in merge.
     """
+    if stamp is not None and stamp not in old.columns:
+        old = old.withColumn(stamp, F.lit(None).cast(new.schema[stamp].dataType))
     attributes, who = ["certificate", "issuer", "issued_date", "valid_till"], ["team_member_id", "skill_id"]
     named = F.coalesce(F.col("certification_id"), F.lit("")) != ""
-    columns = ["certification_id", *attributes, *who]
-    merged = merge(old.filter(named), new.filter(named), ["certification_id"], attributes, who)
+    columns = ["certification_id", *attributes, *who, *([stamp] if stamp else [])]
+    merged = merge(old.filter(named), new.filter(named), ["certification_id"], attributes, who, stamp)
     others = old.filter(~named).select(*columns, F.lit("kept").alias("action")).unionByName(new.filter(~named).select(*columns, F.lit("inserted").alias("action")))
     return merged.unionByName(others)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
+    """rows with a column name: first, first + 1, ... in the order of the columns, without a gap, numbered by many tasks.
+
+    The order columns must tell all rows apart. Rows are dealt into ranges of
+    the order and sorted within these; a row's number is its place there plus
+    the rows of all ranges before, whose sizes (a number for each task) the
+    driver adds up. The ranges are fixed in a checkpoint, so a task that runs
+    again gives the same numbers.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    shared_dir(rows.sparkSession)
+    fixed = dealt.withColumn("part_", F.spark_partition_id()).withColumn("place_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).checkpoint(eager=True)
+    before, starts = first, []
+    for part, n in sorted(tuple(r) for r in fixed.groupBy("part_").count().collect()):  # a row for each task
+        starts.append((part, before))
+        before += n
+    of = rows.sparkSession.createDataFrame(starts, "part_ int, before_ long")
+    return fixed.join(F.broadcast(of), "part_").withColumn(name, F.col("before_") + F.col("place_")).drop("part_", "place_", "before_")
+
+
 def new_ids(names: DataFrame, existing: DataFrame, id_col: str, name_col: str, first: str) -> DataFrame:
     """(id, name) of names that existing lacks: the largest id + 1, + 2, ... in the order of column first, then the name.
 
-    names may hold a name many times; what is numbered is the distinct new names,
-    the few that a dictionary grows by in a batch.
+    names may hold a name many times; what is numbered is the distinct new names.
     """
-    top = existing.agg(F.coalesce(F.max(id_col).cast("int"), F.lit(0)).alias("top_"))
+    top = existing.agg(F.coalesce(F.max(id_col).cast("int"), F.lit(0))).first()[0]
     fresh = names.filter(F.col(name_col).isNotNull()).groupBy(name_col).agg(F.min(first).alias("first_")).join(existing.select(name_col), name_col, "left_anti")
-    numbered = fresh.withColumn("n_", F.row_number().over(Window.orderBy("first_", name_col)))
-    return numbered.join(F.broadcast(top)).select((F.col("n_") + F.col("top_")).alias(id_col), name_col)
+    return numbered(fresh, ["first_", name_col], "n_", top + 1).select(F.col("n_").cast("int").alias(id_col), name_col)
 
 
 def add_skills(skill_master: DataFrame, batch: DataFrame, categories: DataFrame) -> DataFrame:

@@ -30,11 +30,25 @@ def matches(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allo
     return explain.lines(explain.summaries(explain.strengths_and_gaps(matching.with_reasons(best))), config)
 
 
-def envelope(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """(request_id, status, total_matches, matches): PROCESSING where there are no results yet."""
-    rows = results.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("rank", "team_member_id", F.col("final_score").alias("profile_score"), "fit_level", F.col("is_available").alias("availability_match"), "explanation"))).alias("matches"))
-    joined = requests.select("request_id").join(rows, "request_id", "left")
-    return joined.select("request_id", F.when(F.col("n").isNull(), "PROCESSING").otherwise("COMPLETED").alias("status"), F.coalesce("n", F.lit(0)).alias("total_matches"), "matches")
+#: Matches on a page of an envelope.
+PAGE = 50
+
+
+def envelope(requests: DataFrame, results: DataFrame, page: int | None = None, size: int = PAGE) -> DataFrame:
+    """(request_id, status, total_matches, page, matches): a request's results in pages of `size`, in the order of their rank.
+
+    A row for each page (from 1), or with page for that one only; total_matches
+    counts all results either way. A request without results yet, or without
+    any on the page asked for, has one row without matches; PROCESSING says that
+    there are no results. No row holds more than `size` matches.
+    """
+    totals = results.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    of = F.ceil(F.col("rank") / F.lit(size)).cast("int")
+    rows = results.withColumn("page", of) if page is None else results.filter(of == page).withColumn("page", of)
+    entry = F.struct("rank", "team_member_id", F.col("final_score").alias("profile_score"), "fit_level", F.col("is_available").alias("availability_match"), "explanation")
+    pages = rows.groupBy("request_id", "page").agg(F.array_sort(F.collect_list(entry)).alias("matches"))
+    joined = requests.select("request_id").join(totals, "request_id", "left").join(pages, "request_id", "left")
+    return joined.select("request_id", F.when(F.col("n").isNull(), "PROCESSING").otherwise("COMPLETED").alias("status"), F.coalesce("n", F.lit(0)).alias("total_matches"), "page", "matches")
 
 
 def envelope_totals(requests: DataFrame, scored: DataFrame) -> DataFrame:
@@ -62,9 +76,12 @@ def register(payloads: DataFrame, requests: DataFrame, received_at) -> tuple[Dat
     return rows, rejected, once.join(requests.select("request_id"), "request_id", "left_semi")
 
 
-def process_pending(requests: DataFrame, skill_master: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, at, config: ScoringConfig = DEFAULT, k: int | None = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+def process_pending(requests: DataFrame, skill_master: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, at, config: ScoringConfig = DEFAULT, k: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matches, requests with their new status, checkpoints) of all requests that were received and wait.
 
+    All matches are given, for all are stored; a limit belongs to reading them
+    (see page). Runs that share their requests take them by dispatch.claim.
+
     requests: rows as register gives them. A request whose payload is readable is
     matched and COMPLETED, any other FAILED; those of another status are left
     alone. What was matched belongs into store_results, the requests into their
@@ -82,7 +99,7 @@ def process_pending(requests: DataFrame, skill_master: DataFrame, members: DataF
     return found, upsert.update_status(requests, changes), audit.pipeline_checkpoints(named, asked, found, found, errors)
 
 
-def run(payloads: DataFrame, skill_master: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, config: ScoringConfig = DEFAULT, k: int | None = 50) -> DataFrame:
+def run(payloads: DataFrame, skill_master: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, config: ScoringConfig = DEFAULT, k: int | None = None) -> DataFrame:
     """Requisition payloads to explained matches: parse, normalize, match, rank, explain."""
     jobs = documents.jobs(payloads)
     return matches(normalized_requisitions(jobs, documents.job_skills(jobs), skill_master), members, skills, allocations, config, k)

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from . import schemas
 from .functions import text as fn
 from .operators import audit, availability, explain, matching, normalize, quality, rank, scoring, upsert
-from .plans import ingest
+from .plans import dispatch, ingest
 from .plans import matching as plan
 from .session import shared_path, written
 from .sources import adapter as src
-from .sources import documents, generate, tables
+from .sources import documents, tables
 from .streaming import upserts
 
 TOP, BATCH = 50, 100
@@ -53,7 +53,7 @@ SCORES = ("tm", "ol", "ms", "al", "rw", "rs", "busy", "sc")
 
 def _sql(select: str, *names: str) -> str:
     names_ = [n for x in names for n in (("rq", "rw") if x == "rw" else (x,))]
-    return "WITH " + ",\n".join(CTES[n] for n in dict.fromkeys(names_)) + "\n" + select
+    return "WITH " + ",\n".join(CTES[n] for n in dict.fromkeys(names_)) + "\n" + select  # select may go on with tables of its own after a comma
 
 
 QUERIES: dict = {}
@@ -132,6 +132,25 @@ def skill_normalize_fallback(spark, sf_dir):
     return normalize.normalize(rows, src.skill_master(spark, sf_dir)).select("c_custkey", "skill_id", "how")
 
 
+_MISSPELT = """t AS (SELECT p_partkey, p_name, 1 + p_partkey % length(p_name) AS pos FROM part), m AS (SELECT p_partkey, trim(CASE p_partkey % 4 WHEN 0 THEN substr(p_name, 1, pos - 1) || substr(p_name, pos + 1) WHEN 1 THEN substr(p_name, 1, pos - 1) || 'x' || substr(p_name, pos)
+    WHEN 2 THEN substr(p_name, 1, pos - 1) || 'x' || substr(p_name, pos + 1) ELSE substr(p_name, 1, pos - 1) || substr(p_name, pos + 1) || 'q' END) AS name FROM t)"""
+
+
+@query(
+    f"""WITH {CTES['sm']}, {_MISSPELT}, d AS (SELECT DISTINCT name FROM m),
+    near AS (SELECT name, s.skill_id, levenshtein(name, lower(skill_name)) AS edits FROM d JOIN sm s ON levenshtein(name, lower(skill_name)) <= 2 QUALIFY row_number() OVER (PARTITION BY name ORDER BY levenshtein(name, lower(skill_name)), s.skill_id) = 1)
+    SELECT p_partkey, coalesce(skill_id, upper(replace(name, ' ', '_'))) AS skill_id, CASE WHEN edits = 0 THEN 'exact' WHEN edits > 0 THEN 'fuzzy' ELSE 'fallback' END AS how FROM m LEFT JOIN near USING (name)"""
+)
+def skill_normalize_fuzzy(spark, sf_dir):
+    """Every part's name with one or two errors in it, brought back to the dictionary."""
+    name, k = F.col("p_name"), F.col("p_partkey")
+    pos = (1 + k % F.length(name)).cast("int")
+    head, tail, rest = F.substr(name, F.lit(1), pos - 1), F.substr(name, pos), F.substr(name, pos + 1)
+    raw = F.when(k % 4 == 0, F.concat(head, rest)).when(k % 4 == 1, F.concat(head, F.lit("x"), tail)).when(k % 4 == 2, F.concat(head, F.lit("x"), rest)).otherwise(F.concat(head, rest, F.lit("q")))
+    rows = src.table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw_skill"))
+    return normalize.normalize(rows, src.skill_master(spark, sf_dir), fuzzy=2).select("p_partkey", "skill_id", "how")
+
+
 @query("SELECT request_id, CASE WHEN title = '' THEN 'Software Engineer' ELSE title END AS title, CASE WHEN role = '' THEN 'Engineer' ELSE role END AS role FROM rq", "rq")
 def job_defaults(spark, sf_dir):
     return src.requisition(spark, sf_dir).select("request_id", fn.default(F.col("title"), "Software Engineer").alias("title"), fn.default(F.col("role"), "Engineer").alias("role"))
@@ -164,6 +183,30 @@ def member_availability(spark, sf_dir):
     return _scored(spark, sf_dir).select("request_id", "team_member_id", (F.col("availability_score") * 100).alias("capacity"), "is_available")
 
 
+@query("SELECT request_id, team_member_id, coalesce(allocated, 0)::DOUBLE AS allocated, coalesce(n_allocations, 0)::BIGINT AS n_allocations FROM rw CROSS JOIN tm LEFT JOIN busy USING (request_id, team_member_id)", "tm", "al", "rw", "busy")
+def member_window_load(spark, sf_dir):
+    """What each member is allocated in each requisition's window, read off running sums."""
+    windows = matching.requisition_windows(src.requisition(spark, sf_dir)).select("request_id", "w_start", "w_end")
+    members = src.team_member(spark, sf_dir).select("team_member_id").join(availability.loads(src.team_member_allocation(spark, sf_dir)), "team_member_id", "left")
+    at = (F.col("load"), F.col("w_start"), F.col("w_end"))
+    return matching.with_each(members, windows).select("request_id", "team_member_id", availability.load_of(*at).alias("allocated"), availability.count_of(*at).alias("n_allocations"))
+
+
+@query(
+    """, day AS (SELECT request_id, w_start AS d FROM rw), ends AS (SELECT DISTINCT team_member_id, request_id, end_date AS d FROM al JOIN rw ON end_date > w_start AND end_date < w_end WHERE NOT is_deleted),
+    cand AS (SELECT team_member_id, request_id, d FROM tm CROSS JOIN day UNION SELECT team_member_id, request_id, d FROM ends),
+    taken AS (SELECT c.team_member_id, request_id, d, coalesce(sum(allocation_percentage), 0) AS n FROM cand c LEFT JOIN al a ON a.team_member_id = c.team_member_id AND start_date <= d AND end_date > d AND NOT is_deleted GROUP BY ALL)
+    SELECT request_id, team_member_id, strftime(min(d) FILTER (n < 80), '%Y-%m-%d') AS available_from FROM taken JOIN tm USING (team_member_id) GROUP BY ALL""",
+    "tm", "al", "rw",
+)
+def availability_date(spark, sf_dir):
+    """The first day of each requisition's window on which each member is available; null if there is none."""
+    windows = matching.requisition_windows(src.requisition(spark, sf_dir)).select("request_id", "w_start", "w_end")
+    members = src.team_member(spark, sf_dir).select("team_member_id").join(availability.loads(src.team_member_allocation(spark, sf_dir)), "team_member_id", "left")
+    day = availability.available_from(F.col("load"), F.col("w_start"), F.col("w_end"))
+    return matching.with_each(members, windows).select("request_id", "team_member_id", day.cast("string").alias("available_from"))
+
+
 # ------------------------------------------------------------------ scoring
 
 
@@ -265,9 +308,21 @@ def match_envelope(spark, sf_dir):
     return plan.envelope_totals(asked, _scored(spark, sf_dir).join(done, "request_id", "left_semi"))
 
 
-# The names that these three had while the plain ones were cut to the best 50.
-for _name in ("matched_skill_lists", "explanation_lines", "match_envelope"):
-    QUERIES[f"{_name}_of_all"], ORACLES[f"{_name}_of_all"] = QUERIES[_name], ORACLES[_name]
+@query(
+    """, paged AS (SELECT request_id, ceil(rank / 50.0)::INT AS page, count(*)::INT AS n_matches, string_agg(team_member_id || ' ' || rank || ' ' || fit_level || ' ' || CASE WHEN is_available THEN 'yes' ELSE 'no' END, ',' ORDER BY rank) AS matches FROM rk JOIN rq USING (request_id) WHERE coalesce(max_months >= min_months, true) GROUP BY ALL),
+    n AS (SELECT request_id, sum(n_matches)::BIGINT AS total FROM paged GROUP BY 1)
+    SELECT request_id, CASE WHEN total IS NULL THEN 'PROCESSING' ELSE 'COMPLETED' END AS status, coalesce(total, 0) AS total_matches, page::VARCHAR AS page, coalesce(n_matches, 0) AS n_matches, coalesce(matches, '') AS matches FROM rq LEFT JOIN n USING (request_id) LEFT JOIN paged USING (request_id)""",
+    *SCORES, "rq",
+)
+def match_pages(spark, sf_dir):
+    """The envelope with its list: every match of every requisition, in pages of fifty."""
+    asked = src.requisition(spark, sf_dir)
+    done = quality.split(asked, {"experience": quality.in_order("min_months", "max_months")})[0].select("request_id")
+    scored = rank.ranked(_scored(spark, sf_dir).join(done, "request_id", "left_semi"), members=src.team_member(spark, sf_dir))
+    pages = plan.envelope(asked, _explained(scored))
+    one = lambda m: F.concat_ws(" ", m["team_member_id"], m["rank"].cast("string"), m["fit_level"], F.when(m["availability_match"], "yes").otherwise("no"))
+    n = F.coalesce(F.size("matches"), F.lit(0))
+    return pages.select("request_id", "status", "total_matches", F.col("page").cast("string").alias("page"), F.greatest(n, F.lit(0)).alias("n_matches"), F.coalesce(F.array_join(F.transform("matches", one), ","), F.lit("")).alias("matches"))
 
 
 # -------------------------------------------------------------------- audit
@@ -378,13 +433,13 @@ def point_lookups(spark, sf_dir):
     return reduce(DataFrame.unionByName, [row.select(F.lit(what).alias("what"), found.alias("found")) for what, row, found in parts])
 
 
-@query(f"SELECT request_id, team_member_id, rank FROM rk JOIN rq USING (request_id) WHERE rank <= {TOP} AND role <> ''", *SCORES, "rq")
+@query("SELECT request_id, team_member_id, rank FROM rk JOIN rq USING (request_id) WHERE role <> ''", *SCORES, "rq")
 def results_store(spark, sf_dir):
-    """The best fifty of each requisition as they are stored: written twice, the second time over the first, and cleared for those without a role."""
+    """All results of each requisition as they are stored: written twice, the second time over the first, and cleared for those without a role."""
     path, asked = shared_path(spark, "results"), src.requisition(spark, sf_dir)
-    best = rank.top_k(_scored(spark, sf_dir).select("request_id", "team_member_id", "final_score"), TOP).select("request_id", "team_member_id", "rank")
+    every = rank.ranked(_scored(spark, sf_dir).select("request_id", "team_member_id", "final_score"), members=src.team_member(spark, sf_dir)).select("request_id", "team_member_id", "rank")
     tables.store_results(asked.select("request_id", F.lit("stale").alias("team_member_id"), F.lit(0).alias("rank")), path)
-    tables.store_results(best, path)
+    tables.store_results(every, path)
     tables.clear_results(spark, path, asked.filter("role = ''"))
     return tables.read_results(spark, path)
 
@@ -721,7 +776,7 @@ def bulk_rejects(spark, sf_dir):
 )
 def bulk_upsert_summary(spark, sf_dir):
     """The counts of a batch with entries that break rules."""
-    out = _bulk(spark, sf_dir, faulty=True)["summary"]
+    out = _bulk(spark, sf_dir, faulty=True)["summary"].drop("unreadable_batches")
     return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
 
 
@@ -738,17 +793,17 @@ def _payloads(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    f"""SELECT request_id, 3 AS status, count(*) FILTER (rank <= {TOP}) AS n_matches, min(team_member_id) FILTER (rank = 1) AS best FROM rk JOIN rq USING (request_id) WHERE coalesce(max_months >= min_months, true) GROUP BY request_id
+    """SELECT request_id, 3 AS status, count(*) AS n_matches, min(team_member_id) FILTER (rank = 1) AS best FROM rk JOIN rq USING (request_id) WHERE coalesce(max_months >= min_months, true) GROUP BY request_id
     UNION ALL SELECT 'UNREADABLE', 4, 0, NULL UNION ALL SELECT 'RUNNING', 2, 0, NULL""",
     *SCORES, "rq",
 )
 def dispatched_requests(spark, sf_dir):
-    """Requisitions that are registered and then matched in the background: each request's status and how many of the best fifty it has."""
+    """Requisitions that are registered and then matched in the background: each request's status and how many stored results it has."""
     registered, _, _ = plan.register(_payloads(spark, sf_dir), spark.createDataFrame([("taken",)], "request_id string"), "2024-01-02 03:04:05")
     columns = ["request_id", "status", "payload_json", "completed_at"]
     requests = written(registered, "requests").withColumn("completed_at", F.lit(None).cast("timestamp")).select(*columns).unionByName(spark.createDataFrame([("UNREADABLE", 1, "{", None), ("RUNNING", 2, "{}", None)], "request_id string, status int, payload_json string, completed_at timestamp"))
     members, skills, allocations = src.team_member(spark, sf_dir), src.team_member_skill(spark, sf_dir), src.team_member_allocation(spark, sf_dir)
-    found, after, _ = plan.process_pending(requests, src.skill_master(spark, sf_dir), members, skills, allocations, "2024-01-02 03:05:00", k=TOP)
+    found, after, _ = plan.process_pending(requests, src.skill_master(spark, sf_dir), members, skills, allocations, "2024-01-02 03:05:00")
     path = shared_path(spark, "results")
     tables.store_results(found.select("request_id", "team_member_id", "rank"), path)
     stored = tables.read_results(spark, path).groupBy("request_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.when(F.col("rank") == 1, F.col("team_member_id"))).alias("best"))
@@ -771,10 +826,10 @@ def skills_of_text_and_lists(spark, sf_dir):
 @query("SELECT team_member_id, is_active, coalesce(experience_in_months, 0) AS experience_in_months, work_type FROM tm", "tm")
 def stream_upsert(spark, sf_dir):
     """The same batches as a stream of files; the members after the last one."""
-    source, members, ledger, state = (shared_path(spark, x) for x in ("batches", "members", "ledger", "stream"))
+    source, path, state = (shared_path(spark, x) for x in ("batches", "database", "stream"))
     _batches(spark, sf_dir).write.text(source)
-    upserts.start(spark, source, members, ledger, state, once=True).awaitTermination()
-    return upserts.members_table(spark, members).read().select("team_member_id", "is_active", "experience_in_months", "work_type")
+    upserts.start(spark, source, path, state, "2024-01-01 00:00:00", once=True).awaitTermination()
+    return ingest.database(spark, path).read("team_member").select("team_member_id", "is_active", "experience_in_months", "work_type")
 
 
 _WORDS = ["the", "und", "que", "de la", "éan", "thnt in"]
@@ -791,11 +846,96 @@ def skills_in_texts(spark, sf_dir):
     return normalize.skills_in_text(turns, names, "id", "text").select("id.conv_id", "id.turn", "skill_id")
 
 
-@query(None)
-def generated_matches(spark, sf_dir):
-    """Synthetic members and requisitions, as many as there are customers and nations, matched."""
-    n, r = src.table(spark, sf_dir, "customer").count(), src.table(spark, sf_dir, "nation").count()
-    members = generate.members(spark, n)
-    skills = members.select("team_member_id", F.explode(F.concat("primary", "secondary")).alias("skill_id"))
-    scored = matching.candidates(generate.requisitions(spark, r, "2024-06-01"), members, skills, generate.allocations(members, "2024-06-01"))
-    return rank.top_k(scored, TOP).select("request_id", "team_member_id", "rank", "final_score", "is_available")
+# ---------------------------------------------------- whole batches, committed
+
+
+@query(
+    """, n AS (SELECT unnest(['failed', 'all', 'rolled_back']) AS state), k AS (SELECT state, custkey FROM n, tm WHERE state = 'all' OR (custkey // 100) % 2 = 0)
+    SELECT state, 'team_member' AS name, count(*) AS rows FROM k GROUP BY ALL UNION ALL SELECT state, 'team_member_skill', count(*) FROM k JOIN ms USING (custkey) GROUP BY ALL UNION ALL SELECT state, 'team_member_allocation', count(*) FROM k JOIN al USING (custkey) GROUP BY ALL
+    UNION ALL SELECT state, 'skill_certification', count(*) FILTER (rating > 5) FROM k JOIN ms USING (custkey) GROUP BY ALL UNION ALL SELECT state, 'skill_master', count(DISTINCT skill_id) FROM k JOIN ms USING (custkey) GROUP BY ALL UNION ALL SELECT state, 'category_master', 2 FROM n""",
+    "tm", "ol", "ms", "al",
+)
+def bulk_commit_rollback(spark, sf_dir):
+    """Rows of all six tables: after the batches of even numbers and a commit that fails at its sixth table, after those of odd numbers, and after a return to the first version."""
+    lines = written(_batches(spark, sf_dir), "lines")
+    db = ingest.database(spark, shared_path(spark, "database"))
+    odd = F.get_json_object("value", "$.metadata.batch_number").cast("int") % 2 == 1
+    first = ingest.apply(db, documents.from_lines(lines.filter(~odd), schemas.BATCH), "2024-01-01 00:00:00")
+    changes = {name: (db.read(name).filter("false"), None) for name in ingest.MERGED}
+    changes["category_master"] = (db.read("category_master").withColumn("category_name", F.raise_error(F.lit("the disk is full")).cast("string")), None)
+    try:
+        db.commit(first, changes)
+    except Exception as e:
+        if "the disk is full" not in str(e):
+            raise
+    states = [("failed", ingest.all_tables(db))]
+    states.append(("all", ingest.all_tables(db, ingest.apply(db, documents.from_lines(lines.filter(odd), schemas.BATCH), "2024-01-02 00:00:00"))))
+    states.append(("rolled_back", ingest.all_tables(db, db.rollback(first))))
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(state).alias("state"), "name", "rows") for state, rows in states])
+
+
+@query(
+    """, n AS (SELECT custkey // 100 AS n, count(*) AS members FROM tm GROUP BY 1), s AS (SELECT custkey // 100 AS n, count(*) AS skills FROM ms GROUP BY 1), a AS (SELECT custkey // 100 AS n, count(*) AS allocations FROM al GROUP BY 1)
+    SELECT 'B' || n AS batch_id, 'stored' AS what, members, coalesce(skills, 0) AS skills, coalesce(allocations, 0) AS allocations FROM n LEFT JOIN s USING (n) LEFT JOIN a USING (n) UNION ALL SELECT 'B' || n, unnest(['not_json', 'wrong_type']), 0, 0, 0 FROM n""",
+    "tm", "ol", "ms", "al",
+)
+def unreadable_batches(spark, sf_dir):
+    """Each batch three times: as it is, cut off in the middle, and with a word for its number; all sent twice. What the log of batches has of each, and the lines that failed with their reason."""
+    value = F.col("value")
+    cut = F.substr(value, F.lit(1), F.floor(F.length(value) / 2).cast("int"))
+    lines = _batches(spark, sf_dir).select(F.explode(F.array(value, cut, F.regexp_replace(value, r'"batch_number":(\d+)', '"batch_number":"no $1"'))).alias("value"))
+    fixed = written(lines, "lines")
+    db = ingest.database(spark, shared_path(spark, "database"))
+    for at in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
+        ingest.apply(db, documents.from_lines(fixed, schemas.BATCH), at)
+    none = [F.lit(0).cast("long").alias(c) for c in ("members", "skills", "allocations")]
+    stored = db.read("sync_logs").select("batch_id", F.lit("stored").alias("what"), F.col("members_inserted").alias("members"), F.col("skills_inserted").alias("skills"), F.col("allocations_inserted").alias("allocations"))
+    return stored.unionByName(db.read("failed_batches").select(F.regexp_extract("line", '"batch_id":"(B[0-9]+)"', 1).alias("batch_id"), F.col("unreadable").alias("what"), *none))
+
+
+def _numbered_batches(spark, sf_dir, number: int, keep: str) -> DataFrame:
+    """Batches of this number of the members that keep says, each with the number as experience and rating of one skill."""
+    skill = F.array(F.struct(F.lit("S").alias("skill_id"), F.lit("skill").alias("skill_name"), F.lit(number).alias("rating")))
+    allocation = F.array(F.struct(F.lit("P").alias("project_id"), F.lit(float(number)).alias("allocation_percentage")))
+    member = F.struct("team_member_id", F.lit("active").alias("team_member_status"), F.lit(number).alias("experience_in_months"), "full_name", skill.alias("skills"), allocation.alias("allocations"))
+    rows = src.team_member(spark, sf_dir).filter(keep).groupBy(F.expr("custkey div 100").alias("n")).agg(F.array_sort(F.collect_list(member)).alias("team_members"))
+    meta = F.struct(F.concat_ws("-", F.lit(f"B{number}"), F.col("n").cast("string")).alias("batch_id"), F.lit(number).alias("batch_number"))
+    return rows.select(F.to_json(F.struct(meta.alias("metadata"), "team_members")).alias("value"))
+
+
+@query("SELECT team_member_id, n AS experience, n AS rating, n::DOUBLE AS percentage, 'B' || n || '-' || (custkey // 100) AS batch_id FROM (SELECT *, CASE WHEN custkey % 2 = 0 THEN 10 WHEN custkey % 3 <> 0 THEN 9 ELSE 8 END AS n FROM tm)", "tm")
+def stream_late_batches(spark, sf_dir):
+    """A stream in which the batches 10 and 9 come together and 8 comes late: what members, skills and allocations hold afterwards, and from which batch."""
+    source, path, state = (shared_path(spark, x) for x in ("batches", "database", "stream"))
+    for parts in ([(10, "custkey % 2 = 0"), (9, "custkey % 3 <> 0")], [(8, "true")]):
+        for number, keep in parts:
+            _numbered_batches(spark, sf_dir, number, keep).write.mode("append").text(source)
+        upserts.start(spark, source, path, state, "2024-01-01 00:00:00", once=True).awaitTermination()
+    db = ingest.database(spark, path)
+    rows = db.read("team_member").select("team_member_id", F.col("experience_in_months").alias("experience"), "batch.batch_id")
+    rows = rows.join(db.read("team_member_skill").select("team_member_id", "rating"), "team_member_id", "left")
+    return rows.join(db.read("team_member_allocation").select("team_member_id", F.col("allocation_percentage").cast("double").alias("percentage")), "team_member_id", "left")
+
+
+@query(
+    """SELECT request_id, 3 AS status, CASE WHEN key % 2 = 0 THEN 'second' ELSE 'first' END AS owner, count(*) AS n_matches, count(DISTINCT rank) AS n_ranks FROM rk JOIN rq USING (request_id) WHERE coalesce(max_months >= min_months, true) GROUP BY ALL""",
+    *SCORES, "rq",
+)
+def claimed_requests(spark, sf_dir):
+    """Two runs over one table of requests. The first takes those of odd numbers, matches them and finishes; then it takes the others and dies, and the second, which got none before, takes them over when their lease is past. What the first one brings after that is not stored."""
+    db = dispatch.database(spark, shared_path(spark, "requests"))
+    tables_ = (src.skill_master(spark, sf_dir), src.team_member(spark, sf_dir), src.team_member_skill(spark, sf_dir), src.team_member_allocation(spark, sf_dir))
+    odd = F.substring("request_id", -1, 1).cast("int") % 2 == 1
+    payloads = written(_payloads(spark, sf_dir), "payloads")
+    dispatch.submit(db, payloads.filter(odd), "2024-01-01 00:00:00")
+    first = dispatch.claim(db, "first", "2024-01-01 00:01:00", "2024-01-01 00:10:00")
+    dispatch.finish(db, first, "first", *tables_, "2024-01-01 00:02:00")
+    dispatch.submit(db, payloads, "2024-01-01 00:03:00")
+    lost = dispatch.claim(db, "first", "2024-01-01 00:04:00", "2024-01-01 00:14:00")
+    if not dispatch.claim(db, "second", "2024-01-01 00:05:00", "2024-01-01 00:15:00").isEmpty():
+        raise AssertionError("a request was claimed twice")
+    found = dispatch.claim(db, "second", "2024-01-01 01:00:00", "2024-01-01 01:10:00")
+    dispatch.finish(db, found, "second", *tables_, "2024-01-01 01:01:00")
+    dispatch.finish(db, lost, "first", *tables_, "2024-01-01 01:02:00")
+    results = db.read("results").groupBy("request_id").agg(F.count(F.lit(1)).alias("n_matches"), F.count_distinct("rank").alias("n_ranks"))
+    return db.read("requests").select("request_id", "status", "owner").join(results, "request_id", "left")

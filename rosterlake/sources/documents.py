@@ -8,13 +8,45 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
+#: Why a line could not be read: it is no JSON, a value is of another type than its column's, or its schema_version has no reader.
+NOT_JSON, WRONG_TYPE, UNKNOWN_VERSION = "not_json", "wrong_type", "unknown_version"
+
+
+def from_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """The columns of the schema, unreadable (why a line can't be read; null if it can) and line (only of such lines).
+
+    lines: a column value, one JSON object a line. Keys that the schema lacks are
+    ignored. Of an unreadable line no column is given: a value of the wrong type
+    costs the whole line, as it does in the service. Blank lines are left out.
+    """
+    read = F.from_json("value", f"{schema}, unreadable_ string", {"columnNameOfCorruptRecord": "unreadable_"})
+    rows = lines.filter(F.trim("value") != "").select("value", read.alias("r"))
+    bad = F.col("r").isNull() | F.col("r.unreadable_").isNotNull() | ~F.coalesce(F.startswith(F.ltrim("value"), F.lit("{")), F.lit(False))
+    why = F.when(bad, F.when(F.expr("try_parse_json(value)").isNull(), NOT_JSON).otherwise(WRONG_TYPE))
+    names = [f.name for f in lines.sparkSession.createDataFrame([], schema).schema]
+    return rows.withColumn("unreadable", why).select(*[F.when(F.col("unreadable").isNull(), F.col(f"r.{c}")).alias(c) for c in names], "unreadable", F.when(F.col("unreadable").isNotNull(), F.col("value")).alias("line"))
+
+
 def read_requisitions(spark: SparkSession, path: str) -> DataFrame:
-    """One requisition a line; keys that the schema lacks are ignored, unreadable lines give nulls."""
-    return spark.read.schema(schemas.REQUISITION).json(path)
+    """One requisition a line, see from_lines."""
+    return from_lines(spark.read.text(path), schemas.REQUISITION)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.BATCH).json(path)
+    """One batch a line, see from_lines."""
+    return from_lines(spark.read.text(path), schemas.BATCH)
+
+
+def readable(rows: DataFrame) -> DataFrame:
+    """Those of from_lines that could be read, or all rows if they come from elsewhere."""
+    return rows.filter("unreadable IS NULL").drop("unreadable", "line") if "unreadable" in rows.columns else rows
+
+
+def unreadable(rows: DataFrame) -> DataFrame:
+    """(unreadable, line) of those that could not."""
+    if "unreadable" in rows.columns:
+        return rows.filter("unreadable IS NOT NULL").select("unreadable", "line")
+    return rows.sparkSession.createDataFrame([], "unreadable string, line string")
 
 
 def parse(payloads: DataFrame, column: str, schema) -> DataFrame:
@@ -23,9 +55,9 @@ def parse(payloads: DataFrame, column: str, schema) -> DataFrame:
 
 
 def members(batches: DataFrame) -> DataFrame:
-    """A row for each member of each batch: batch_id, pos (its place), and its fields."""
-    rows = batches.select(F.col("metadata.batch_id").alias("batch_id"), F.posexplode("team_members").alias("pos", "m"))
-    return rows.select("batch_id", "pos", "m.*")
+    """A row for each member of each batch: batch_number, batch_id, pos (its place), and its fields."""
+    rows = batches.select(F.col("metadata.batch_number").alias("batch_number"), F.col("metadata.batch_id").alias("batch_id"), F.posexplode("team_members").alias("pos", "m"))
+    return rows.select("batch_number", "batch_id", "pos", "m.*")
 
 
 def skills(members_: DataFrame) -> DataFrame:

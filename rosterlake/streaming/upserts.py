@@ -1,7 +1,9 @@
-"""Batches that arrive as files, put into the member table as a stream.
+"""Batches that arrive as files, put into all tables as a stream.
 
-Each file is a numbered batch; a ledger of batch ids makes a repeated batch do
-nothing. Structured Streaming keeps track of the files, foreachBatch merges.
+Each file holds numbered batches. Structured Streaming keeps track of the files;
+each micro-batch is one commit of all tables, their log and the lines that could
+not be read. A batch that comes again changes nothing, and one that comes late
+overwrites nothing that a later one has written.
 """
 
 from __future__ import annotations
@@ -11,45 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..operators import quality, upsert
-from ..plans.ingest import MEMBER_ATTRIBUTES, member_rows
-from ..session import written
+from ..plans import ingest
 from ..sources import documents
-from ..sources.tables import VersionedTable
-
-
-def members_table(spark: SparkSession, path: str) -> VersionedTable:
-    return VersionedTable(spark, path, "team_member_id")
-
-
-def merge_batch(batch: DataFrame, members: VersionedTable, ledger: VersionedTable) -> None:
-    """Puts new batches into members and their ids into the ledger.
-
-    Of both tables only the buckets with new rows are written. Members are
-    written first: a run that dies in between merges the batch once more, which
-    changes nothing.
-    """
-    ids = batch.select(F.col("metadata.batch_id").alias("batch_id")).distinct()
-    changed = ledger.touched(ids)
-    done = ledger.read(changed)
-    fresh = batch if done is None else batch.join(done.withColumnRenamed("batch_id", "done_"), F.col("metadata.batch_id") == F.col("done_"), "left_anti")
-    valid, _ = quality.split(documents.members(fresh), quality.MEMBER_RULES)
-    rows = member_rows(valid.withColumn("pos", F.struct("batch_id", "pos")))
-    new = written(upsert.last_wins(rows, ["team_member_id"], ["pos"]), "members")
-    touched = members.touched(new)
-    if touched:
-        old = members.read(touched)
-        if old is None:
-            old = new.select("team_member_id", *MEMBER_ATTRIBUTES).limit(0)
-        members.write(upsert.merge(old, new, ["team_member_id"], MEMBER_ATTRIBUTES).drop("action"), touched)
-    ledger.write(ids if done is None else done.unionByName(ids).distinct(), changed)
-
-
-def start(spark: SparkSession, source: str, members_path: str, ledger_path: str, checkpoint: str, files_per_batch: int = 100, once: bool = False) -> StreamingQuery:
-    """A running query; with once it takes what is there and ends."""
-    members, ledger = members_table(spark, members_path), VersionedTable(spark, ledger_path, "batch_id", buckets=16)
-    stream = spark.readStream.schema(schemas.BATCH).option("maxFilesPerTrigger", files_per_batch).json(source)
-    writer = stream.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, members, ledger)).option("checkpointLocation", checkpoint)
+
+
+def start(spark: SparkSession, source: str, database: str, checkpoint: str, at: str, files_per_batch: int = 100, once: bool = False) -> StreamingQuery:
+    """A running query into a database (see ingest.database); at is the time that its log gives. With once it takes what is there and ends."""
+    db = ingest.database(spark, database)
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source)
+    writer = lines.writeStream.foreachBatch(lambda batch, _: ingest.apply(db, documents.from_lines(batch, schemas.BATCH), at) and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

@@ -103,12 +103,12 @@ def test_audit(spark):
 
 
 def test_versions_stream_and_ledger(spark, tmp_path):
-    source, places = tmp_path / "in", [f"file://{tmp_path}/{x}" for x in ("members", "ledger", "state")]
+    source, places = tmp_path / "in", [f"file://{tmp_path}/{x}" for x in ("database", "state")]
     source.mkdir()
     for n, (b, exp) in enumerate([("B1", 10), ("B2", 20), ("B1", 99)]):
         (source / f"{n}.json").write_text(json.dumps({"metadata": {"batch_id": b}, "team_members": [member("a", experience_in_months=exp), member(f"m{n}")]}) + "\n")
-        upserts.start(spark, f"file://{source}", *places, once=True).awaitTermination()
-    got = {r.team_member_id: r.experience_in_months for r in tables.VersionedTable(spark, places[0]).read().collect()}
+        upserts.start(spark, f"file://{source}", *places, "2024-01-01", once=True).awaitTermination()
+    got = {r.team_member_id: r.experience_in_months for r in ingest.database(spark, places[0]).read("team_member").collect()}
     assert got == {"a": 20, "m0": 10, "m1": 10}
     tables.store_results(spark.createDataFrame([("r", 1), ("q", 1)], "request_id string, v int"), f"file://{tmp_path}/res")
     tables.store_results(spark.createDataFrame([("r", 2)], "request_id string, v int"), f"file://{tmp_path}/res")
