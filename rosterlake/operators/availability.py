@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScoringConfig
+from ..functions.arrays import count_while
 
-#: Windows beyond this number are not broadcast; they meet the allocations by month instead.
-BROADCAST_WINDOWS = 20_000
+#: Windows beyond this number or these bytes are not broadcast; they meet the allocations by month instead.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 20_000, 8 << 20
 #: Parts of a per cent that loads are counted in, so that sums are exact.
 PARTS = 1_000_000
 
@@ -43,7 +44,9 @@ def overlapping(allocations: DataFrame, windows: DataFrame, most: int = BROADCAS
     """
     live = allocations.filter(~F.col("is_deleted"))
     hit = overlaps(F.col("start_date"), F.col("end_date"), F.col("w_start"), F.col("w_end"))
-    if windows.limit(most + 1).count() <= most:
+    size = F.sum(sum((F.octet_length(F.to_json(F.struct(c))) for c in windows.columns), F.lit(64)))
+    n, total = windows.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    if n <= most and total <= BROADCAST_BYTES:
         return live.join(F.broadcast(windows), hit)
     # Both sides by month: a pair meets in each month that it shares, and the first of these counts.
     # Dates the wrong way round are spread like others; what overlaps is for hit alone to say.
@@ -95,10 +98,7 @@ def loads(allocations: DataFrame) -> DataFrame:
 
 def _upto(sums: Column, day: Column, and_day: bool) -> Column:
     """The running sum (percent, n) of all days before `day` (with and_day: and of it), by bisection; null if there are none."""
-    steps = F.transform(F.sequence(F.ceil(F.log2(F.size(sums) + F.lit(1))).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
-    before = lambda d: d <= day if and_day else d < day
-    at = F.aggregate(steps, F.lit(0), lambda pos, step: F.when((pos + step <= F.size(sums)) & before(F.get(sums, pos + step - 1)["day"]), pos + step).otherwise(pos))
-    return F.get(sums, at - 1)
+    return F.get(sums, count_while(sums, lambda x: x["day"] <= day if and_day else x["day"] < day) - 1)
 
 
 def _read(load: Column, w_start: Column, w_end: Column, what: str) -> Column:

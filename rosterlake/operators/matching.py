@@ -52,16 +52,16 @@ def with_each(rows: DataFrame, asked: DataFrame, block: int = BLOCK, block_bytes
     return reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(p)) for p in parts])
 
 
-def candidates(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, config: ScoringConfig = DEFAULT, block: int = BLOCK) -> DataFrame:
-    """A row for each requisition and active member, also without any match.
+def wanted_rows(asked: DataFrame) -> DataFrame:
+    """What a pair needs of its requisition; asked has w_start and w_end (see requisition_windows)."""
+    return asked.select(
+        "request_id", F.array_distinct("mandatory").alias("mandatory"), F.array_distinct("preferred").alias("preferred"), "min_months",
+        F.col("w_start").cast("date").alias("w_start"), F.col("w_end").cast("date").alias("w_end"), _window_key("w_start", "w_end").alias("key"),
+    )
 
-    requisitions: request_id, mandatory, preferred (arrays of skill ids),
-    min_months, expected_start_date, requisition_duration_month.
-    """
-    asked = requisition_windows(requisitions, config)
-    profiles = member_profiles(members, skills, allocations, asked, config)
-    wanted = asked.select("request_id", F.array_distinct("mandatory").alias("mandatory"), F.array_distinct("preferred").alias("preferred"), "min_months", F.col("w_start").cast("date").alias("w_start"), F.col("w_end").cast("date").alias("w_end"), _window_key("w_start", "w_end").alias("key"))
-    pairs = with_each(profiles, wanted, block)
+
+def scored(pairs: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
+    """The scores of pairs, each with a member's profile and what its requisition wants."""
     none = F.array().cast("array<string>")
     pairs = pairs.withColumn("skill_ids", F.coalesce("skill_ids", none)).withColumn("allocated", F.coalesce(availability.load_of(F.col("load"), F.col("w_start"), F.col("w_end")), F.col("busy")[F.col("key")], F.lit(0.0)))
     pairs = pairs.withColumn("mandatory_score", scoring.ratio(F.col("skill_ids"), F.col("mandatory"))).withColumn("preferred_score", scoring.ratio(F.col("skill_ids"), F.col("preferred")))
@@ -76,6 +76,17 @@ def candidates(requisitions: DataFrame, members: DataFrame, skills: DataFrame, a
     )
 
 
+def candidates(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, config: ScoringConfig = DEFAULT, block: int = BLOCK) -> DataFrame:
+    """A row for each requisition and active member, also without any match.
+
+    requisitions: request_id, mandatory, preferred (arrays of skill ids),
+    min_months, expected_start_date, requisition_duration_month.
+    """
+    asked = requisition_windows(requisitions, config)
+    profiles = member_profiles(members, skills, allocations, asked, config)
+    return scored(with_each(profiles, wanted_rows(asked), block), config)
+
+
 def with_reasons(scored: DataFrame) -> DataFrame:
     """scored with mandatory_matched, preferred_matched, and skills_matched (both, a skill of both lists twice), in the order of the lists."""
     out = scored.withColumn("mandatory_matched", F.array_intersect("mandatory", "skill_ids")).withColumn("preferred_matched", F.array_intersect("preferred", "skill_ids"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from . import extract
 
 # The aliases and the names that they stand for.
 ALIASES = {
@@ -47,9 +48,12 @@ def normalize(raw: DataFrame, skill_master: DataFrame, column: str = "raw_skill"
 
 def _shortened(name: F.Column, edits: int) -> F.Column:
     """The name and all that is left of it without one character, without two, and so on up to edits."""
+
+    def without(v: F.Column) -> F.Column:
+        return F.transform(F.sequence(F.lit(1), F.char_length(v)), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))
+
     out = F.array(name)
     for _ in range(edits):
-        without = lambda v: F.transform(F.sequence(F.lit(1), F.char_length(v)), lambda i, v=v: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))
         out = F.array_distinct(F.concat(out, F.flatten(F.transform(F.filter(out, lambda v: F.char_length(v) > 0), without))))
     return out
 
@@ -99,14 +103,5 @@ def with_text_skills(raw: DataFrame, texts: DataFrame, skill_master: DataFrame,
 
 
 def skills_in_text(texts: DataFrame, skill_master: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, skill_id): dictionary names that occur in a text, as whole words; the runs looked up are as long as the names."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}.+#]+"), lambda w: w != "")
-
-    def runs(n: int) -> F.Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w_"), F.lit(1))), lambda i: i + (n - 1) <= F.size("w_"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("w_", i, n), " "))
-
-    known = dictionary(skill_master)
-    lengths = sorted(r[0] for r in known.select(F.size(F.split("skill_key", " "))).distinct().collect()) or [1]  # a few small numbers
-    names = texts.select(F.col(id_col), words.alias("w_")).select(id_col, F.explode(F.array_distinct(F.concat(*[runs(n) for n in lengths]))).alias("skill_key"))
-    return names.join(known, "skill_key").select(id_col, "skill_id").distinct()
+    """(id, skill_id): dictionary names that occur in a text, as whole words."""
+    return extract.names_in_text(texts, skill_master, id_col, text_col).select(id_col, "skill_id").distinct()

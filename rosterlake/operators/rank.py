@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import count_while
+from .upsert import numbered
+
 
 def _by_score() -> Window:
     return Window.partitionBy("request_id").orderBy(F.desc("final_score"), "team_member_id")
@@ -32,11 +37,11 @@ def ranked(scored: DataFrame, ways: int | None = None, members: DataFrame | None
         ways = 1 if members is None else -(-members.count() // ROWS_A_TASK)
     if ways <= 1:
         return scored.withColumn("rank", F.row_number().over(_by_score()))
-    ids = (scored if members is None else members).select("team_member_id").distinct().orderBy(F.xxhash64("team_member_id"), "team_member_id").limit(100 * ways)
-    sample = sorted(r[0] for r in ids.collect())  # 100 ids a range
-    cuts = sorted({sample[i * len(sample) // ways] for i in range(1, ways)}) if sample else []
-    part = sum((F.when(F.col("team_member_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    rows = scored.withColumn("part_", part)
+    ids = numbered((scored if members is None else members).select("team_member_id").distinct(), ["team_member_id"], "no_")
+    step = max(1, -(-ids.count() // ways))
+    cuts = sorted(r[0] for r in ids.filter((F.col("no_") % step == 0) & (F.col("no_") > 0)).select("team_member_id").collect())  # an id for each range
+    array = F.from_json(F.lit(json.dumps(cuts)), "array<string>")
+    rows = scored.withColumn("part_", count_while(array, lambda c: c <= F.col("team_member_id")))
     counts = rows.groupBy("request_id", "final_score", "part_").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("request_id").orderBy(F.desc("final_score"), "part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("before_", before).drop("n")

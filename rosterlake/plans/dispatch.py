@@ -93,7 +93,7 @@ def finish(db: Database, claimed: DataFrame, owner: str, skill_master: DataFrame
     """Matches claimed requests and commits all their results, their status and checkpoints, but for those that are no longer this owner's."""
     waiting = written(claimed.withColumn("status", F.lit(matching.RECEIVED)), "claimed")
     found, after, checkpoints = matching.process_pending(waiting, skill_master, members, skills, allocations, at, config)
-    results = written(found.select(*_columns(db, "results")), "results")
+    results = found.select(*_columns(db, "results"))
     done = written(after.select("request_id", "status", "completed_at", "leased_until"), "done")
     log = written(checkpoints, "checkpoints")
 

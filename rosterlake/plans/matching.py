@@ -10,6 +10,7 @@ from ..functions.text import canonical_json, correlation_id, payload_hash
 from ..operators import audit, explain, matching, normalize, rank, upsert
 from ..operators.quality import REQUISITION_RULES, new_requests, split
 from ..schemas import REQUISITION, REQUISITION_COLUMNS
+from ..session import written
 from ..sources import documents
 
 #: Keys of schemas.STATUS_SEED.
@@ -92,7 +93,7 @@ def process_pending(requests: DataFrame, skill_master: DataFrame, members: DataF
     payloads = parsed.filter(readable).select("request_id", *[F.col(f"p.{c}").alias(c) for c in REQUISITION_COLUMNS if c != "request_id"])
     jobs = documents.jobs(payloads)
     asked = normalized_requisitions(jobs, documents.job_skills(jobs), skill_master)
-    found = matches(asked, members, skills, allocations, config, k)
+    found = written(matches(asked, members, skills, allocations, config, k), "matches")  # made once, for the results and their checkpoints
     changes = parsed.select("request_id", F.when(readable, COMPLETED).otherwise(FAILED).alias("new_status"), F.lit(at).cast("timestamp").alias("new_completed_at"))
     errors = parsed.select("request_id", F.when(~F.coalesce(readable, F.lit(False)), "payload is not readable").alias("error_message"))
     named = jobs.select("request_id", "normalized_title", "normalized_role")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .functions import text as fn
-from .operators import audit, availability, explain, matching, normalize, quality, rank, scoring, upsert
+from .operators import audit, availability, explain, extract, matching, normalize, quality, rank, scoring, top, upsert
 from .plans import dispatch, ingest
 from .plans import matching as plan
 from .session import shared_path, written
@@ -254,6 +254,13 @@ def match_top_k(spark, sf_dir):
     return best.select("request_id", "team_member_id", "rank", "final_score", "skill_score", "experience_score", "availability_score", "is_available", scoring.fit_level(F.col("final_score")).alias("fit_level"))
 
 
+@query(f"{_RANKED} WHERE rank <= {TOP}", *SCORES)
+def match_top_k_indexed(spark, sf_dir):
+    """The same rows from an index of skills, without making all pairs."""
+    best, _ = top.best(_requisitions(spark, sf_dir), src.team_member(spark, sf_dir), src.team_member_skill(spark, sf_dir), src.team_member_allocation(spark, sf_dir), TOP)
+    return best.select("request_id", "team_member_id", "rank", "final_score", "skill_score", "experience_score", "availability_score", "is_available", scoring.fit_level(F.col("final_score")).alias("fit_level"))
+
+
 @query(f"SELECT request_id, team_member_id, rank, ceil(rank / {BATCH}.0)::INT AS batch_number, ceil(n / {BATCH}.0)::INT AS total_batches, least({BATCH}, n - (ceil(rank / {BATCH}.0)::INT - 1) * {BATCH})::INT AS records_in_batch FROM (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM rk)", *SCORES)
 def match_batches(spark, sf_dir):
     return rank.batches(rank.ranked(_scored(spark, sf_dir).select("request_id", "team_member_id", "final_score"), members=src.team_member(spark, sf_dir)), BATCH).drop("final_score")
@@ -390,7 +397,7 @@ def windowed_event_counts(spark, sf_dir):
     *SCORES,
 )
 def pipeline_checkpoints(spark, sf_dir):
-    asked, scored = _requisitions(spark, sf_dir), _scored(spark, sf_dir)
+    asked, scored = _requisitions(spark, sf_dir), written(_scored(spark, sf_dir).select("request_id", "team_member_id"), "scored")  # made once for all stages
     errors = src.requisition(spark, sf_dir).select("request_id", F.when(F.col("max_months") < F.col("min_months"), "experience range is empty").alias("error_message"))
     rows = audit.pipeline_checkpoints(asked.select("request_id", "title", "role"), asked, scored, scored, errors)
     return rows.groupBy("request_id", "node_name").agg(F.count(F.lit(1)).alias("n"))
@@ -516,9 +523,10 @@ def new_requests(spark, sf_dir):
 def fk_orphans(spark, sf_dir):
     """Rows that point to nothing, over six of the relationships: whole tables against parents of which some are gone (inactive members, deleted skills, missing categories)."""
     active = src.team_member(spark, sf_dir).filter("is_active")
-    allocations, skills, dictionary = src.team_member_allocation(spark, sf_dir), src.team_member_skill(spark, sf_dir), src.skill_master(spark, sf_dir)
+    lines = written(src.order_lines(spark, sf_dir).select("custkey", "team_member_id", "skill_id", "l_linenumber", "l_partkey", "l_orderkey"), "lines")  # joined once for three of the relationships
+    allocations, skills, dictionary = src.team_member_allocation(spark, sf_dir), written(src.team_member_skill(spark, sf_dir, lines), "skills"), src.skill_master(spark, sf_dir)
     held = F.concat_ws("/", "team_member_id", "skill_id")
-    certified = src.order_lines(spark, sf_dir).withColumn("id", F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    certified = lines.withColumn("id", F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
     categories = spark.createDataFrame([("ring",), ("bolt",)], "category_name string")
     requests = src.requisition(spark, sf_dir).select(F.col("key").cast("string").alias("request_id"))
     parts = [
@@ -780,6 +788,28 @@ def bulk_upsert_summary(spark, sf_dir):
     return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
 
 
+@query(
+    """SELECT request_id, CASE WHEN key % 3 = 2 THEN 'unknown_version' WHEN key % 3 = 1 THEN '1.1' ELSE '1.0' END AS version, CASE WHEN key % 3 <> 2 THEN title END AS title, CASE WHEN key % 3 <> 2 THEN min_months::VARCHAR END AS min_months, coalesce(n, 0) AS n_mandatory
+    FROM rq LEFT JOIN (SELECT request_id, count(DISTINCT skill_id)::INT AS n FROM rs JOIN rq USING (request_id) WHERE kind = 'mandatory' AND key % 3 <> 2 GROUP BY 1) USING (request_id)""",
+    "rq", "rs",
+)
+def requisition_versions(spark, sf_dir):
+    """Requisitions of two schema versions, and of one that nobody can read, in one file and read into one table."""
+    rows = _payloads(spark, sf_dir)
+    job = F.col("job_description")
+    one = rows.withColumn("schema_version", F.lit("1.0")).select("request_id", F.to_json(F.struct(*[c for c in rows.columns if c != "schema_version"], "schema_version")).alias("value"))
+    mark = lambda required: lambda s: F.struct(s.alias("name"), F.lit(required).alias("required"))
+    skills = F.concat(F.transform(job["mandatory_skills"], mark(True)), F.transform(job["preferred_skills"], mark(False)))
+    newer = F.struct(job["title"].alias("title"), job["role"].alias("role"), job["priority"].alias("priority"), skills.alias("skills"), job["experience"]["min_months"].alias("min_experience_months"), job["experience"]["max_months"].alias("max_experience_months"), job["expected_start_date"].alias("expected_start_date"), job["requisition_duration_month"].alias("requisition_duration_month"))
+    two = lambda version: rows.select("request_id", F.to_json(F.struct("request_id", F.lit(version).alias("schema_version"), "source_system", newer.alias("job_description"))).alias("value"))
+    part = F.substring("request_id", -4, 4).cast("int") % 3
+    path = shared_path(spark, "requisitions")
+    reduce(DataFrame.unionByName, [df.filter(part == i).select("value") for i, df in enumerate([one, two("1.1"), two("9")])]).write.text(path)
+    read = documents.read_versions(spark.read.text(path), documents.REQUISITION_READERS)
+    request_id = F.coalesce("request_id", F.get_json_object("line", "$.request_id"))
+    return read.select(request_id.alias("request_id"), F.coalesce("unreadable", "schema_version").alias("version"), job["title"].alias("title"), job["experience"]["min_months"].cast("string").alias("min_months"), F.coalesce(F.size(F.array_distinct(F.transform(job["mandatory_skills"], lambda s: F.upper(fn.strip(s))))), F.lit(0)).alias("n_mandatory"))
+
+
 def _payloads(spark, sf_dir) -> DataFrame:
     """The requisitions as payloads."""
     lists = normalize.skill_lists(src.requisition_skill(spark, sf_dir).withColumn("skill_id", F.col("raw_skill")))
@@ -811,15 +841,18 @@ def dispatched_requests(spark, sf_dir):
 
 
 @query(
-    """SELECT request_id, kind, count(*) AS n FROM rs GROUP BY ALL UNION ALL SELECT request_id, 'from_text', 1 FROM rq WHERE request_id NOT IN (SELECT request_id FROM rs JOIN sm USING (skill_id) WHERE first_part = 1)""",
-    "rq", "sm", "rs",
+    """, said AS (SELECT DISTINCT 'REQ' || lpad(n_nationkey::VARCHAR, 4, '0') AS request_id, upper(replace(p_name, ' ', '_')) AS skill_id FROM nation JOIN part ON p_partkey >= 3 * n_nationkey AND p_partkey < 3 * n_nationkey + 12)
+    SELECT request_id, kind, count(*) AS n FROM rs GROUP BY ALL UNION ALL SELECT request_id, 'from_text', count(*) FROM said ANTI JOIN rs USING (request_id, skill_id) GROUP BY ALL""",
+    "rq", "rs",
 )
 def skills_of_text_and_lists(spark, sf_dir):
-    """Each requisition's listed skills, united with what its text names: the first part, unless it is listed."""
+    """Each requisition's listed skills, united with those of the whole dictionary that its text names and it does not list."""
     dictionary, raw = src.skill_master(spark, sf_dir), src.requisition_skill(spark, sf_dir)
-    first = dictionary.filter("first_part = 1").select(F.concat(F.lit("We use "), F.initcap("skill_name"), F.lit(", daily; "), "skill_name").alias("text"))
-    texts = src.requisition(spark, sf_dir).select("request_id").crossJoin(F.broadcast(first))  # one row
-    both = normalize.with_text_skills(raw, texts, dictionary.filter("first_part = 1"), kind="from_text")
+    nation = src.table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("j"))
+    said = nation.join(src.table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("n_nationkey") * 3 + F.col("j"))
+    names = F.array_join(F.array_sort(F.collect_list(F.concat(F.initcap("p_name"), F.lit(", daily")))), "; ")
+    texts = said.groupBy(F.concat(F.lit("REQ"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0")).alias("request_id")).agg(F.concat(F.lit("We use "), names, F.lit(".")).alias("text"))
+    both = normalize.with_text_skills(raw, texts.withColumn("text", F.regexp_replace("text", r"\.$", " .")), dictionary, kind="from_text")
     return normalize.normalize(both, dictionary).groupBy("request_id", "kind").agg(F.count_distinct("skill_id").alias("n"))
 
 
@@ -832,18 +865,37 @@ def stream_upsert(spark, sf_dir):
     return ingest.database(spark, path).read("team_member").select("team_member_id", "is_active", "experience_in_months", "work_type")
 
 
-_WORDS = ["the", "und", "que", "de la", "éan", "thnt in"]
+_SPLIT = "[x FOR x IN regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}.+#]+') IF x <> '']"
 
 
 @query(
-    f"""WITH w(skill_id) AS (VALUES {", ".join(f"('{w}')" for w in _WORDS)}), t AS (SELECT conv_id, turn, ' ' || array_to_string([x FOR x IN regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}.+#]+') IF x <> ''], ' ') || ' ' AS words FROM conversations)
-    SELECT conv_id, turn, skill_id FROM t JOIN w ON contains(words, ' ' || skill_id || ' ')"""
+    f"""WITH names AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT array_to_string({_SPLIT.format('text')}[1:3], ' ') FROM benchmark), t AS (SELECT 'document' AS kind, doc_id AS id, 0 AS turn, text FROM documents UNION ALL SELECT 'conversation', conv_id, turn, text FROM conversations),
+    w AS (SELECT kind, id, turn, ' ' || array_to_string({_SPLIT.format('text')}, ' ') || ' ' AS words FROM t)
+    SELECT kind, id, turn, upper(replace(name, ' ', '_')) AS skill_id FROM w JOIN names ON name <> '' AND contains(words, ' ' || name || ' ')"""
 )
 def skills_in_texts(spark, sf_dir):
-    """Names of one or two words that occur in conversations."""
-    names = spark.createDataFrame([(w.title(), w) for w in _WORDS], "skill_name string, skill_id string")
-    turns = src.table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
-    return normalize.skills_in_text(turns, names, "id", "text").select("id.conv_id", "id.turn", "skill_id")
+    """The whole dictionary (the parts' names, and the first three words of each benchmark item) looked for in all documents and all turns of conversations."""
+    first = F.array_join(F.slice(extract.words_of(F.col("text")), 1, 3), " ")
+    names = src.table(spark, sf_dir, "part").select(F.col("p_name").alias("skill_name")).unionByName(src.table(spark, sf_dir, "benchmark").select(first.alias("skill_name"))).distinct().withColumn("skill_id", src.skill_id(F.col("skill_name")))
+    key = lambda kind, i, turn: F.struct(F.lit(kind).alias("kind"), F.col(i).alias("id"), turn.cast("long").alias("turn")).alias("key")
+    texts = src.table(spark, sf_dir, "documents").select(key("document", "doc_id", F.lit(0)), "text").unionByName(src.table(spark, sf_dir, "conversations").select(key("conversation", "conv_id", F.col("turn")), "text"))
+    return extract.names_in_text(texts, names, "key", "text").select("key.kind", "key.id", "key.turn", "skill_id")
+
+
+@query(
+    """SELECT request_id, (24 + key)::VARCHAR AS min_months, CASE WHEN key % 3 = 0 THEN (60 + key)::VARCHAR END AS max_months, CASE WHEN key % 5 <> 0 THEN (2 + key % 9)::VARCHAR END AS duration, strftime(CASE WHEN key % 4 = 3 THEN date_trunc('month', expected_start_date)::DATE ELSE expected_start_date END, '%Y-%m-%d') AS start FROM rq""",
+    "rq",
+)
+def fields_in_texts(spark, sf_dir):
+    """Experience, duration and first day, read out of texts in which each requisition says them in one of several ways."""
+    k, day = F.col("key"), F.col("expected_start_date")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    asked = F.when(k % 3 == 0, text("Wanted: ", 24 + k, "-", 60 + k, " months of hands-on experience")).when(k % 3 == 1, text("You bring at least ", 24 + k, " months' experience")).otherwise(text("You have ", 24 + k, "+ months of relevant work experience"))
+    lasts = F.when(k % 5 == 0, F.lit("")).when(k % 2 == 0, text(", for ", 2 + k % 9, " months")).otherwise(text(", duration: ", 2 + k % 9, " months"))
+    starts = F.when(k % 4 == 3, text(". Start in ", F.date_format(day, "MMMM yyyy"))).when(k % 4 == 2, text(". Starting on ", F.date_format(day, "d MMMM yyyy"))).otherwise(text(". Start date: ", day))
+    rows = src.requisition(spark, sf_dir).select("request_id", F.concat(asked, lasts, starts, F.lit(".")).alias("text"))
+    said = extract.experience(F.col("text"))
+    return rows.select("request_id", said["min_months"].cast("string").alias("min_months"), said["max_months"].cast("string").alias("max_months"), extract.duration_months(F.col("text")).cast("string").alias("duration"), extract.start_date(F.col("text")).cast("string").alias("start"))
 
 
 # ---------------------------------------------------- whole batches, committed

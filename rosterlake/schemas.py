@@ -38,11 +38,16 @@ STATUS_SEED = [(1, "RECEIVED"), (2, "PROCESSING"), (3, "COMPLETED"), (4, "FAILED
 
 EXPERIENCE = "struct<min_months: int, max_months: int>"
 JOB = f"struct<client_name: string, title: string, role: string, jd_text: string, requisition_duration_month: int, expected_start_date: date, priority: string, location: array<string>, work_mode: array<string>, experience: {EXPERIENCE}, mandatory_skills: array<string>, preferred_skills: array<string>>"
+JOB_FIELDS = ["client_name", "title", "role", "jd_text", "requisition_duration_month", "expected_start_date", "priority", "location", "work_mode", "experience", "mandatory_skills", "preferred_skills"]
+_JOB_1_1 = "struct<client_name: string, title: string, role: string, jd_text: string, requisition_duration_month: int, expected_start_date: date, priority: string, location: array<string>, work_mode: array<string>, min_experience_months: int, max_experience_months: int, skills: array<struct<name: string, required: boolean>>>"
 REQUISITION_COLUMNS = ["request_id", "schema_version", "source_system", "client_name", "job_description", "metadata"]
 REQUISITION = (
     f"request_id string, schema_version string, source_system string, client_name string, job_description {JOB}, metadata struct<submitted_by: string, submitted_at: timestamp, department: string>"
 )
 
+#: A later minor version of the payload, read into the same table.
+REQUISITION_1_1 = f"request_id string, schema_version string, source_system string, client_name string, job_description {_JOB_1_1}, metadata struct<submitted_by: string, submitted_at: timestamp, department: string>"
+
 _CERT = "struct<certification_id: string, certificate: string, issuer: string, issued_date: date, valid_till: date>"
 _SKILL = f"struct<skill_id: string, skill_name: string, rating: int, experience_in_months: int, category: string, is_deleted: boolean, certifications: array<{_CERT}>>"
 _ALLOCATION = "struct<project_id: string, allocation_percentage: double, start_date: date, end_date: date, billable: boolean, is_deleted: boolean>"

@@ -42,8 +42,9 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("o_custkey").alias("custkey"), member_id(F.col("o_custkey")).alias("team_member_id"), skill_id(_name()).alias("skill_id"), _name().alias("skill_name"), "l_linenumber", "l_partkey", "l_orderkey", "l_extendedprice")
 
 
-def team_member_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_lines(spark, sf_dir).groupBy("custkey", "team_member_id", "skill_id").agg(F.max("l_linenumber").alias("rating"), (F.min("l_partkey") % 13 == 0).alias("is_deleted"))
+def team_member_skill(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """lines: order_lines, if they are at hand."""
+    return (order_lines(spark, sf_dir) if lines is None else lines).groupBy("custkey", "team_member_id", "skill_id").agg(F.max("l_linenumber").alias("rating"), (F.min("l_partkey") % 13 == 0).alias("is_deleted"))
 
 
 def team_member_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:

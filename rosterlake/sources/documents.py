@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,46 @@ def from_lines(lines: DataFrame, schema: str) -> DataFrame:
     return rows.withColumn("unreadable", why).select(*[F.when(F.col("unreadable").isNull(), F.col(f"r.{c}")).alias(c) for c in names], "unreadable", F.when(F.col("unreadable").isNotNull(), F.col("value")).alias("line"))
 
 
+@dataclass(frozen=True)
+class Reader:
+    """How payloads of some schema versions are read: their schema, and what makes a row of the newest table of one."""
+
+    schema: str
+    current: Callable[[DataFrame], DataFrame] = lambda rows: rows
+
+
+def _from_1_1(rows: DataFrame) -> DataFrame:
+    """Version 1.1 has one list of skills with a mark, and the bounds of experience in two fields."""
+    j = F.col("job_description")
+    names = lambda required: F.transform(F.filter(j["skills"], lambda s: F.coalesce(s["required"], F.lit(False)) == required), lambda s: s["name"])
+    made = {"experience": F.struct(j["min_experience_months"].alias("min_months"), j["max_experience_months"].alias("max_months")), "mandatory_skills": names(True), "preferred_skills": names(False)}
+    return rows.withColumn("job_description", F.struct(*[made.get(c, j[c]).alias(c) for c in schemas.JOB_FIELDS]))
+
+
+#: Readers by schema_version; 1 and 1.0 are the service's.
+REQUISITION_READERS = {"1": Reader(schemas.REQUISITION), "1.0": Reader(schemas.REQUISITION), "1.1": Reader(schemas.REQUISITION_1_1, _from_1_1)}
+
+
+def read_versions(lines: DataFrame, readers: dict[str, Reader], field: str = "schema_version") -> DataFrame:
+    """from_lines for lines (value) of several schema versions, each read by its own reader and brought into the one table.
+
+    A line whose version has no reader, or that has none, is unreadable
+    (unknown_version); so is one that its reader finds unreadable.
+    """
+    version = F.coalesce(F.get_json_object("value", f"$.{field}"), F.lit(""))
+    rows = lines.select("value", version.alias("version"))
+    parts, by_reader = [], {}
+    for name, reader in readers.items():
+        by_reader.setdefault(reader, []).append(name)
+    for reader, names in by_reader.items():
+        parts.append(reader.current(from_lines(rows.filter(F.col("version").isin(names)).select("value"), reader.schema)))
+    columns = parts[0].columns
+    none = [F.lit(None).cast(parts[0].schema[c].dataType).alias(c) for c in columns if c not in ("unreadable", "line")]
+    why = F.when(F.expr("try_parse_json(value)").isNull(), NOT_JSON).otherwise(UNKNOWN_VERSION)
+    others = rows.filter(~F.col("version").isin(list(readers)) & (F.trim("value") != "")).select(*none, why.alias("unreadable"), F.col("value").alias("line"))
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in [*parts, others]])
+
+
 def read_requisitions(spark: SparkSession, path: str) -> DataFrame:
     """One requisition a line, see from_lines."""
     return from_lines(spark.read.text(path), schemas.REQUISITION)
