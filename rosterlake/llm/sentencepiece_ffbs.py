@@ -342,7 +342,7 @@ class Pieces:
         return [data[a + 1 : b].decode("utf-8", "surrogatepass") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, model: str = MODEL, alpha: float = 1.0, out: str = "piece_ids", slice_chars: int = 1 << 20) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, model: str = MODEL, alpha: float = 1.0, out: str = "piece_ids", slice_chars: int = 1 << 18) -> DataFrame:
     """df with an array<int> column out: a sampled segmentation of each whole text.
 
     The draws are keyed by (seed, id), whatever the id's type; rows that repeat
