@@ -25,8 +25,8 @@ from .simhash import lookup
 
 FILTERS = "ABCDE"
 MASKS = 1 << len(FILTERS)
-#: Bytes of text that a task explodes.
-TASK_BYTES = 8 << 20
+#: Bytes of text that a task explodes, as long as that makes no more tasks than MOST_TASKS; beyond that tasks grow, and the counts of words spill.
+TASK_BYTES, MOST_TASKS = 8 << 20, 50_000
 
 
 def word_counts(docs: DataFrame, tasks: int) -> DataFrame:
@@ -58,7 +58,7 @@ def failures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
         (100 * F.length(F.regexp_replace("text", "[^A-Z]+", "")) > 2 * F.length("text")).alias("c"), F.col("text").rlike(r"[#$%&*|]").alias("d"),
     ))
     total = plain.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    counts = word_counts(docs.select("id", "h", "text"), max(1, -(-total // task_bytes)))
+    counts = word_counts(docs.select("id", "h", "text"), max(1, min(MOST_TASKS, -(-total // task_bytes))))
     repeats = plain.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n_rows"))
     of_words = repeats.withColumnsRenamed({"id": "id_", "h": "h_"}).join(counts, F.col("id_").eqNullSafe(F.col("id")) & (F.col("h_") == F.col("h")), "left").select(
         "id_", "h_", (F.coalesce("words", F.lit(0)) / F.col("n_rows")).cast("long").alias("words"), F.coalesce("distinct_words", F.lit(0)).alias("distinct_words"),
