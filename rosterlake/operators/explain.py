@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScoringConfig
 from ..functions.text import fixed, percent
-from . import scoring
+from . import availability, scoring
 
 
 def _tags(pairs: list[tuple[Column, str]]) -> Column:
@@ -32,6 +32,20 @@ def summaries(rows: DataFrame) -> DataFrame:
     return rows.withColumn("mandatory_skills_summary", line("mandatory", "requirements")).withColumn("preferred_skills_summary", line("preferred", "preferences"))
 
 
+def details(pairs: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
+    """(request_id, team_member_id, experience_months, required_months, missing_months, allocated, available_from) of pairs as matching.pairs gives them.
+
+    The numbers behind an explanation: experience against what is asked for (null
+    if nothing is), and the first day of the window with less than the threshold allocated.
+    """
+    months = F.coalesce("experience_in_months", F.lit(0))
+    at = (F.col("load"), F.col("w_start"), F.col("w_end"))
+    return pairs.select(
+        "request_id", "team_member_id", months.alias("experience_months"), F.col("min_months").alias("required_months"), F.greatest(F.coalesce("min_months", F.lit(0)) - months, F.lit(0)).alias("missing_months"),
+        F.coalesce(availability.load_of(*at), F.col("busy")[F.col("key")], F.lit(0.0)).alias("allocated"), availability.available_from(*at, config).alias("available_from"),
+    )
+
+
 def lines(rows: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
     """rows with fit_level and explanation, an array of four lines (needs skills_matched)."""
     rows = rows.withColumn("fit_level", scoring.fit_level(F.col("final_score"), config))

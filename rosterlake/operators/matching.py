@@ -76,15 +76,19 @@ def scored(pairs: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
     )
 
 
-def candidates(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, config: ScoringConfig = DEFAULT, block: int = BLOCK) -> DataFrame:
-    """A row for each requisition and active member, also without any match.
+def pairs(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, config: ScoringConfig = DEFAULT, block: int = BLOCK) -> DataFrame:
+    """Each requisition beside each active member: the member's profile and what the requisition wants.
 
     requisitions: request_id, mandatory, preferred (arrays of skill ids),
     min_months, expected_start_date, requisition_duration_month.
     """
     asked = requisition_windows(requisitions, config)
-    profiles = member_profiles(members, skills, allocations, asked, config)
-    return scored(with_each(profiles, wanted_rows(asked), block), config)
+    return with_each(member_profiles(members, skills, allocations, asked, config), wanted_rows(asked), block)
+
+
+def candidates(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, config: ScoringConfig = DEFAULT, block: int = BLOCK) -> DataFrame:
+    """A row for each requisition and active member with its scores, also without any match; arguments as of pairs."""
+    return scored(pairs(requisitions, members, skills, allocations, config, block), config)
 
 
 def with_reasons(scored: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ back after that, it writes nothing for a request that is no longer its own.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,9 @@ LAYOUTS = {
 }
 
 
-def database(spark: SparkSession, path: str) -> Database:
-    return Database(spark, path, LAYOUTS)
+def database(spark: SparkSession, path: str, buckets: int = 64) -> Database:
+    """buckets: of each table of a new database."""
+    return Database(spark, path, {name: replace(layout, buckets=buckets) for name, layout in LAYOUTS.items()})
 
 
 def _commit(db: Database, change: Callable[[int], tuple[dict, dict] | None], tries: int = 20) -> int:
@@ -113,6 +115,22 @@ def finish(db: Database, claimed: DataFrame, owner: str, skill_master: DataFrame
     return _commit(db, change)
 
 
+def retry(db: Database, at: str) -> int:
+    """Requests that FAILED wait again, as if they had come at the time `at`; nothing is committed if there are none."""
+
+    def change(base: int) -> tuple[dict, dict] | None:
+        failed = db.read("requests", base).filter(F.col("status") == matching.FAILED)
+        touched = db.touched("requests", failed)
+        if not touched:
+            return None
+        rows, again = db.read("requests", base, touched), F.col("status") == matching.FAILED
+        reset = {"status": F.when(again, matching.RECEIVED).otherwise(F.col("status")), "received_at": F.when(again, F.lit(at).cast("timestamp")).otherwise(F.col("received_at"))}
+        reset |= {c: F.when(~again, F.col(c)) for c in ("completed_at", "owner", "leased_until")}
+        return {"requests": (rows.withColumns(reset), touched)}, {"retried": at}
+
+    return _commit(db, change)
+
+
 def _columns(db: Database, name: str) -> list[str]:
     return db.spark.createDataFrame([], db.tables[name].schema).columns
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,9 +121,9 @@ LAYOUTS = {
 }
 
 
-def database(spark: SparkSession, path: str) -> Database:
-    """The six tables, the log of batches (sync_logs) and the lines that could not be read (failed_batches)."""
-    return Database(spark, path, LAYOUTS)
+def database(spark: SparkSession, path: str, buckets: int = 64) -> Database:
+    """The six tables, the log of batches (sync_logs) and the lines that could not be read (failed_batches); buckets: of each large table of a new database."""
+    return Database(spark, path, {name: replace(layout, buckets=min(buckets, layout.buckets) if layout.buckets < 64 else buckets) for name, layout in LAYOUTS.items()})
 
 
 def apply(db: Database, batch: DataFrame, at: str, tries: int = 5) -> int:

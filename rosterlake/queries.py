@@ -18,6 +18,8 @@ from .sources import documents, tables
 from .streaming import upserts
 
 TOP, BATCH = 50, 100
+#: Buckets of the databases that queries make for themselves: the test tables are small.
+FEW = 4
 
 # --------------------------------------------------------------- SQL pieces
 
@@ -192,13 +194,12 @@ def member_window_load(spark, sf_dir):
     return matching.with_each(members, windows).select("request_id", "team_member_id", availability.load_of(*at).alias("allocated"), availability.count_of(*at).alias("n_allocations"))
 
 
-@query(
-    """, day AS (SELECT request_id, w_start AS d FROM rw), ends AS (SELECT DISTINCT team_member_id, request_id, end_date AS d FROM al JOIN rw ON end_date > w_start AND end_date < w_end WHERE NOT is_deleted),
+_TAKEN = """, day AS (SELECT request_id, w_start AS d FROM rw), ends AS (SELECT DISTINCT team_member_id, request_id, end_date AS d FROM al JOIN rw ON end_date > w_start AND end_date < w_end WHERE NOT is_deleted),
     cand AS (SELECT team_member_id, request_id, d FROM tm CROSS JOIN day UNION SELECT team_member_id, request_id, d FROM ends),
-    taken AS (SELECT c.team_member_id, request_id, d, coalesce(sum(allocation_percentage), 0) AS n FROM cand c LEFT JOIN al a ON a.team_member_id = c.team_member_id AND start_date <= d AND end_date > d AND NOT is_deleted GROUP BY ALL)
-    SELECT request_id, team_member_id, strftime(min(d) FILTER (n < 80), '%Y-%m-%d') AS available_from FROM taken JOIN tm USING (team_member_id) GROUP BY ALL""",
-    "tm", "al", "rw",
-)
+    taken AS (SELECT c.team_member_id, request_id, d, coalesce(sum(allocation_percentage), 0) AS n FROM cand c LEFT JOIN al a ON a.team_member_id = c.team_member_id AND start_date <= d AND end_date > d AND NOT is_deleted GROUP BY ALL)"""
+
+
+@query(f"{_TAKEN} SELECT request_id, team_member_id, strftime(min(d) FILTER (n < 80), '%Y-%m-%d') AS available_from FROM taken JOIN tm USING (team_member_id) GROUP BY ALL", "tm", "al", "rw")
 def availability_date(spark, sf_dir):
     """The first day of each requisition's window on which each member is available; null if there is none."""
     windows = matching.requisition_windows(src.requisition(spark, sf_dir)).select("request_id", "w_start", "w_end")
@@ -207,6 +208,18 @@ def availability_date(spark, sf_dir):
     return matching.with_each(members, windows).select("request_id", "team_member_id", day.cast("string").alias("available_from"))
 
 
+@query(
+    f"""{_TAKEN}, d AS (SELECT request_id, team_member_id, strftime(min(d) FILTER (n < 80), '%Y-%m-%d') AS available_from FROM taken GROUP BY ALL)
+    SELECT request_id, team_member_id, coalesce(experience_in_months, 0)::INT AS experience_months, min_months::VARCHAR AS required_months, greatest(coalesce(min_months, 0) - coalesce(experience_in_months, 0), 0)::INT AS missing_months, coalesce(allocated, 0)::DOUBLE AS allocated, available_from
+    FROM tm CROSS JOIN rw LEFT JOIN busy USING (request_id, team_member_id) LEFT JOIN d USING (request_id, team_member_id) WHERE is_active""",
+    "tm", "al", "rw", "busy",
+)
+def explanation_details(spark, sf_dir):
+    """The numbers behind each explanation: experience against what is asked for, load, and the first free day."""
+    pairs = matching.pairs(_requisitions(spark, sf_dir), src.team_member(spark, sf_dir), src.team_member_skill(spark, sf_dir), src.team_member_allocation(spark, sf_dir))
+    return explain.details(pairs).withColumns({"required_months": F.col("required_months").cast("string"), "available_from": F.col("available_from").cast("string")})
+
+
 # ------------------------------------------------------------------ scoring
 
 
@@ -861,6 +874,7 @@ def stream_upsert(spark, sf_dir):
     """The same batches as a stream of files; the members after the last one."""
     source, path, state = (shared_path(spark, x) for x in ("batches", "database", "stream"))
     _batches(spark, sf_dir).write.text(source)
+    ingest.database(spark, path, FEW).create()
     upserts.start(spark, source, path, state, "2024-01-01 00:00:00", once=True).awaitTermination()
     return ingest.database(spark, path).read("team_member").select("team_member_id", "is_active", "experience_in_months", "work_type")
 
@@ -910,7 +924,7 @@ def fields_in_texts(spark, sf_dir):
 def bulk_commit_rollback(spark, sf_dir):
     """Rows of all six tables: after the batches of even numbers and a commit that fails at its sixth table, after those of odd numbers, and after a return to the first version."""
     lines = written(_batches(spark, sf_dir), "lines")
-    db = ingest.database(spark, shared_path(spark, "database"))
+    db = ingest.database(spark, shared_path(spark, "database"), FEW)
     odd = F.get_json_object("value", "$.metadata.batch_number").cast("int") % 2 == 1
     first = ingest.apply(db, documents.from_lines(lines.filter(~odd), schemas.BATCH), "2024-01-01 00:00:00")
     changes = {name: (db.read(name).filter("false"), None) for name in ingest.MERGED}
@@ -937,7 +951,7 @@ def unreadable_batches(spark, sf_dir):
     cut = F.substr(value, F.lit(1), F.floor(F.length(value) / 2).cast("int"))
     lines = _batches(spark, sf_dir).select(F.explode(F.array(value, cut, F.regexp_replace(value, r'"batch_number":(\d+)', '"batch_number":"no $1"'))).alias("value"))
     fixed = written(lines, "lines")
-    db = ingest.database(spark, shared_path(spark, "database"))
+    db = ingest.database(spark, shared_path(spark, "database"), FEW)
     for at in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
         ingest.apply(db, documents.from_lines(fixed, schemas.BATCH), at)
     none = [F.lit(0).cast("long").alias(c) for c in ("members", "skills", "allocations")]
@@ -959,6 +973,7 @@ def _numbered_batches(spark, sf_dir, number: int, keep: str) -> DataFrame:
 def stream_late_batches(spark, sf_dir):
     """A stream in which the batches 10 and 9 come together and 8 comes late: what members, skills and allocations hold afterwards, and from which batch."""
     source, path, state = (shared_path(spark, x) for x in ("batches", "database", "stream"))
+    ingest.database(spark, path, FEW).create()
     for parts in ([(10, "custkey % 2 = 0"), (9, "custkey % 3 <> 0")], [(8, "true")]):
         for number, keep in parts:
             _numbered_batches(spark, sf_dir, number, keep).write.mode("append").text(source)
@@ -975,7 +990,7 @@ def stream_late_batches(spark, sf_dir):
 )
 def claimed_requests(spark, sf_dir):
     """Two runs over one table of requests. The first takes those of odd numbers, matches them and finishes; then it takes the others and dies, and the second, which got none before, takes them over when their lease is past. What the first one brings after that is not stored."""
-    db = dispatch.database(spark, shared_path(spark, "requests"))
+    db = dispatch.database(spark, shared_path(spark, "requests"), FEW)
     tables_ = (src.skill_master(spark, sf_dir), src.team_member(spark, sf_dir), src.team_member_skill(spark, sf_dir), src.team_member_allocation(spark, sf_dir))
     odd = F.substring("request_id", -1, 1).cast("int") % 2 == 1
     payloads = written(_payloads(spark, sf_dir), "payloads")

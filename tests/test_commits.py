@@ -45,10 +45,12 @@ def test_database(spark, tmp_path):
     with pytest.raises(Exception, match="no space"):
         db.commit(4, {"a": (rows(), None), "b": (spark.range(1).select(F.raise_error(F.lit("no space")).cast("int").alias("x")), None)})
     assert db.version() == 4 and db.read("a").count() == 20
+    assert db.vacuum() == [] and {p.split("/")[1] for p in db.vacuum(older_than=-60)} == {"a", "b"} and db.vacuum(older_than=-60) == []
+    assert db.read("a").count() == 20 and db.read("b", 3).count() == 1
 
 
 def test_batches_in_their_order(spark, tmp_path):
-    db = ingest.database(spark, f"file://{tmp_path}/db")
+    db = ingest.database(spark, f"file://{tmp_path}/db", 3)
     skill = lambda n, **more: [{"skill_id": "S", "skill_name": f"name {n}", "rating": n, "category": f"c{n}", "certifications": [{"certification_id": "C", "issuer": f"i{n}"}]} | more]
     both = lines(spark, batch(9, "B9", member("x"), member("T", experience_in_months=9, skills=skill(9))), batch(10, "B10", member("T", experience_in_months=10, skills=skill(10), allocations=[{"project_id": "p", "allocation_percentage": 10}])), "{no", None, "", batch("x", "B11"))
     assert ingest.apply(db, both, "2024-01-01") == 1
@@ -141,12 +143,12 @@ def requisition(i, **job):
 
 
 def test_claims(spark, tmp_path):
-    db = dispatch.database(spark, f"file://{tmp_path}/db")
+    db = dispatch.database(spark, f"file://{tmp_path}/db", 3)
     sent = lines(spark, requisition("r1", mandatory_skills=["a b"]), requisition("r2"), requisition("r2"), requisition("bad", priority="NOW"), "{", schema=schemas.REQUISITION)
     dispatch.submit(db, sent, "2024-01-01 00:00:00")
     dispatch.submit(db, sent, "2024-01-01 00:00:30")
     assert db.read("requests").count() == 2 and sorted(r.broken[0] for r in db.read("rejected").collect()) == ["not_json", "priority"]
-    other = dispatch.database(spark, f"file://{tmp_path}/db")
+    other = dispatch.database(spark, f"file://{tmp_path}/db", 3)
     base = db.version()
     commit = Database.commit
 
@@ -174,9 +176,27 @@ def test_claims(spark, tmp_path):
     assert db.read("checkpoints").groupBy("request_id").count().filter("count = 5").count() == 2
 
 
+def test_failed_requests_wait_again(spark, tmp_path):
+    db = dispatch.database(spark, f"file://{tmp_path}/db", 3)
+    dispatch.submit(db, lines(spark, requisition("r1"), requisition("r2"), schema=schemas.REQUISITION), "2024-01-01 00:00:00")
+    rows = db.read("requests").withColumn("payload_json", F.when(F.col("request_id") == "r1", "{").otherwise(F.col("payload_json")))
+    db.commit(db.version(), {"requests": (rows, None)})
+    members = spark.createDataFrame([("m", True, 9)], "team_member_id string, is_active boolean, experience_in_months int")
+    rest = (spark.createDataFrame([], "skill_name string, skill_id string"), members, spark.createDataFrame([], "team_member_id string, skill_id string, is_deleted boolean"), spark.createDataFrame([], schemas.TABLES["team_member_allocation"]))
+    dispatch.finish(db, dispatch.claim(db, "one", "2024-01-01 00:01:00", "2024-01-01 00:10:00"), "one", *rest, "2024-01-01 00:02:00")
+    state = lambda: {r.request_id: (r.status, r.owner, str(r.received_at)) for r in db.read("requests").collect()}
+    assert state() == {"r1": (4, "one", "2024-01-01 00:00:00"), "r2": (3, "one", "2024-01-01 00:00:00")}
+    dispatch.retry(db, "2024-01-02 00:00:00")
+    assert state() == {"r1": (1, None, "2024-01-02 00:00:00"), "r2": (3, "one", "2024-01-01 00:00:00")}
+    version = db.version()
+    dispatch.claim(db, "two", "2024-01-02 00:01:00", "2024-01-02 00:10:00")
+    assert dispatch.retry(db, "2024-01-03 00:00:00") == version + 1
+
+
 def test_a_stream_of_requests(spark, tmp_path):
     source, places = tmp_path / "in", [f"file://{tmp_path}/{x}" for x in ("db", "state")]
     source.mkdir()
+    dispatch.database(spark, places[0], 3).create()
     members = spark.createDataFrame([("m", True, 9)], "team_member_id string, is_active boolean, experience_in_months int")
     tables = lambda: (spark.createDataFrame([], "skill_name string, skill_id string"), members, spark.createDataFrame([], "team_member_id string, skill_id string, is_deleted boolean"), spark.createDataFrame([], schemas.TABLES["team_member_allocation"]))
     for n in range(2):

@@ -105,6 +105,7 @@ def test_audit(spark):
 def test_versions_stream_and_ledger(spark, tmp_path):
     source, places = tmp_path / "in", [f"file://{tmp_path}/{x}" for x in ("database", "state")]
     source.mkdir()
+    ingest.database(spark, places[0], 3).create()
     for n, (b, exp) in enumerate([("B1", 10), ("B2", 20), ("B1", 99)]):
         (source / f"{n}.json").write_text(json.dumps({"metadata": {"batch_id": b}, "team_members": [member("a", experience_in_months=exp), member(f"m{n}")]}) + "\n")
         upserts.start(spark, f"file://{source}", *places, "2024-01-01", once=True).awaitTermination()
