@@ -752,7 +752,7 @@ def bulk_upsert_skills(spark, sf_dir):
 @query("SELECT team_member_id, project_id, allocation_percentage::DOUBLE AS allocation_percentage, start_date::DATE::VARCHAR AS start_date, end_date::DATE::VARCHAR AS end_date, billable, is_deleted, 'inserted' AS action FROM al", "al")
 def bulk_upsert_allocations(spark, sf_dir):
     casts = {"allocation_percentage": F.col("allocation_percentage").cast("double"), "start_date": F.col("start_date").cast("string"), "end_date": F.col("end_date").cast("string")}
-    return _bulk(spark, sf_dir)["team_member_allocation"].withColumns(casts)
+    return _bulk(spark, sf_dir)["team_member_allocation"].drop("batch").withColumns(casts)
 
 
 @query(
