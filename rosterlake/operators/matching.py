@@ -44,7 +44,13 @@ def member_profiles(members: DataFrame, skills: DataFrame, allocations: DataFram
 
 
 def with_each(rows: DataFrame, asked: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """rows beside each of asked (request_id, ...), the stated queries, which are broadcast in blocks of bounded number and size."""
+    """rows (with a team_member_id) beside each of asked (request_id, ...), the stated queries, which are broadcast in blocks of bounded number and size.
+
+    Rows are few beside the pairs that are made of them, so they are dealt to
+    all tasks first; by their size alone they would be put together in a few.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "team_member_id")
     size = sum((F.octet_length(F.to_json(F.struct(c))) for c in asked.columns), F.lit(64))
     n, total = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     blocks = max(1, -(-n // block), -(-total // block_bytes))
