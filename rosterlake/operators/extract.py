@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import lower
+
 #: Bytes of names up to which the dictionary goes to every task.
 DICTIONARY_BYTES = 32 << 20
 #: Rows and bytes of a batch that goes to Python.
@@ -23,7 +25,7 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 def words_of(text: Column) -> Column:
     """A text's words in lower case: runs of letters, digits, dots, pluses and hashes."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}.+#]+"), lambda w: w != "")
+    return F.filter(F.split(lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}.+#]+"), lambda w: w != "")
 
 
 def names_in_text(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, most_bytes: int = DICTIONARY_BYTES) -> DataFrame:

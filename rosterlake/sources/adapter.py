@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import upper
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,7 +17,7 @@ def member_id(key: Column) -> Column:
 
 
 def skill_id(name: Column) -> Column:
-    return F.replace(F.upper(name), F.lit(" "), F.lit("_"))
+    return F.replace(upper(name), F.lit(" "), F.lit("_"))
 
 
 def team_member(spark: SparkSession, sf_dir: str) -> DataFrame:

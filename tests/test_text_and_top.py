@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from rosterlake import schemas
 from rosterlake.config import ScoringConfig
+from rosterlake.functions import text
 from rosterlake.functions.arrays import count_while
 from rosterlake.operators import extract, matching, normalize, rank, top
-from rosterlake.sources import documents
+from rosterlake.sources import adapter, documents
 
 
 def made(spark, rng, n_members, n_skills, n_requests, each):
@@ -85,3 +86,12 @@ def test_versions(spark):
     got = documents.read_versions(spark.createDataFrame([(r,) for r in rows], "value string"), documents.REQUISITION_READERS).collect()
     assert {r.request_id: (r.job_description.mandatory_skills, r.job_description.preferred_skills) for r in got if r.request_id} == {"a": (["x"], None), "b": (["x"], ["y"])}
     assert sorted((r.unreadable, r.line) for r in got if r.unreadable) == sorted([("unknown_version", rows[2]), ("unknown_version", rows[3]), ("not_json", "{"), ("wrong_type", rows[5])])
+
+
+def test_letter_case_is_one_to_one(spark):
+    """As SQL's upper and lower have it, letter by letter."""
+    rows = spark.createDataFrame([("ß ﬁx ŉ ᾳé", "ΑΣ İX")], "a string, b string").select(text.upper(F.col("a")), text.lower(F.col("b"))).first()
+    assert tuple(rows) == ("ẞ ﬁX ŉ ᾼÉ", "ας ix".replace("ς", "σ"))
+    names = spark.createDataFrame([("schß. ö.",)], "skill_name string").withColumn("skill_id", adapter.skill_id(F.col("skill_name")))
+    texts = spark.createDataFrame([(1, "Das Schß. Ö. dort")], "id int, text string")
+    assert [r.skill_id for r in extract.names_in_text(texts, names, "id", "text").collect()] == ["SCHẞ._Ö."]
