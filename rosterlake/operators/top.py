@@ -42,6 +42,13 @@ def _kth(scored: DataFrame, k: int) -> DataFrame:
     return rank.top_k(scored.select("request_id", "team_member_id", "final_score"), k).filter(F.col("rank") == k).select("request_id", F.col("final_score").alias("bound"))
 
 
+def _on_lists(profiles: DataFrame, lists: DataFrame) -> DataFrame:
+    """profiles beside each request_id for which they are on one of its lists (request_id, skill_id)."""
+    readers = lists.groupBy("skill_id").agg(F.collect_set("request_id").alias("ids")).agg(F.map_from_entries(F.collect_list(F.struct("skill_id", "ids"))).alias("readers_"))
+    hit = F.array_distinct(F.flatten(F.transform(F.array_intersect("skill_ids", F.map_keys("readers_")), lambda s: F.col("readers_")[s])))
+    return profiles.filter("skill_ids IS NOT NULL").crossJoin(F.broadcast(readers)).select(*profiles.columns, F.explode(hit).alias("request_id"))
+
+
 def _fill(asked: DataFrame, active: DataFrame, short: DataFrame, k: int) -> DataFrame:
     """(request_id, team_member_id): for short requisitions (request_id, n_scored) enough of the smallest ids, of those with the experience asked for and of all."""
     needs = short.join(asked.select("request_id", F.coalesce("min_months", F.lit(-1)).alias("least")), "request_id").select("request_id", F.explode(F.array(F.struct("least", (F.col("n_scored") + k).alias("need")), F.struct(F.lit(-1).alias("least"), (F.col("n_scored") + 2 * k).alias("need")))).alias("x")).select("request_id", "x.*").distinct()
@@ -53,25 +60,34 @@ def _fill(asked: DataFrame, active: DataFrame, short: DataFrame, k: int) -> Data
     return needs.join(near.select("least", "team_member_id", (F.col("no_") - F.col("first_")).alias("at_")), "least").filter(F.col("at_") < F.col("need")).select("request_id", "team_member_id")
 
 
-def pairs_to_score(requisitions: DataFrame, members: DataFrame, skills: DataFrame, profiles: DataFrame, k: int, config: ScoringConfig = DEFAULT) -> DataFrame:
-    """(request_id, team_member_id): pairs among which are the best k of each requisition. A member's id must be its own."""
+def pairs_to_score(requisitions: DataFrame, members: DataFrame, skills: DataFrame, profiles: DataFrame, k: int, config: ScoringConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Two tables (request_id, team_member_id): the pairs that are scored, and a few of them among which are the best k of each requisition. A member's id must be its own.
+
+    Scored pairs are made where the members lie, from their skills and the lists
+    that each requisition reads, which are broadcast like the requisitions
+    themselves; no pair is shuffled, only the k best of each task.
+    """
     asked = matching.requisition_windows(requisitions, config)
     wanted = matching.wanted_rows(asked)
     active = members.filter("is_active").select("team_member_id", "experience_in_months")
     if not config.include_deleted_skills:
         skills = skills.filter(~F.coalesce("is_deleted", F.lit(False)))
-    have = written(skills.select("skill_id", "team_member_id").distinct().join(active.select("team_member_id"), "team_member_id", "left_semi"), "postings")
+    have = skills.select("skill_id", "team_member_id").distinct().join(active.select("team_member_id"), "team_member_id", "left_semi")
     lists = written(_lists(asked, have, config), "lists")
-    score = lambda pairs: matching.scored(pairs.join(profiles, "team_member_id").join(wanted, "request_id"), config)
-    begun = lists.filter(F.col("before") < k).join(have, "skill_id").select("request_id", "team_member_id").distinct()
-    bounds = _kth(score(begun), k)
-    needed = lists.join(bounds, "request_id", "left").filter(F.col("bound").isNull() | (F.col("base") + F.col("rest") + config.experience_weight >= F.col("bound") - SLACK))
-    hits = written(begun.unionByName(needed.join(have, "skill_id").select("request_id", "team_member_id")).distinct(), "hits")
-    reached = asked.select("request_id").join(hits.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_scored")), "request_id", "left").join(_kth(score(hits), k), "request_id", "left")
+    score = lambda pairs: matching.scored(pairs.join(F.broadcast(wanted), "request_id"), config)
+    begun = lists.filter(F.col("before") < k)
+    bounds = _kth(score(_on_lists(profiles, begun)), k)
+    needed = lists.join(bounds, "request_id", "left").filter((F.col("before") < k) | F.col("bound").isNull() | (F.col("base") + F.col("rest") + config.experience_weight >= F.col("bound") - SLACK))
+    hits = _on_lists(profiles, written(needed.select("request_id", "skill_id"), "needed"))
+    first = written(rank.top_k(score(hits).select("request_id", "team_member_id", "final_score"), k), "first")
+    n_scored = hits.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_scored"))
+    kth = first.filter(F.col("rank") == k).select("request_id", F.col("final_score").alias("bound"))
+    reached = asked.select("request_id").join(n_scored, "request_id", "left").join(kth, "request_id", "left")
     none = lists.groupBy("request_id").agg(F.max("base").alias("base"))
     reached = reached.join(none, "request_id", "left").withColumn("base", F.coalesce("base", F.lit(config.skill_weight * (config.mandatory_weight + config.preferred_weight))))
     short = reached.filter(F.col("bound").isNull() | (F.col("base") + config.experience_weight >= F.col("bound") - SLACK)).select("request_id", F.coalesce("n_scored", F.lit(0)).alias("n_scored"))
-    return hits.unionByName(_fill(asked, active, short, k)).distinct()
+    more = written(_fill(asked, active, short, k), "more")
+    return hits.select("request_id", "team_member_id").unionByName(more).distinct(), first.select("request_id", "team_member_id").unionByName(more).distinct()
 
 
 def best(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, k: int, config: ScoringConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -86,5 +102,5 @@ def best(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allocat
         every = matching.candidates(requisitions, members, skills, allocations, config)
         return rank.top_k(every, k), every.select("request_id", "team_member_id")
     profiles = written(profiles, "profiles")
-    pairs = written(pairs_to_score(requisitions, members, skills, profiles, k, config), "pairs")
-    return rank.top_k(matching.scored(pairs.join(profiles, "team_member_id").join(matching.wanted_rows(asked), "request_id"), config), k), pairs
+    pairs, last = pairs_to_score(requisitions, members, skills, profiles, k, config)
+    return rank.top_k(matching.scored(last.join(profiles, "team_member_id").join(matching.wanted_rows(asked), "request_id"), config), k), pairs
