@@ -126,6 +126,27 @@ def database(spark: SparkSession, path: str, buckets: int = 64) -> Database:
     return Database(spark, path, {name: replace(layout, buckets=min(buckets, layout.buckets) if layout.buckets < 64 else buckets) for name, layout in LAYOUTS.items()})
 
 
+#: Batches in the log that go to every task as a list of ids.
+MOST_DONE = 100_000
+
+
+def _fresh(batch: DataFrame, ids: DataFrame, logged: DataFrame) -> DataFrame:
+    """The batches whose id the log lacks. Only ids are shuffled, for the batches are large."""
+    done = written(ids.join(logged.select("batch_id"), "batch_id", "left_semi").distinct(), "done").select(F.col("batch_id").alias("done_"))
+    n = done.count()
+    if not n:
+        return batch
+    return batch.join(F.broadcast(done) if n <= MOST_DONE else done, F.col("metadata.batch_id") == F.col("done_"), "left_anti")
+
+
+def _new_lines(bad: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of bad (with an id row_ of their own) whose line is not stored, of equal lines one. They are compared by their SHA-256, for they are long."""
+    key = F.sha2("line", 256).alias("key_")
+    first = bad.select(key, "row_").groupBy("key_").agg(F.min("row_").alias("row_"))
+    new = written(first.join(stored.select(key), "key_", "left_anti").select("row_"), "new_lines")
+    return bad.join(new, "row_", "left_semi")
+
+
 def apply(db: Database, batch: DataFrame, at: str, tries: int = 5) -> int:
     """Puts batches into a database in one commit and gives the version that then holds them.
 
@@ -134,16 +155,17 @@ def apply(db: Database, batch: DataFrame, at: str, tries: int = 5) -> int:
     buckets that the batches touch are read and written. Where someone else
     commits meanwhile, the whole is done again on what is there then.
     """
-    now, batch = F.lit(at).cast("timestamp").alias("at"), written(batch, "batches")  # parsed once
+    now = F.lit(at).cast("timestamp").alias("at")
+    batch = written(batch.withColumn("row_", F.monotonically_increasing_id()), "batches")  # parsed once
+    ids, bad = documents.readable(batch).select(F.col("metadata.batch_id").alias("batch_id")), documents.unreadable(batch, "row_")
     for left in range(tries - 1, -1, -1):
         base = db.version()
-        in_log = db.touched("sync_logs", documents.readable(batch).select(F.col("metadata.batch_id").alias("batch_id")))
+        in_log = db.touched("sync_logs", ids)
         logged = db.read("sync_logs", base, in_log)
-        fresh = batch.join(logged.select(F.col("batch_id").alias("done_")), F.col("metadata.batch_id") == F.col("done_"), "left_anti")
-        lines = documents.unreadable(batch).dropDuplicates(["line"])
-        in_failed = db.touched("failed_batches", lines)
+        fresh = _fresh(batch, ids, logged)
+        in_failed = db.touched("failed_batches", bad)
         failed = db.read("failed_batches", base, in_failed)
-        lines = lines.join(failed.select("line"), "line", "left_anti").select("unreadable", "line", now)
+        lines = _new_lines(bad, failed).select("unreadable", "line", now)
         readable = documents.readable(fresh)
         if readable.isEmpty() and lines.isEmpty():
             return base

@@ -35,8 +35,12 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: How Parquet is written. Rows may be whole batches of half a MB: pages and groups are looked at after few rows, so that no task holds many of them, and the codec needs no buffer of a whole page.
+PARQUET = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "10"}
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**PARQUET).parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -86,11 +86,12 @@ def readable(rows: DataFrame) -> DataFrame:
     return rows.filter("unreadable IS NULL").drop("unreadable", "line") if "unreadable" in rows.columns else rows
 
 
-def unreadable(rows: DataFrame) -> DataFrame:
-    """(unreadable, line) of those that could not."""
+def unreadable(rows: DataFrame, *more: str) -> DataFrame:
+    """(unreadable, line, and more of the columns) of those that could not."""
     if "unreadable" in rows.columns:
-        return rows.filter("unreadable IS NOT NULL").select("unreadable", "line")
-    return rows.sparkSession.createDataFrame([], "unreadable string, line string")
+        return rows.filter("unreadable IS NOT NULL").select("unreadable", "line", *more)
+    none = F.lit(None).cast("string")
+    return rows.filter("false").select(none.alias("unreadable"), none.alias("line"), *more)
 
 
 def parse(payloads: DataFrame, column: str, schema) -> DataFrame:

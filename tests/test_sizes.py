@@ -16,3 +16,37 @@ def test_pairs_of_an_index_are_not_shuffled(spark):
     pairs = top._on_lists(profiles, lists)
     assert sorted((r.request_id, r.team_member_id) for r in pairs.collect()) == [("r1", "a"), ("r1", "b"), ("r2", "a"), ("r2", "b")]
     assert "team_member_id" not in "".join(line for line in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in line)
+
+
+def test_long_rows_are_written_in_small_pages(spark):
+    rows = spark.range(60).repartition(1).select(F.concat(F.col("id").cast("string"), F.expr("repeat(uuid(), 3000)")).alias("line"))
+    kept = session.written(rows, "long")
+    assert kept.count() == 60
+    (name,) = {n.removeprefix("file://") for n in kept.inputFiles()}
+    assert ".zstd." in name  # a codec without a buffer of a whole page
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db", {"a": Layout("k string, v long", "k", 2)})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        db.commit(0, {"a": (spark.range(500).select(F.lit("one").alias("k"), F.col("id").alias("v")), None)})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(glob.glob(f"{tmp_path}/db/data/a/*/bucket_*=*/*.parquet")) > 1
+    assert sorted(r.v for r in db.read("a").collect()) == list(range(500))
+
+
+def test_batches_are_not_shuffled_to_find_the_new_ones(spark):
+    batch = spark.createDataFrame([("B1", None), ("B2", None), (None, None)], "id string, unreadable string").select(F.struct(F.col("id").alias("batch_id")).alias("metadata"), "unreadable")
+    ids = batch.select(F.col("metadata.batch_id").alias("batch_id"))
+    for logged, left in (([], 3), (["B2"], 2)):
+        fresh = ingest._fresh(batch, ids, spark.createDataFrame([(x,) for x in logged], "batch_id string"))
+        assert "Exchange hash" not in fresh._jdf.queryExecution().executedPlan().toString()
+        assert fresh.count() == left
+
+
+def test_failed_lines_once(spark):
+    bad = spark.createDataFrame([("not_json", "{a", 1), ("not_json", "{a", 2), ("not_json", "{b", 3)], "unreadable string, line string, row_ long")
+    new = ingest._new_lines(bad, spark.createDataFrame([("{b",)], "line string"))
+    assert [r.line for r in new.collect()] == ["{a"]
