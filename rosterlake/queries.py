@@ -712,7 +712,7 @@ def _batches(spark, sf_dir, faulty: bool = False) -> DataFrame:
 def json_ingest(spark, sf_dir):
     """Batches written as JSON lines, read with their schema, and taken apart."""
     path = shared_path(spark, "batches")
-    _batches(spark, sf_dir).write.text(path)
+    _batches(spark, sf_dir).write.text(path, compression="gzip")
     members = documents.members(documents.read_batches(spark, path))
     rows = documents.skills(members.filter("skills IS NOT NULL"))
     return rows.join(members.select("team_member_id", "batch_id"), "team_member_id").select("team_member_id", "skill_id", "rating", "batch_id")
@@ -725,7 +725,7 @@ def json_ingest(spark, sf_dir):
 def bulk_upsert(spark, sf_dir):
     """The JSON batches over tables that hold every other member."""
     path = shared_path(spark, "batches")
-    _batches(spark, sf_dir).write.text(path)
+    _batches(spark, sf_dir).write.text(path, compression="gzip")
     none = {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
     k = src.team_member(spark, sf_dir).filter("custkey % 2 = 0")
     old = k.select("team_member_id", "designation", F.lit("x").alias("profile_type"), F.lit(False).alias("is_active"), F.lit(1).alias("experience_in_months"), F.lit("x").alias("base_location"), "work_type", F.lit("x").alias("profile_url"))
@@ -736,7 +736,7 @@ def bulk_upsert(spark, sf_dir):
 def _bulk(spark, sf_dir, faulty: bool = False, **stored: DataFrame) -> dict[str, DataFrame]:
     """The tables after the batches, over what is stored (nothing by default)."""
     path = shared_path(spark, "batches")
-    _batches(spark, sf_dir, faulty).write.text(path)
+    _batches(spark, sf_dir, faulty).write.text(path, compression="gzip")
     none = {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
     return ingest.bulk_upsert(documents.read_batches(spark, path), none | stored)
 
@@ -873,7 +873,7 @@ def skills_of_text_and_lists(spark, sf_dir):
 def stream_upsert(spark, sf_dir):
     """The same batches as a stream of files; the members after the last one."""
     source, path, state = (shared_path(spark, x) for x in ("batches", "database", "stream"))
-    _batches(spark, sf_dir).write.text(source)
+    _batches(spark, sf_dir).write.text(source, compression="gzip")
     ingest.database(spark, path, FEW).create()
     upserts.start(spark, source, path, state, "2024-01-01 00:00:00", once=True).awaitTermination()
     return ingest.database(spark, path).read("team_member").select("team_member_id", "is_active", "experience_in_months", "work_type")
@@ -976,7 +976,7 @@ def stream_late_batches(spark, sf_dir):
     ingest.database(spark, path, FEW).create()
     for parts in ([(10, "custkey % 2 = 0"), (9, "custkey % 3 <> 0")], [(8, "true")]):
         for number, keep in parts:
-            _numbered_batches(spark, sf_dir, number, keep).write.mode("append").text(source)
+            _numbered_batches(spark, sf_dir, number, keep).write.mode("append").text(source, compression="gzip")
         upserts.start(spark, source, path, state, "2024-01-01 00:00:00", once=True).awaitTermination()
     db = ingest.database(spark, path)
     rows = db.read("team_member").select("team_member_id", F.col("experience_in_months").alias("experience"), "batch.batch_id")
