@@ -26,9 +26,9 @@ def normalized_requisitions(requisitions: DataFrame, raw_skills: DataFrame, skil
 
 def matches(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, config: ScoringConfig = DEFAULT, k: int | None = None) -> DataFrame:
     """Ranked matches with reasons and explanations; with k only the best k of each requisition."""
-    scored = matching.candidates(requisitions, members, skills, allocations, config)
+    scored = matching.with_reasons(matching.candidates(requisitions, members, skills, allocations, config))  # before the ranks, which move rows: what matched is shorter than all that a member has
     best = rank.ranked(scored, members=members) if k is None else rank.top_k(scored, k)
-    return explain.lines(explain.summaries(explain.strengths_and_gaps(matching.with_reasons(best))), config)
+    return explain.lines(explain.summaries(explain.strengths_and_gaps(best)), config)
 
 
 #: Matches on a page of an envelope.
