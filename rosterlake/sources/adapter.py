@@ -38,10 +38,12 @@ def skill_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their member and skill: what the skills of members are made of."""
-    lines, orders, parts = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    """Lines with their member and skill: what the skills of members are made of. Ids are made before the joins, of rows that are fewer."""
+    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"), member_id(F.col("o_custkey")).alias("team_member_id"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", skill_id(_name()).alias("skill_id"), _name().alias("skill_name"))
     joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(parts, lines["l_partkey"] == parts["p_partkey"])
-    return joined.select(F.col("o_custkey").alias("custkey"), member_id(F.col("o_custkey")).alias("team_member_id"), skill_id(_name()).alias("skill_id"), _name().alias("skill_name"), "l_linenumber", "l_partkey", "l_orderkey", "l_extendedprice")
+    return joined.select("custkey", "team_member_id", "skill_id", "skill_name", "l_linenumber", "l_partkey", "l_orderkey", "l_extendedprice")
 
 
 def team_member_skill(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
