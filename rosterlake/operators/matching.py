@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScoringConfig
 from ..session import written
-from . import availability, scoring
+from . import availability, rank, scoring
 
 #: Requisitions that are broadcast at a time, and their bytes.
 BLOCK, BLOCK_BYTES = 10_000, 32 << 20
@@ -163,6 +163,23 @@ def _candidates(asked: DataFrame, members: DataFrame, skills: DataFrame, allocat
     return scored(_pairs(asked, members, skills, allocations, config, block, marked), config, _words(marked))
 
 
+def best(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allocations: DataFrame, k: int, config: ScoringConfig = DEFAULT) -> DataFrame:
+    """The k best candidates of each requisition with their rank.
+
+    All pairs are scored. Unless availability is in the score, it is looked up
+    afterwards, for those k alone.
+    """
+    asked = _asked(requisitions, config)
+    every = _candidates(asked, members, skills, allocations, config).drop("mandatory", "preferred", "skill_ids")
+    if config.availability_weight:
+        return rank.top_k(every, k)
+    few = written(rank.top_k(every.drop("availability_score", "is_available"), k), "best")
+    ids = few.select("team_member_id").distinct()
+    taken = with_loads(ids, allocations.join(ids, "team_member_id", "left_semi"), asked)
+    rows = few.join(taken, "team_member_id").join(wanted_rows(asked).select("request_id", "w_start", "w_end", "key"), "request_id").withColumn("allocated", _allocated())
+    return rows.withColumns({"availability_score": availability.capacity(F.col("allocated")) / 100.0, "is_available": availability.is_available(F.col("allocated"), config)}).select(*[c for c in every.columns], "rank")
+
+
 def with_reasons(scored: DataFrame) -> DataFrame:
     """scored with mandatory_matched, preferred_matched, and skills_matched (both, a skill of both lists twice), in the order of the lists."""
     out = scored.withColumn("mandatory_matched", F.array_intersect("mandatory", "skill_ids")).withColumn("preferred_matched", F.array_intersect("preferred", "skill_ids"))

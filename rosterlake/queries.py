@@ -263,7 +263,7 @@ def match_rank_in_ranges(spark, sf_dir):
 
 @query(f"{_RANKED} WHERE rank <= {TOP}", *SCORES)
 def match_top_k(spark, sf_dir):
-    best = rank.top_k(_scored(spark, sf_dir), TOP)
+    best = matching.best(_requisitions(spark, sf_dir), src.team_member(spark, sf_dir), src.team_member_skill(spark, sf_dir), src.team_member_allocation(spark, sf_dir), TOP)
     return best.select("request_id", "team_member_id", "rank", "final_score", "skill_score", "experience_score", "availability_score", "is_available", scoring.fit_level(F.col("final_score")).alias("fit_level"))
 
 

@@ -3,7 +3,10 @@
 from datetime import date
 from decimal import Decimal
 
-from rosterlake.operators import matching
+import pytest
+
+from rosterlake.config import ScoringConfig
+from rosterlake.operators import matching, rank
 from rosterlake.queries import QUERIES
 from rosterlake.sources import adapter
 
@@ -44,3 +47,12 @@ def test_ids_of_lines_are_made_before_the_joins(spark, sf_dir):
     plan = adapter.order_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     head = plan[: plan.index("Join")]
     assert "upper" not in head and "lpad" not in head
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.5])
+def test_best_are_the_first_ranks(spark, weight):
+    tables, config = _tables(spark), ScoringConfig(availability_weight=weight)
+    every = matching.candidates(*tables, config).drop("mandatory", "preferred", "skill_ids")
+    got = matching.best(*tables, 4, config)
+    assert _rows(got) == _rows(rank.top_k(every, 4)) and got.columns == [*every.columns, "rank"]
+    assert {r.is_available for r in every.collect()} == {True, False}
