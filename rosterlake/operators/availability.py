@@ -82,6 +82,7 @@ def loads(allocations: DataFrame) -> DataFrame:
     odd = F.col("start") >= F.col("end")
     entry = lambda kind, start, end: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"))
     none = F.lit(None).cast("date")
+    dates = dates.repartition("team_member_id")  # all that follows is of one member, and stays where it lies
     kinds = F.when(odd, F.array(entry(2, F.col("start"), F.col("end")))).otherwise(F.array(entry(0, F.col("start"), none), entry(1, none, F.col("end"))))
     days = dates.select("team_member_id", F.explode(kinds).alias("e"), "percent", "n").groupBy("team_member_id", "e").agg(F.sum("percent").alias("percent"), F.sum("n").alias("n"))
     # Days of one member only: as many as a calendar has.

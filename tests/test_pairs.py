@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 
 from rosterlake.config import ScoringConfig
-from rosterlake.operators import matching, rank
+from rosterlake.operators import availability, matching, rank
 from rosterlake.queries import QUERIES
 from rosterlake.sources import adapter
 
@@ -56,3 +56,8 @@ def test_best_are_the_first_ranks(spark, weight):
     got = matching.best(*tables, 4, config)
     assert _rows(got) == _rows(rank.top_k(every, 4)) and got.columns == [*every.columns, "rank"]
     assert {r.is_available for r in every.collect()} == {True, False}
+
+
+def test_days_of_a_member_are_shuffled_once(spark):
+    plan = availability.loads(_tables(spark)[3])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # equal dates, and then all of a member
