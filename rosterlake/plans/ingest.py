@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import work_type
 from ..operators import quality, upsert
-from ..session import written
+from ..session import LONG, written
 from ..sources import documents
 from ..sources.commits import Conflict, Database, Layout
 
@@ -47,7 +47,18 @@ def bulk_upsert(batch: DataFrame, tables: dict[str, DataFrame]) -> dict[str, Dat
     summary (one row of counts of all). Each merged table has a column action.
     The batches are read and taken apart once.
     """
-    fixed = written(quality.check(documents.members(documents.readable(batch)), quality.MEMBER_RULES), "members")
+    return _merged(_entries(batch), tables)
+
+
+def _entries(batch: DataFrame) -> DataFrame:
+    """documents.entries with an id row_, written: what is parsed once is kept a row a member, for a reader holds many rows of a file at a time and whole batches are long."""
+    return written(documents.entries(batch).withColumn("row_", F.monotonically_increasing_id()), "batches", LONG)
+
+
+def _merged(entries: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """bulk_upsert for entries that are written."""
+    spark = entries.sparkSession
+    fixed = quality.check(documents.entry_members(entries), quality.MEMBER_RULES)
     valid, rejected = fixed.filter(F.size("broken") == 0).drop("broken"), fixed.filter(F.size("broken") > 0)
     placed = valid.withColumn("pos", F.struct("batch_number", "batch_id", "pos"))
     members = upsert.last_wins(member_rows(placed), ["team_member_id"], ["pos"]).withColumn("batch", _stamp("pos"))
@@ -56,7 +67,7 @@ def bulk_upsert(batch: DataFrame, tables: dict[str, DataFrame]) -> dict[str, Dat
     skills = skills.withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)))
     allocations, bad_allocations = quality.split(documents.allocations(placed), quality.ALLOCATION_RULES)
     names = skills.select("skill_id", "skill_name", F.col("category").alias("category_name"), F.struct("member_pos", "pos", "team_member_id").alias("pos"))
-    categories = upsert.with_default_category(tables["category_master"], batch.sparkSession)
+    categories = upsert.with_default_category(tables["category_master"], spark)
     unknown = names.join(tables["skill_master"].select("skill_id"), "skill_id", "left_anti").filter("category_name IS NOT NULL AND category_name <> ''")
     categories = categories.unionByName(upsert.new_ids(unknown, categories, "category_id", "category_name", "pos"))
     last_skills = upsert.last_wins(skills.select("team_member_id", "skill_id", "member_pos", "pos", *SKILL_ATTRIBUTES), ["team_member_id", "skill_id"], ["member_pos", "pos"]).withColumn("batch", _stamp("member_pos"))
@@ -71,13 +82,13 @@ def bulk_upsert(batch: DataFrame, tables: dict[str, DataFrame]) -> dict[str, Dat
         "rejected": rejected,
         "rejected_skills": bad_skills,
         "rejected_allocations": bad_allocations,
-        "unreadable": documents.unreadable(batch),
+        "unreadable": documents.unreadable(entries),
     }
     named = {"members": out["team_member"], "skills": out["team_member_skill"], "allocations": out["team_member_allocation"]}
     out["summary"] = upsert.summary(named, fixed)
     for name, bad in (("failed", rejected), ("skills_failed", bad_skills), ("allocations_failed", bad_allocations), ("unreadable_batches", out["unreadable"])):
         out["summary"] = out["summary"].join(F.broadcast(bad.agg(F.count(F.lit(1)).alias(name))))  # one row each
-    out["log"] = _log(documents.readable(batch), fixed, named)
+    out["log"] = _log(documents.heads(entries), fixed, named)
     return out
 
 
@@ -117,7 +128,7 @@ LAYOUTS = {
     "skill_master": Layout("skill_id string, skill_name string, category_id int", "skill_id", 8),
     "category_master": Layout("category_id int, category_name string"),
     "sync_logs": Layout("batch_id string, batch_number int, members_received long, failed long, members_inserted long, members_updated long, skills_inserted long, skills_updated long, allocations_inserted long, allocations_updated long, at timestamp", "batch_id", 8),
-    "failed_batches": Layout("unreadable string, line string, at timestamp", "line", 8),
+    "failed_batches": Layout("unreadable string, line string, at timestamp", "line", 8, long=True),
 }
 
 
@@ -136,7 +147,8 @@ def _fresh(batch: DataFrame, ids: DataFrame, logged: DataFrame) -> DataFrame:
     n = done.count()
     if not n:
         return batch
-    return batch.join(F.broadcast(done) if n <= MOST_DONE else done, F.col("metadata.batch_id") == F.col("done_"), "left_anti")
+    fresh = batch.join(F.broadcast(done) if n <= MOST_DONE else done, F.col("metadata.batch_id") == F.col("done_"), "left_anti")
+    return fresh if n <= MOST_DONE else written(fresh, "fresh", LONG)  # read many times
 
 
 def _new_lines(bad: DataFrame, stored: DataFrame) -> DataFrame:
@@ -156,24 +168,23 @@ def apply(db: Database, batch: DataFrame, at: str, tries: int = 5) -> int:
     commits meanwhile, the whole is done again on what is there then.
     """
     now = F.lit(at).cast("timestamp").alias("at")
-    batch = written(batch.withColumn("row_", F.monotonically_increasing_id()), "batches")  # parsed once
-    ids, bad = documents.readable(batch).select(F.col("metadata.batch_id").alias("batch_id")), documents.unreadable(batch, "row_")
+    entries = _entries(batch)
+    ids, bad = documents.heads(entries).select(F.col("metadata.batch_id").alias("batch_id")), documents.unreadable(entries, "row_")
     for left in range(tries - 1, -1, -1):
         base = db.version()
         in_log = db.touched("sync_logs", ids)
         logged = db.read("sync_logs", base, in_log)
-        fresh = _fresh(batch, ids, logged)
+        fresh = _fresh(entries, ids, logged)
         in_failed = db.touched("failed_batches", bad)
         failed = db.read("failed_batches", base, in_failed)
         lines = _new_lines(bad, failed).select("unreadable", "line", now)
-        readable = documents.readable(fresh)
-        if readable.isEmpty() and lines.isEmpty():
+        if documents.heads(fresh).isEmpty() and lines.isEmpty():
             return base
-        members = documents.members(readable)
+        members = documents.entry_members(fresh)
         certified = members.select("team_member_id", F.explode("skills").alias("s")).select("team_member_id", F.explode("s.certifications").alias("c")).select("team_member_id", "c.certification_id")
         own = db.touched("team_member", members)
         touched = {"team_member": own, "team_member_skill": own, "team_member_allocation": own, "skill_certification": db.touched("skill_certification", certified)}
-        out = bulk_upsert(fresh, {name: db.read(name, base, touched.get(name)) for name in MERGED})
+        out = _merged(fresh, {name: db.read(name, base, touched.get(name)) for name in MERGED})
         changes = {name: (out[name], touched.get(name)) for name in MERGED}
         changes["sync_logs"] = (logged.unionByName(out["log"].select("*", now)), in_log)
         changes["failed_batches"] = (failed.unionByName(lines), in_failed)

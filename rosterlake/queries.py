@@ -949,11 +949,12 @@ def unreadable_batches(spark, sf_dir):
     """Each batch three times: as it is, cut off in the middle, and with a word for its number; all sent twice. What the log of batches has of each, and the lines that failed with their reason."""
     value = F.col("value")
     cut = F.substr(value, F.lit(1), F.floor(F.length(value) / 2).cast("int"))
-    lines = _batches(spark, sf_dir).select(F.explode(F.array(value, cut, F.regexp_replace(value, r'"batch_number":(\d+)', '"batch_number":"no $1"'))).alias("value"))
-    fixed = written(lines, "lines")
+    path = shared_path(spark, "batches")
+    _batches(spark, sf_dir).write.text(path, compression="gzip")
+    lines = spark.read.text(path).select(F.explode(F.array(value, cut, F.regexp_replace(value, r'"batch_number":(\d+)', '"batch_number":"no $1"'))).alias("value"))
     db = ingest.database(spark, shared_path(spark, "database"), FEW)
     for at in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
-        ingest.apply(db, documents.from_lines(fixed, schemas.BATCH), at)
+        ingest.apply(db, documents.from_lines(lines, schemas.BATCH), at)
     none = [F.lit(0).cast("long").alias(c) for c in ("members", "skills", "allocations")]
     stored = db.read("sync_logs").select("batch_id", F.lit("stored").alias("what"), F.col("members_inserted").alias("members"), F.col("skills_inserted").alias("skills"), F.col("allocations_inserted").alias("allocations"))
     return stored.unionByName(db.read("failed_batches").select(F.regexp_extract("line", '"batch_id":"(B[0-9]+)"', 1).alias("batch_id"), F.col("unreadable").alias("what"), *none))

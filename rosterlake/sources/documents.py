@@ -105,6 +105,24 @@ def members(batches: DataFrame) -> DataFrame:
     return rows.select("batch_number", "batch_id", "pos", "m.*")
 
 
+def entries(batches: DataFrame) -> DataFrame:
+    """What batches hold, in small rows: one for each member (its batch's metadata, pos and fields), one without a pos for a batch that has no members, and one for each line that can't be read (unreadable, line)."""
+    none = F.lit(None).cast("string")
+    why = ["unreadable", "line"] if "unreadable" in batches.columns else [none.alias("unreadable"), none.alias("line")]
+    return batches.select("metadata", *why, F.posexplode_outer("team_members").alias("pos", "m")).select("metadata", "pos", "m.*", "unreadable", "line")
+
+
+def heads(entries_: DataFrame) -> DataFrame:
+    """One of the entries of each batch that could be read."""
+    return entries_.filter("unreadable IS NULL AND coalesce(pos, 0) = 0")
+
+
+def entry_members(entries_: DataFrame) -> DataFrame:
+    """Those of entries that are members, as members gives them."""
+    fields = [c for c in entries_.columns if c not in ("metadata", "pos", "unreadable", "line", "row_")]
+    return entries_.filter("pos IS NOT NULL").select(F.col("metadata.batch_number").alias("batch_number"), F.col("metadata.batch_id").alias("batch_id"), "pos", *fields)
+
+
 def skills(members_: DataFrame) -> DataFrame:
     rows = members_.select("team_member_id", F.col("pos").alias("member_pos"), F.posexplode("skills").alias("pos", "s"))
     return rows.select("team_member_id", "member_pos", "pos", "s.*")

@@ -2,11 +2,13 @@
 
 import glob
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from rosterlake import session
 from rosterlake.operators import top
 from rosterlake.plans import ingest
+from rosterlake.sources import documents
 from rosterlake.sources.commits import Database, Layout
 
 
@@ -50,3 +52,19 @@ def test_failed_lines_once(spark):
     bad = spark.createDataFrame([("not_json", "{a", 1), ("not_json", "{a", 2), ("not_json", "{b", 3)], "unreadable string, line string, row_ long")
     new = ingest._new_lines(bad, spark.createDataFrame([("{b",)], "line string"))
     assert [r.line for r in new.collect()] == ["{a"]
+
+
+def groups(*patterns):
+    """(rows, bytes unpacked) of the largest row groups of some files."""
+    found = [g for p in patterns for f in glob.glob(p, recursive=True) for m in [pq.ParquetFile(f).metadata] for g in (m.row_group(i) for i in range(m.num_row_groups))]
+    return max(g.num_rows for g in found), max(g.total_byte_size for g in found)
+
+
+def test_long_lines_are_read_few_at_a_time(spark, tmp_path):
+    db = ingest.database(spark, f"file://{tmp_path}/db", 1)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.sha2(F.concat_ws("/", "id", i), 256)), "")
+    rows = spark.range(160).repartition(1).select(F.struct(F.lit("B").alias("batch_id"), F.lit(1).alias("batch_number")).alias("metadata"), F.lit("not_json").alias("unreadable"), text.alias("line"), F.lit(None).cast(documents.schemas.BATCH.split("team_members ")[1]).alias("team_members"))
+    assert ingest.apply(db, rows, "2024-01-01") == 1 and db.read("failed_batches").distinct().count() == 160
+    assert groups(f"{tmp_path}/db/data/failed_batches/**/*.parquet")[1] < 4 << 20
+    kept = ingest._entries(rows)
+    assert kept.count() == 160 and groups(*[f.removeprefix("file://") for f in kept.inputFiles()])[1] < 4 << 20
