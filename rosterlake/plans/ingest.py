@@ -51,14 +51,14 @@ def bulk_upsert(batch: DataFrame, tables: dict[str, DataFrame]) -> dict[str, Dat
 
 
 def _entries(batch: DataFrame) -> DataFrame:
-    """documents.entries with an id row_, written: what is parsed once is kept a row a member, for a reader holds many rows of a file at a time and whole batches are long."""
-    return written(documents.entries(batch).withColumn("row_", F.monotonically_increasing_id()), "batches", LONG)
+    """documents.entries with an id row_ and the rules that members break, written: what is parsed once is kept a row a member, for a reader holds many rows of a file at a time and whole batches are long."""
+    return written(quality.check(documents.entries(batch), quality.MEMBER_RULES).withColumn("row_", F.monotonically_increasing_id()), "batches", LONG)
 
 
 def _merged(entries: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """bulk_upsert for entries that are written."""
     spark = entries.sparkSession
-    fixed = quality.check(documents.entry_members(entries), quality.MEMBER_RULES)
+    fixed = documents.entry_members(entries)
     valid, rejected = fixed.filter(F.size("broken") == 0).drop("broken"), fixed.filter(F.size("broken") > 0)
     placed = valid.withColumn("pos", F.struct("batch_number", "batch_id", "pos"))
     members = upsert.last_wins(member_rows(placed), ["team_member_id"], ["pos"]).withColumn("batch", _stamp("pos"))

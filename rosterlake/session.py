@@ -38,7 +38,7 @@ def delete(spark: SparkSession, path: str) -> None:
 #: How Parquet is written. Rows may be whole batches of half a MB: pages and groups are looked at after few rows, so that no task holds many of them, and the codec needs no buffer of a whole page.
 PARQUET = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "10"}
 #: The same for long texts and nested rows. Spark's reader unpacks a whole row group at once (4,096 rows at most), and texts that are alike pack thirtyfold, so groups are kept small, in bytes as they are stored and in rows.
-LONG = PARQUET | {"parquet.block.size": str(1 << 20), "parquet.block.row.count.limit": "256"}
+LONG = PARQUET | {"parquet.block.size": str(1 << 20), "parquet.block.row.count.limit": "1024"}
 
 
 def written(df: DataFrame, what: str, options: dict[str, str] = PARQUET) -> DataFrame:

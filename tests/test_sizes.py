@@ -68,3 +68,19 @@ def test_long_lines_are_read_few_at_a_time(spark, tmp_path):
     assert groups(f"{tmp_path}/db/data/failed_batches/**/*.parquet")[1] < 4 << 20
     kept = ingest._entries(rows)
     assert kept.count() == 160 and groups(*[f.removeprefix("file://") for f in kept.inputFiles()])[1] < 4 << 20
+
+
+def test_batches_are_kept_a_row_a_member(spark, tmp_path):
+    one = lambda i: f'{{"team_member_id": "{i}", "team_member_status": "active", "experience_in_months": 1, "full_name": "n", "skills": [{{"skill_id": "S", "skill_name": "s"}}]}}'
+    of = lambda b, members: f'{{"metadata": {{"batch_id": "{b}", "batch_number": 1}}, "team_members": {members}}}'
+    many = [one(i) for i in range(3000)]
+    texts = [of("A", f"[{', '.join(many)}]"), of("B", "[]"), of("C", "null"), of("D", f"[null, {one('x')}]"), "{no"]
+    batch = documents.from_lines(spark.createDataFrame([(t,) for t in texts], "value string"), documents.schemas.BATCH)
+    kept = ingest._entries(batch)
+    assert groups(*[f.removeprefix("file://") for f in kept.inputFiles()])[0] <= 1024
+    assert sorted(r.metadata.batch_id for r in documents.heads(kept).collect()) == ["A", "B", "C", "D"]
+    by = lambda df: sorted((r.batch_id, r.pos, r.team_member_id) for r in df.collect())
+    assert by(documents.entry_members(kept)) == by(documents.members(documents.readable(batch))) and kept.count() == 3005
+    db = ingest.database(spark, f"file://{tmp_path}/db", 1)
+    ingest.apply(db, batch, "2024-01-01")
+    assert {r.batch_id: (r.members_received, r.failed, r.members_inserted, r.skills_inserted) for r in db.read("sync_logs").collect()} == {"A": (3000, 0, 3000, 3000), "B": (0, 0, 0, 0), "C": (0, 0, 0, 0), "D": (2, 1, 1, 1)}
