@@ -923,7 +923,9 @@ def fields_in_texts(spark, sf_dir):
 )
 def bulk_commit_rollback(spark, sf_dir):
     """Rows of all six tables: after the batches of even numbers and a commit that fails at its sixth table, after those of odd numbers, and after a return to the first version."""
-    lines = written(_batches(spark, sf_dir), "lines")
+    path = shared_path(spark, "batches")
+    _batches(spark, sf_dir).write.text(path, compression="gzip")
+    lines = spark.read.text(path)
     db = ingest.database(spark, shared_path(spark, "database"), FEW)
     odd = F.get_json_object("value", "$.metadata.batch_number").cast("int") % 2 == 1
     first = ingest.apply(db, documents.from_lines(lines.filter(~odd), schemas.BATCH), "2024-01-01 00:00:00")

@@ -84,3 +84,14 @@ def test_batches_are_kept_a_row_a_member(spark, tmp_path):
     db = ingest.database(spark, f"file://{tmp_path}/db", 1)
     ingest.apply(db, batch, "2024-01-01")
     assert {r.batch_id: (r.members_received, r.failed, r.members_inserted, r.skills_inserted) for r in db.read("sync_logs").collect()} == {"A": (3000, 0, 3000, 3000), "B": (0, 0, 0, 0), "C": (0, 0, 0, 0), "D": (2, 1, 1, 1)}
+
+
+def test_lines_of_batches_are_no_column_of_a_table(spark, sf_dir):
+    """A text is read a line at a time."""
+    from rosterlake import queries
+
+    for name in ("bulk_commit_rollback", "unreadable_batches"):
+        before = set(glob.glob(f"{session.shared_dir(spark).removeprefix('file://')}/*"))
+        assert queries.QUERIES[name](spark, sf_dir).count()
+        new = set(glob.glob(f"{session.shared_dir(spark).removeprefix('file://')}/*")) - before
+        assert not [f for d in new for f in glob.glob(f"{d}/*.parquet") if "value" in pq.ParquetFile(f).schema_arrow.names]
