@@ -33,6 +33,8 @@ def matches(requisitions: DataFrame, members: DataFrame, skills: DataFrame, allo
 
 #: Matches on a page of an envelope.
 PAGE = 50
+#: Requests up to which a row for each is broadcast, so that pages are not shuffled to them.
+MOST_REQUESTS = 100_000
 
 
 def envelope(requests: DataFrame, results: DataFrame, page: int | None = None, size: int = PAGE) -> DataFrame:
@@ -41,14 +43,21 @@ def envelope(requests: DataFrame, results: DataFrame, page: int | None = None, s
     A row for each page (from 1), or with page for that one only; total_matches
     counts all results either way. A request without results yet, or without
     any on the page asked for, has one row without matches; PROCESSING says that
-    there are no results. No row holds more than `size` matches.
+    there are no results. No row holds more than `size` matches. An explanation
+    is in the entries if results have one.
     """
-    totals = results.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
     of = F.ceil(F.col("rank") / F.lit(size)).cast("int")
     rows = results.withColumn("page", of) if page is None else results.filter(of == page).withColumn("page", of)
-    entry = F.struct("rank", "team_member_id", F.col("final_score").alias("profile_score"), "fit_level", F.col("is_available").alias("availability_match"), "explanation")
+    entry = F.struct("rank", "team_member_id", F.col("final_score").alias("profile_score"), "fit_level", F.col("is_available").alias("availability_match"), *(c for c in ("explanation",) if c in results.columns))
     pages = rows.groupBy("request_id", "page").agg(F.array_sort(F.collect_list(entry)).alias("matches"))
-    joined = requests.select("request_id").join(totals, "request_id", "left").join(pages, "request_id", "left")
+    # Of all pages the totals are counted, so the results are ranked and moved once.
+    totals = pages.groupBy("request_id").agg(F.sum(F.size("matches")).alias("n")) if page is None else results.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    heads = requests.select("request_id").join(totals, "request_id", "left")
+    if page is None and requests.limit(MOST_REQUESTS + 1).count() <= MOST_REQUESTS:
+        none = [F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in ("page", "matches")]
+        joined = pages.join(F.broadcast(heads), "request_id").select("request_id", "n", "page", "matches").unionByName(heads.filter("n IS NULL").select("request_id", "n", *none))
+    else:
+        joined = heads.join(pages, "request_id", "left")
     return joined.select("request_id", F.when(F.col("n").isNull(), "PROCESSING").otherwise("COMPLETED").alias("status"), F.coalesce("n", F.lit(0)).alias("total_matches"), "page", "matches")
 
 

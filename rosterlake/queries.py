@@ -335,11 +335,12 @@ def match_envelope(spark, sf_dir):
     *SCORES, "rq",
 )
 def match_pages(spark, sf_dir):
-    """The envelope with its list: every match of every requisition, in pages of fifty."""
+    """The envelope with its list: every match of every requisition, in pages of fifty. Entries come without their explanation, which no column here gives (see explanation_lines)."""
     asked = src.requisition(spark, sf_dir)
     done = quality.split(asked, {"experience": quality.in_order("min_months", "max_months")})[0].select("request_id")
-    scored = rank.ranked(matching.with_reasons(_scored(spark, sf_dir).join(done, "request_id", "left_semi")), members=src.team_member(spark, sf_dir))
-    pages = plan.envelope(asked, explain.lines(scored))
+    scored = _scored(spark, sf_dir).join(done, "request_id", "left_semi").select("request_id", "team_member_id", "final_score", "is_available")
+    ranked = rank.ranked(scored, members=src.team_member(spark, sf_dir))
+    pages = plan.envelope(asked, ranked.withColumn("fit_level", scoring.fit_level(F.col("final_score"))))
     one = lambda m: F.concat_ws(" ", m["team_member_id"], m["rank"].cast("string"), m["fit_level"], F.when(m["availability_match"], "yes").otherwise("no"))
     n = F.coalesce(F.size("matches"), F.lit(0))
     return pages.select("request_id", "status", "total_matches", F.col("page").cast("string").alias("page"), F.greatest(n, F.lit(0)).alias("n_matches"), F.coalesce(F.array_join(F.transform("matches", one), ","), F.lit("")).alias("matches"))

@@ -47,8 +47,9 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def team_member_skill(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    """lines: order_lines, if they are at hand."""
-    return (order_lines(spark, sf_dir) if lines is None else lines).groupBy("custkey", "team_member_id", "skill_id").agg(F.max("l_linenumber").alias("rating"), (F.min("l_partkey") % 13 == 0).alias("is_deleted"))
+    """lines: order_lines, if they are at hand. They are dealt by member, so that what is counted of a member next stays where it lies."""
+    lines = order_lines(spark, sf_dir) if lines is None else lines
+    return lines.select("custkey", "team_member_id", "skill_id", "l_linenumber", "l_partkey").repartition("team_member_id").groupBy("custkey", "team_member_id", "skill_id").agg(F.max("l_linenumber").alias("rating"), (F.min("l_partkey") % 13 == 0).alias("is_deleted"))
 
 
 def team_member_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:

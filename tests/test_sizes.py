@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from rosterlake import session
 from rosterlake.operators import top
 from rosterlake.plans import ingest
-from rosterlake.sources import documents
+from rosterlake.plans import matching as plan
+from rosterlake.sources import adapter, documents
 from rosterlake.sources.commits import Database, Layout
 
 
@@ -95,3 +96,21 @@ def test_lines_of_batches_are_no_column_of_a_table(spark, sf_dir):
         assert queries.QUERIES[name](spark, sf_dir).count()
         new = set(glob.glob(f"{session.shared_dir(spark).removeprefix('file://')}/*")) - before
         assert not [f for d in new for f in glob.glob(f"{d}/*.parquet") if "value" in pq.ParquetFile(f).schema_arrow.names]
+
+
+def test_pages_are_not_shuffled_to_their_requests(spark):
+    rows = [("a", r, f"m{r}", 1 - r / 100, "HIGH", True) for r in range(1, 8)]
+    results = spark.createDataFrame(rows, "request_id string, rank int, team_member_id string, final_score double, fit_level string, is_available boolean")
+    requests = spark.createDataFrame([("a",), ("none",)], "request_id string")
+    for found in (results, results.withColumn("explanation", F.array(F.lit("x")))):
+        pages = plan.envelope(requests, found, size=3)
+        assert "strategy=broadcast" in pages._jdf.queryExecution().analyzed().toString()
+        got = sorted(((r.request_id, r.status, r.total_matches, r.page or 0, [m.rank for m in r.matches or []]) for r in pages.collect()))
+        assert got == [("a", "COMPLETED", 7, 1, [1, 2, 3]), ("a", "COMPLETED", 7, 2, [4, 5, 6]), ("a", "COMPLETED", 7, 3, [7]), ("none", "PROCESSING", 0, 0, [])]
+        assert ("explanation" in pages.schema["matches"].dataType.elementType.names) == ("explanation" in found.columns)
+
+
+def test_skills_of_a_member_are_shuffled_once(spark, sf_dir):
+    have = adapter.team_member_skill(spark, sf_dir).groupBy("team_member_id").agg(F.count("skill_id").alias("n"))
+    exchanges = [line for line in have._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in line and "team_member_id" in line]
+    assert len(exchanges) == 1 and have.count()
